@@ -1,0 +1 @@
+"""Intentionally empty: every workload this library covers is a batch job over whole tables."""
