@@ -10,7 +10,7 @@ from __future__ import annotations
 _CTES: dict[str, str] = {
     "proteins": """
         SELECT doc_id AS row_idx,
-               'P' || lpad(CAST(doc_id AS VARCHAR), greatest(7, length(CAST(doc_id AS VARCHAR))), '0') AS protein_id,
+               'P' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(7, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS protein_id,
                "text" AS sequence,
                lang = 'fr' AND doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS is_test
         FROM documents""",
@@ -121,13 +121,13 @@ def _macro(counts: str, by: str = "") -> str:
 def _prefix(source: str, low: float, high: float, by: str = "label") -> str:
     """Best-F1 prefix of each group's ranking, by full windows."""
     return f"""
-        SELECT {by}, support, first(prob ORDER BY f1 DESC NULLS LAST, k) AS threshold, max(f1) AS f1 FROM (
-            SELECT {by}, support, k, CASE WHEN ok THEN prob END AS prob,
-                   CASE WHEN ok THEN CAST(2 AS DOUBLE) * tp / (support + k) END AS f1
+        SELECT {by}, support, first(prob ORDER BY f1 DESC NULLS LAST, place) AS threshold, max(f1) AS f1 FROM (
+            SELECT {by}, support, place, CASE WHEN ok THEN prob END AS prob,
+                   CASE WHEN ok THEN CAST(2 AS DOUBLE) * tp / (support + place) END AS f1
             FROM (SELECT *, support > 0 AND prob BETWEEN {low} AND {high} AS ok FROM (
                 SELECT {by}, prob,
                        CAST(sum(y) OVER (PARTITION BY {by}) AS BIGINT) AS support,
-                       row_number() OVER w AS k,
+                       row_number() OVER w AS place,
                        sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS tp
                 FROM {source} WINDOW w AS (PARTITION BY {by} ORDER BY prob DESC, row_idx))))
         GROUP BY {by}, support"""
@@ -472,10 +472,10 @@ _FINAL: dict[str, str] = {
         for r in _RESIDUES
     )
     + ", round(ln(1 + CAST(length(sequence) AS DOUBLE)), 6) AS log_length FROM proteins",
-    "clean_sequence": "SELECT row_idx, translate(upper(sequence), 'BOUZ', 'XXXX') AS cleaned FROM proteins",
+    "clean_sequence": "SELECT row_idx, translate(upper(replace(sequence, 'ß', 'SS')), 'BOUZ', 'XXXX') AS cleaned FROM proteins",
     "chunks": """SELECT row_idx, CAST(i AS INTEGER) AS chunk_no, CASE WHEN length(s) <= 1022 THEN s ELSE substr(s, i * 512 + 1, 1022) END AS chunk
         FROM (SELECT row_idx, s, unnest(range(CASE WHEN length(s) <= 1022 THEN 1 ELSE CAST(ceil((length(s) - 1022) / 512.0) AS BIGINT) + 1 END)) AS i
-              FROM (SELECT row_idx, translate(upper(sequence), 'BOUZ', 'XXXX') AS s FROM proteins))
+              FROM (SELECT row_idx, translate(upper(replace(sequence, 'ß', 'SS')), 'BOUZ', 'XXXX') AS s FROM proteins))
         WHERE length(s) <= 1022 OR length(substr(s, i * 512 + 1, 1022)) > 10""",
     "encode_ids": f"""SELECT row_idx, array_to_string(list_concat(
                list_transform(string_split(kept, ''), lambda c: CASE WHEN instr('{_RESIDUES}', c) > 0 THEN instr('{_RESIDUES}', c) ELSE 21 END),
