@@ -1,9 +1,7 @@
-"""Sequence-level column expressions: ids, cleaning, composition, chunks, token ids, n-grams."""
+"""Sequence-level column expressions: ids, cleaning, composition, chunks, token ids."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +12,6 @@ AMBIGUOUS_RESIDUES = "BOUZ"
 PAD_TOKEN = 0
 UNKNOWN_TOKEN = 21
 
-# Runs of two or more Unicode whitespace characters become one blank before n-grams are cut.
-_SPACE = r"[\t-\r\x1c-\x20\u0085   -     　]"
-
 
 def numeric_id(col: Column) -> Column:
     """The digits of a letters-then-digits id as a number, -1 for any other id."""
@@ -86,17 +81,3 @@ def token_ids(col: Column, max_len: int) -> Column:
     ids = F.transform(known, lambda i: F.when(i > 0, i).otherwise(UNKNOWN_TOKEN).cast("smallint"))
     padding = F.array_repeat(F.lit(PAD_TOKEN).cast("smallint"), F.greatest(F.lit(0), max_len - size))
     return F.concat(ids, padding)
-
-
-def char_ngrams(col: Column, shortest: int, longest: int) -> Column:
-    """Every overlapping character n-gram, in one linear pass per n.
-
-    The look-ahead captures n characters without consuming them and the trailing dot moves on by one
-    code point; per-position ``substring`` calls would rescan the text from its start each time.
-    """
-    text = F.regexp_replace(col, f"{_SPACE}{{2,}}", " ")
-    per_size = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
-        for n in range(shortest, longest + 1)
-    ]
-    return reduce(F.concat, per_size)

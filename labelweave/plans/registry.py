@@ -199,7 +199,7 @@ def _document_split(spark, sf):
 def vocab_topn(spark, sf):
     cfg = tfidf.TfidfConfig()
     fit, _ = _document_split(spark, sf)
-    vocab = tfidf.vocabulary(tfidf.term_counts(fit, cfg), fit.count(), cfg)
+    vocab = tfidf.vocabulary(fit, cfg)
     return rounded(vocab.select("term", F.col("term_idx").cast("bigint").alias("term_idx"), "df", "cf", "idf"))
 
 
