@@ -74,7 +74,7 @@ def _scores(model: int, truth: str = "truth") -> str:
         FROM {truth}"""
 
 
-for _m in range(3):
+for _m in range(4):
     _CTES[f"scores{_m}"] = _scores(_m)
 _CTES["emb_scores0"] = _scores(0, "emb_truth")
 
@@ -600,6 +600,12 @@ _FINAL: dict[str, str] = {
                || count(*) || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 1, 8) AS BIGINT))), 1, 12) AS cache_key FROM proteins""",
 }
 
+_Z = " + ".join(f"({i + 1} + ord * CAST({0.5 - i / 4} AS DOUBLE)) * p{i}" for i in range(4))
+_FINAL["stack_predict"] = f"""
+        SELECT row_idx, label, round(1 / (1 + exp(-greatest(-30, least(30, (-2 - ord / CAST(10 AS DOUBLE)) + {_Z})))), 6) AS prob
+        FROM (SELECT a.row_idx, a.label, a.ord, a.prob AS p0, b.prob AS p1, c.prob AS p2, d.prob AS p3 FROM scores0 a
+              JOIN scores1 b USING (row_idx, label) JOIN scores2 c USING (row_idx, label) JOIN scores3 d USING (row_idx, label))"""
+
 
 def _auc(source: str, by: str = "") -> str:
     """Mid-rank AUC per label by full windows."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from labelweave.operators import (
     folds,
     knn,
     labelgraph,
+    linear,
     metrics,
+    mlp,
     neighbors,
     pooling,
     splits,
@@ -594,3 +597,98 @@ def submission_wide(spark, sf):
 def feature_cache_key(spark, sf):
     """Cache key of the default features: configuration, mode and a digest of the data itself."""
     return packs.cache_key(fx.proteins(spark, sf), tfidf.TfidfConfig(), "submit")
+
+
+# ---------------------------------------------------------------- estimators
+
+
+def _embedding_task(spark, sf):
+    fit, held_out = fx.embedding_split(spark, sf)
+    truth = fx.embedding_truth(spark, sf).select("row_idx", "label", "y")
+    labels = [f"label_{i}" for i in range(fx.N_CLASSES)]
+    return fit, held_out, truth.join(fit.select("row_idx"), "row_idx", "left_semi"), truth, labels
+
+
+@query
+def sgd_ovr(spark, sf):
+    """Penalised logistic regression per class on the embeddings."""
+    fit, held_out, fit_truth, _, labels = _embedding_task(spark, sf)
+    features = [linear.dense_features(part, "embedding") for part in (fit, held_out)]
+    return rounded(linear.logistic_scores(features[0], fit_truth, features[1], labels))
+
+
+@query
+def sgd_sweep(spark, sf):
+    """The regularisation candidates, ranked by macro-AUC and macro-F1 on held-out rows."""
+    fit, held_out, fit_truth, truth, labels = _embedding_task(spark, sf)
+    features = [linear.dense_features(part, "embedding") for part in (fit, held_out)]
+    rows = []
+    for name, cfg in linear.SWEEP.items():
+        scored = linear.logistic_scores(features[0], fit_truth, features[1], labels, cfg)
+        rows.append(scored.join(truth, ["row_idx", "label"]).withColumn("model", F.lit(name)))
+    models = materialize(reduce(DataFrame.unionAll, rows))
+    f1 = metrics.macro(metrics.label_counts(metrics.predict(models), ["model"]), ["model"])
+    ranked = metrics.macro_auc(models, ["model"]).join(f1.select("model", "macro_f1"), "model")
+    return rounded(ranked.orderBy(F.desc("macro_auc"), F.desc("macro_f1")))
+
+
+@query
+def rf_baseline(spark, sf):
+    """Random forests on the composition features of whole documents, hard predictions."""
+    train, _ = fx.train_test(spark, sf)
+    tagged = linear.composition_features(train).join(splits.random_group(train), "row_idx")
+    tagged = materialize(tagged)
+    fit, held_out = (tagged.where(F.col("part") == p).drop("part") for p in ("train", "val"))
+    truth = fx.truth(spark, sf)
+    labels = [f"label_{i}" for i in range(fx.N_LABELS)]
+    scored = linear.forest_scores(fit, truth.join(fit.select("row_idx"), "row_idx", "left_semi"), held_out, labels)
+    return metrics.predict(scored).select("row_idx", "label", "pred")
+
+
+def _stack_cells(spark, sf):
+    return blend.align(*[fx.scores(spark, sf, m) for m in range(4)])
+
+
+STACK_FEATURES = ["p0", "p1", "p2", "p3"]
+
+
+@query
+def stack_fit(spark, sf):
+    """Per-label logistic stack over four models: coefficients and intercept."""
+    params = linear.fit_stack(materialize(_stack_cells(spark, sf)), STACK_FEATURES)
+    return rounded(params.select("label", *[F.col("coef")[i].alias(f"coef_{i}") for i in range(4)], "intercept"))
+
+
+@query
+def stack_crossfit(spark, sf):
+    """Per-fold macro-F1 of the stack, models and thresholds fitted on the other folds."""
+    cells = materialize(_stack_cells(spark, sf).join(folds.group_folds(fx.proteins(spark, sf)), "row_idx"))
+    calibration = folds.calibration_rows(cells, 2)
+    params = linear.fit_stack(calibration, STACK_FEATURES, by=["cal_fold"])
+    fitted = linear.apply_stack(calibration, params, STACK_FEATURES, ["cal_fold", "label"])
+    limits = thresholds.fit_simple(fitted, 0.02, 0.98, 0.5, 200.0, ["cal_fold"]).withColumnRenamed("cal_fold", "fold")
+    scored = linear.apply_stack(cells, params.withColumnRenamed("cal_fold", "fold"), STACK_FEATURES, ["fold", "label"])
+    predicted = thresholds.apply_thresholds(scored, limits, "threshold", ["fold", "label"])
+    return rounded(metrics.macro(metrics.label_counts(predicted, ["fold"]), ["fold"]))
+
+
+@query
+def stack_predict(spark, sf):
+    """The stack's clipped logistic link under fixed per-label coefficients."""
+    ord_ = F.col("ord").cast("double")
+    params = fx.truth(spark, sf).select("label", "ord").distinct().select(
+        "label",
+        F.array(*[F.lit(float(i + 1)) + ord_ * (0.5 - i / 4) for i in range(4)]).alias("coef"),
+        (F.lit(-2.0) - ord_ / 10).alias("intercept"),
+        F.lit(False).alias("constant"),
+    )
+    return rounded(linear.apply_stack(_stack_cells(spark, sf), params, STACK_FEATURES).select("row_idx", "label", "prob"))
+
+
+@query
+def mlp_forward(spark, sf):
+    """Held-out class scores of the network after a short training run on the embeddings."""
+    fit, held_out, fit_truth, truth, labels = _embedding_task(spark, sf)
+    as_x = lambda df: df.select("row_idx", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    scored, _ = mlp.train(as_x(fit), fit_truth, as_x(held_out), truth, labels, mlp.MlpConfig(hidden=128, epochs=4))
+    return rounded(scored)
