@@ -26,8 +26,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def with_row_idx(df: DataFrame) -> DataFrame:
-    """Number rows from 0 in ``protein_id`` order: files have no stable position, keys do."""
-    ordered = running_totals(df, [F.col("protein_id").asc()], {"_n": F.lit(1).cast("bigint")})
+    """Number rows from 0 in ``protein_id`` (then sequence) order: files have no stable position."""
+    order = [F.col("protein_id").asc(), F.col("sequence").asc()]
+    ordered = running_totals(df, order, {"_n": F.lit(1).cast("bigint")})
     return ordered.withColumn("row_idx", F.col("_n") - 1).drop("_n")
 
 
