@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from labelweave.functions import grids, scoring
 from labelweave.operators import metrics
 from labelweave.operators.thresholds import best_prefix
 
+# Fixed value: distance to the threshold beyond which rounding of a weighted mean cannot matter.
+_SETTLED = 1e-9
+
 
 def align(*packs: DataFrame) -> DataFrame:
     """One row per cell with the packs' scores as ``p0, p1, ...``."""
@@ -30,33 +33,54 @@ def _grid(rows: Sequence[tuple], names: Sequence[str]) -> Column:
     )
 
 
-def _evaluate(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return metrics.macro(metrics.label_counts(points, keys), keys)
+def _sweep(
+    cells: DataFrame,
+    grid: Sequence[tuple],
+    names: Sequence[str],
+    scores: Sequence[str],
+    combine: Callable[[Sequence[Column]], Column],
+    threshold: float,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Macro metrics at every grid point of a convex combination of ``scores``.
 
+    A cell whose scores all lie on one side of the threshold is predicted alike at every point: it
+    is counted once per label and its counts are added to all points afterwards. Only the other
+    cells are expanded over the grid, and the map-side aggregation folds them to one row per
+    (point, label) and task before anything is shuffled.
+    """
+    every_point = F.sequence(F.lit(0), F.lit(len(grid) - 1))
+    highest, lowest = (f(*[F.col(c) for c in scores]) for f in (F.greatest, F.least))
+    above = lowest >= threshold + _SETTLED
+    settled = above | (highest < threshold - _SETTLED)
+    values = [F.array(*[F.lit(row[i]) for row in grid]) for i in range(len(names))]
+    prob = combine([F.get(v, F.col("point")) for v in values])
+    points = cells.withColumn("point", F.explode(F.when(settled, F.array(F.lit(-1))).otherwise(every_point))).select(
+        *by, "point", "label", "y",
+        F.when(F.col("point") < 0, above).otherwise(prob >= threshold).cast("int").alias("pred"),
+    )
+    counts = metrics.label_counts(points, [*by, "point"])
+    spread = F.explode(F.when(F.col("point") < 0, every_point).otherwise(F.array("point")))
+    totals = counts.withColumn("grid_id", spread).groupBy(*by, "grid_id", "label").agg(
+        *[F.sum(c).alias(c) for c in ("n", "support", "predicted", "tp")]
+    )
+    scored = totals.withColumn("f1", scoring.f1(F.col("tp"), F.col("support"), F.col("predicted")))
+    named = [F.get(v, F.col("grid_id")).alias(name) for v, name in zip(values, names)]
+    return metrics.macro(scored, [*by, "grid_id"]).select(*named, "*")
 
-def two_way_grid(cells: DataFrame, step: float = 0.05, threshold: float = 0.5) -> DataFrame:
-    """Macro-F1 of ``w*p0 + (1-w)*p1`` for every weight.
 
-    The grid is expanded row by row and folded by the map-side aggregation, so what is shuffled is
-    one row per (weight, label) and task.
-    """
+def two_way_grid(cells: DataFrame, step: float = 0.05, threshold: float = 0.5) -> DataFrame:
+    """Macro-F1 of ``w*p0 + (1-w)*p1`` for every weight."""
     weights = [(w,) for w in grids.steps(0.0, 1.0, step)]
-    points = cells.withColumn("g", F.explode(_grid(weights, ["w"])))
-    prob = scoring.blend(F.col("g.w"), F.col("p0"), F.col("p1"))
-    points = points.select(
-        F.col("g.grid_id").alias("grid_id"), F.col("g.w").alias("weight_a"), "label", "y",
-        (prob >= threshold).cast("int").alias("pred"),
-    )
-    return _evaluate(points, ["grid_id", "weight_a"])
+    mix = lambda w: scoring.blend(w[0], F.col("p0"), F.col("p1"))
+    return _sweep(cells, weights, ["weight_a"], ["p0", "p1"], mix, threshold)
 
 
 def three_way_grid(cells: DataFrame, step: float = 0.05, threshold: float = 0.5) -> DataFrame:
     """Macro-F1 of every weight triple that sums to one."""
+    mix = lambda w: w[0] * F.col("p0") + w[1] * F.col("p1") + w[2] * F.col("p2")
     names = ["weight_a", "weight_b", "weight_c"]
-    points = cells.withColumn("g", F.explode(_grid(grids.simplex(step), names)))
-    prob = F.col("g.weight_a") * F.col("p0") + F.col("g.weight_b") * F.col("p1") + F.col("g.weight_c") * F.col("p2")
-    points = points.select("g.*", "label", "y", (prob >= threshold).cast("int").alias("pred"))
-    return _evaluate(points, ["grid_id", *names])
+    return _sweep(cells, grids.simplex(step), names, ["p0", "p1", "p2"], mix, threshold)
 
 
 def best_point(grid: DataFrame, by: Sequence[str] = (), score: str = "macro_f1") -> DataFrame:
@@ -73,13 +97,9 @@ def ranked_points(grid: DataFrame, n: int = 10) -> DataFrame:
 
 def tune_knn_blend(candidates: DataFrame, step: float = 0.05, threshold: float = 0.5) -> DataFrame:
     """For every (k, power): macro-F1 of kNN alone and the best weight of the other model."""
-    points = candidates.withColumn("g", F.explode(_grid([(w,) for w in grids.steps(0.0, 1.0, step)], ["w"])))
-    prob = scoring.blend(F.col("g.w"), F.col("base"), F.col("prob"))
-    points = points.select(
-        "k", "power", F.col("g.grid_id").alias("grid_id"), F.col("g.w").alias("base_weight"), "label", "y",
-        (prob >= threshold).cast("int").alias("pred"),
-    )
-    grid = _evaluate(points, ["k", "power", "grid_id", "base_weight"])
+    weights = [(w,) for w in grids.steps(0.0, 1.0, step)]
+    mix = lambda w: scoring.blend(w[0], F.col("base"), F.col("prob"))
+    grid = _sweep(candidates, weights, ["base_weight"], ["base", "prob"], mix, threshold, ["k", "power"])
     # Weight 0 is the first grid point: kNN alone.
     alone = grid.where("grid_id = 0").select("k", "power", F.col("macro_f1").alias("knn_macro_f1"))
     best = best_point(grid, ["k", "power"])
