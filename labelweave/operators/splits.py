@@ -89,28 +89,28 @@ def chronological(train: DataFrame, val_size: float = 0.2) -> DataFrame:
     groups = materialize(
         rows.groupBy("seq_key").agg(F.min("num_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     )
-    per_id = groups.groupBy("first_id").agg(F.sum("rows").alias("rows"))
+    per_id = groups.groupBy("first_id").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups"))
     ordered = running_totals(per_id, [F.col("first_id").desc()], {"upto": F.col("rows")})
     n_rows = groups.agg(F.sum("rows") * F.lit(val_size)).scalar()
     target = F.greatest(F.lit(1), F.bround(n_rows, 0).cast("bigint"))
     before = F.col("upto") - F.col("rows")
-    cut = materialize(
-        ordered.where((F.col("upto") >= target) & (before < target)).select(
-            "first_id", (target - before).alias("still_needed")
+    at_target = ordered.where((F.col("upto") >= target) & (before < target))
+    cut = at_target.select("first_id", "groups", (target - before).alias("still_needed")).first()
+    if cut is None:
+        return rows.select("row_idx", F.lit("train").alias("part"))
+    tied = groups.where(F.col("first_id") == cut["first_id"])
+    if cut["groups"] > 1:
+        # Groups that share the id at the cut are taken in sequence order; only their texts are read.
+        texts = (
+            train.where(numeric_id(F.col("protein_id")) == cut["first_id"])
+            .select(sequence_text(F.col("sequence")).alias("text"))
+            .distinct()
+            .withColumn("seq_key", sequence_key(F.col("text")))
         )
-    )
-    cut_id = cut.select("first_id").scalar()
-    # Sequences are fetched for the cut id alone; ties there are taken in sequence order.
-    texts = (
-        train.where(numeric_id(F.col("protein_id")) == cut_id)
-        .select(sequence_text(F.col("sequence")).alias("text"))
-        .distinct()
-        .withColumn("seq_key", sequence_key(F.col("text")))
-    )
-    at_cut = groups.where(F.col("first_id") == cut_id).join(texts, "seq_key")
-    tied = running_totals(at_cut, [F.col("text").asc()], {"upto": F.col("rows")})
-    taken_at_cut = tied.where(before < cut.select("still_needed").scalar()).select("seq_key")
-    later = groups.where(F.col("first_id") > cut_id).select("seq_key")
+        tied = running_totals(tied.join(texts, "seq_key"), [F.col("text").asc()], {"upto": F.col("rows")})
+        tied = tied.where(before < cut["still_needed"])
+    later = groups.where(F.col("first_id") > cut["first_id"]).select("seq_key")
+    taken_at_cut = tied.select("seq_key")
     held_out = later.unionAll(taken_at_cut).withColumn("part", F.lit("val"))
     return rows.join(held_out, "seq_key", "left").select(
         "row_idx", F.coalesce(F.col("part"), F.lit("train")).alias("part")
