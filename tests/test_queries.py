@@ -4,9 +4,10 @@ import pytest
 from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from labelweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -24,4 +25,4 @@ def test_entry(spark):
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(queries())
