@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import decontam, lines, revisits, setjoin, sharding
+from labelweave.llm import bpe, decontam, lines, revisits, setjoin, sharding, toxicity, vecdedup
 from labelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +108,27 @@ def op2_sharding(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ---------------------------------------------------------------- 4 toxicity
+
+
+@query
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+# ---------------------------------------------------------------- 5 BPE
+
+
+@query
+def op5_bpe(spark, sf, vocabulary=None):
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.encode_decode(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # ---------------------------------------------------------------- 6 line dedup
 
 
@@ -178,3 +200,22 @@ SELECT d.doc_id, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS class_id
   (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links,
   (SELECT count(*) FROM links WHERE links.a = d.doc_id AND c = n1 AND c = n2) AS n_copies
 FROM d"""
+
+
+# ---------------------------------------------------------------- 9 embedding near-dedup
+
+
+@query
+def op9_embedding_dedup(spark, sf):
+    return vecdedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+ORACLES["op9_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+  (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
+  (SELECT min(b) FROM reach WHERE reach.a = vec_id) = vec_id AS kept
+FROM v"""

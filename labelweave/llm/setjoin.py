@@ -140,7 +140,7 @@ def _likely(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def likely_families(sets: DataFrame, threshold: float, fan: float, runs: int, bucket_rows: int, depth: int) -> DataFrame:
+def likely_families(sets: DataFrame, threshold: float, fan: float, deep_fan: float, runs: int, bucket_rows: int, depth: int) -> DataFrame:
     """``(node, root)``: sets that chains of likely pairs connect, from the chosen-path search."""
     sets = sets.select("id", "n", "sketch")
     paths, edges = materialize(_choose(sets, fan, runs)), []
@@ -159,7 +159,7 @@ def likely_families(sets: DataFrame, threshold: float, fan: float, runs: int, bu
         if level == depth:
             edges.append(large.select(F.col("id").alias("a"), F.col("low").alias("b")))
         else:
-            paths = materialize(_choose(large.select("id", "key").join(sets, "id"), fan, None))
+            paths = materialize(_choose(large.select("id", "key").join(sets, "id"), deep_fan, None))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -224,7 +224,7 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def jaccard_classes(
-    docs: DataFrame, threshold: float = 0.8, k: int = 5, fan: float = 2.0, runs: int = 8, bucket_rows: int = 64, depth: int = 4, block_rows: int = 256, block_shingles: int = 1_000_000
+    docs: DataFrame, threshold: float = 0.8, k: int = 5, fan: float = 2.0, deep_fan: float = 1.5, runs: int = 8, bucket_rows: int = 64, depth: int = 3, block_rows: int = 256, block_shingles: int = 1_000_000
 ) -> DataFrame:
     """``(doc_id, class_id, n_links, n_copies)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -235,9 +235,10 @@ def jaccard_classes(
     1. Rows with equal sets are one set (digest); only distinct sets go on.
     2. Chosen paths: in each of ``runs`` repetitions a set follows about ``fan`` of its tokens; sets
        that follow the same token share a bucket. Buckets of up to ``bucket_rows`` sets are compared
-       by brute force on samples; larger ones are split again by tokens chosen under their path, up
-       to ``depth`` levels. What is large even then is passed on whole. With the defaults a pair at
-       the threshold is missed with probability below 0.001 (branching mean 1.6, 8 repetitions).
+       by brute force on samples; larger ones are split again by about ``deep_fan`` tokens chosen
+       under their path, up to ``depth`` levels. What is large even then is passed on whole. With the
+       defaults a pair at the threshold is missed with probability below 0.001: its shared paths
+       branch with means 1.6, 1.2, 1.2 or more, and all 8 repetitions must die out.
     3. Likely pairs (estimated similarity within 0.25 of the threshold, five standard errors) only
        tie sets into families; every pair inside a family is then decided exactly. A family larger
        than ``block_rows`` is cut into blocks and its block pairs are separate groups; tasks return
@@ -253,7 +254,7 @@ def jaccard_classes(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low"), F.count("*").alias("copies")
     )
     sets = materialize(sets)
-    families = likely_families(sets, threshold, fan, runs, bucket_rows, depth)
+    families = likely_families(sets, threshold, fan, deep_fan, runs, bucket_rows, depth)
     members = materialize(families.join(sets.select(F.col("id").alias("node"), "n", "copies"), "node"))
     sized = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     sized = sized.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int"))
