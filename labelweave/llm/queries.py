@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bpe, decontam, lines, revisits, setjoin, sharding, toxicity, vecdedup
+from labelweave.llm import bpe, decontam, langmodel, lines, revisits, setjoin, sharding, toxicity, vecdedup
 from labelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +219,11 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
   (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
   (SELECT min(b) FROM reach WHERE reach.a = vec_id) = vec_id AS kept
 FROM v"""
+
+
+# ---------------------------------------------------------------- 10 language model
+
+
+@query
+def op10_language_model(spark, sf):
+    return langmodel.score_documents(table(spark, sf, "documents"))
