@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bpe, decontam, langmodel, lines, revisits, setjoin, sharding, toxicity, vecdedup
+from labelweave.llm import bpe, decontam, langmodel, lines, revisits, secret_scan, setjoin, sharding, toxicity, vecdedup
 from labelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,20 @@ def op2_sharding(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ---------------------------------------------------------------- 3 secrets
+
+
+@query
+def op3_secret_scan(spark, sf):
+    out = secret_scan.scan_secrets(table(spark, sf, "documents"))
+    counts = [secret_scan.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    every = F.array_sort(F.concat("base", "found"))
+    return out.select(
+        "doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.as_text(every).alias("spans"), F.size("found").cast("long").alias("n_random"),
+    )
+
+
 # ---------------------------------------------------------------- 4 toxicity
 
 
