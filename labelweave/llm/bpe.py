@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -12,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelweave.session import materialize
-
 # The pattern that cuts text into words before merging, with Unicode white space.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-HEAD = 65_535
-HEAD_TEXT_BYTES = 32 << 20
+HEAD = 300_000
+HEAD_TEXT_BYTES = 64 << 20
+MEMO_WORDS = 500_000
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -90,27 +87,33 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
 
 
 def _planes(codes: np.ndarray) -> bytes:
-    """Packed word numbers: all low bytes, then all high bytes, compressed."""
-    raw = codes.astype("<u2").view(np.uint8).reshape(-1, 2)
-    return zstandard.ZstdCompressor(level=3).compress(raw.T.tobytes())
+    """Packed word numbers: all lowest bytes, then the middle ones, then the highest, compressed."""
+    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=3).compress(raw[:, :3].T.tobytes())
 
 
 def _codes(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(2, -1).T).view("<u2").ravel()
+    low, mid, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
+    return low | mid << 8 | high << 16
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, ids)`` for a table of distinct words; ids as little-endian unsigned 32-bit integers."""
+def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together by word and each task
+    encodes a word once; ids as little-endian unsigned 32-bit integers. A very frequent word may be
+    split over tasks."""
 
     def encode(batches):
-        model = vocabulary.tokenizer()
+        model, table = vocabulary.tokenizer(), {}
         for batch in batches:
-            made = model.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() for e in made]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            words = batch.column("word").to_pylist()
+            if len(table) > MEMO_WORDS:
+                table.clear()
+            new = list(set(words).difference(table))
+            for word, made in zip(new, model.encode_batch_fast(new, add_special_tokens=False)):
+                table[word] = np.array(made.ids, "<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
 
-    return words.select("word").mapInArrow(encode, "word string, ids binary")
+    return rows.hint("rebalance", F.col("word")).mapInArrow(encode, "_row long, _at int, ids binary")
 
 
 def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
@@ -120,16 +123,18 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     string inside a text is its special id, as the library has it by default. ``decoded`` is the
     UTF-8 text that the ids' pieces give (malformed parts as U+FFFD).
 
-    1. Texts are cut into words inside the scan. A word of the frequent list (at most ``head``,
-       under 65,536) becomes a 2-byte number; any other word becomes a row (row, position, word).
-    2. Distinct words, frequent ones included, are encoded once each.
-    3. The rows meet the word table, are gathered by document, and fill the gaps by position.
+    1. Texts are cut into words inside the scan. A word of the frequent list (at most ``head``, under
+       2**24) becomes a 3-byte number; any other word becomes a row (row, position, word).
+    2. The rows are shuffled by word; each distinct word is encoded once (a very frequent one once per
+       task). The frequent words are encoded once beforehand.
+    3. The ids are gathered by document and fill the gaps by position.
     4. Ids become pieces by a lookup in the id-to-piece table, which has the vocabulary's size.
 
-    Only rare words are shuffled as rows; a rare word has few of them unless it is absent from the
-    sample, and then the join splits it like any hot key. Null and empty texts give no ids and the
-    empty text. Very long texts are one row throughout. Repeated rows are encoded each. Columns named
-    like the added ones are replaced; an empty table gives an empty table.
+    The scan runs twice, for the words and for the numbers, rather than being stored: ``docs`` must
+    give the same rows in the same order each time, as a table of files does. Only rare words are
+    shuffled as rows. Null and empty texts give no ids and the empty text. Very long texts are one row
+    throughout. Repeated rows are encoded each. Columns named like the added ones are replaced; an
+    empty table gives an empty table.
     """
     spark, vocabulary = docs.sparkSession, Vocabulary(path)
     plain = docs.drop("n_tokens", "ids", "decoded")
@@ -138,31 +143,36 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     frequent = head_words(texts, vocabulary.special, head)
     special = vocabulary.special
 
-    def scan(batches):
+    def cut_rare(batches):
+        cut, known = cutter(special), set(frequent)
+        for batch in batches:
+            rows, places, words = [], [], []
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist()):
+                for at, word in enumerate(cut(text or "")):
+                    if word not in known:
+                        rows.append(row)
+                        places.append(at)
+                        words.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["_row", "_at", "word"])
+
+    def number_head(batches):
         cut, number = cutter(special), {w: i for i, w in enumerate(frequent)}
-        unknown = len(number)
         for batch in batches:
-            packed, rare = [], []
+            packed = []
             for text in batch.column("_text").to_pylist():
                 found = cut(text or "")
-                codes = np.fromiter((number.get(w, unknown) for w in found), np.int64, len(found))
-                packed.append(_planes(codes))
-                rare.append([found[i] for i in np.flatnonzero(codes == unknown)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
-                [*(c for c in batch.schema.names if c != "_text"), "_codes", "_rare"],
-            )
+                packed.append(_planes(np.fromiter((number.get(w, len(number)) for w in found), np.uint32, len(found))))
+            names = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], [*names, "_codes"])
 
     keyed = texts.select(F.monotonically_increasing_id().alias("_row"), *kept, "_text")
-    schema = keyed.drop("_text").select("*", F.lit(b"").alias("_codes"), F.array(F.lit("")).alias("_rare")).schema
-    scanned = materialize(keyed.mapInArrow(scan, schema))
-    rare = scanned.select("_row", F.posexplode("_rare").alias("_at", "word"))
-    distinct = encode_words(rare.select("word").distinct(), vocabulary)
-    filled = rare.join(distinct, "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_fill"))
-    whole = scanned.drop("_rare").join(filled.withColumn("_fill", F.col("_fill.ids")), "_row", "left")
-
-    known = {r["word"]: r["ids"] for r in encode_words(spark.createDataFrame([(w,) for w in frequent], "word string").repartition(8), vocabulary).collect()}
-    head_ids = [known[w] for w in frequent]
+    rare = keyed.select("_row", "_text").mapInArrow(cut_rare, "_row long, _at int, word string")
+    filled = encode_rows(rare, vocabulary).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_fill"))
+    coded = keyed.mapInArrow(number_head, keyed.drop("_text").withColumn("_codes", F.lit(b"")).schema)
+    whole = coded.join(filled.withColumn("_fill", F.col("_fill.ids")), "_row", "left")
+
+    model = vocabulary.tokenizer()
+    head_ids = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(frequent, add_special_tokens=False)]
     table = vocabulary.pieces(spark).collect()
     piece_of = [b""] * (max(r["id"] for r in table) + 1)
     for r in table:
@@ -170,25 +180,19 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
 
     def join_back(batches):
         for batch in batches:
-            counts, ids, texts_out = [], [], []
+            counts, ids, decoded = [], [], []
             for packed, fill in zip(batch.column("_codes").to_pylist(), batch.column("_fill").to_pylist()):
-                parts, rest = [], iter(fill or ())
-                for code in _codes(packed).tolist():
-                    parts.append(head_ids[code] if code < len(head_ids) else next(rest))
-                own = b"".join(parts)
+                rest = iter(fill or ())
+                own = b"".join([head_ids[code] if code < len(head_ids) else next(rest) for code in _codes(packed).tolist()])
                 numbers = np.frombuffer(own, "<u4").tolist()
                 counts.append(len(numbers))
                 ids.append(own)
-                texts_out.append(b"".join(map(piece_of.__getitem__, numbers)).decode("utf-8", "replace").encode())
+                decoded.append(b"".join(map(piece_of.__getitem__, numbers)).decode("utf-8", "replace").encode())
             names = [c for c in batch.schema.names if c not in ("_codes", "_fill", "_row")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts_out, pa.binary())],
+                [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
                 [*names, "n_tokens", "ids", "decoded"],
             )
 
     out = plain.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
     return whole.select("_row", *kept, "_codes", "_fill").mapInArrow(join_back, out)
-
-
-def digest(blob: bytes) -> str:
-    return hashlib.sha256(blob).hexdigest()
