@@ -67,7 +67,7 @@ def cutter(special: list[str]):
 
 
 def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
-    """Words that are likely frequent, from a random sample of at most about 32 MiB of text.
+    """Words that are likely frequent, from a random sample of at most about 64 MiB of text.
 
     Only speed depends on this list: it says which words need no row of their own.
     """

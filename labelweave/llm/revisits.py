@@ -31,8 +31,9 @@ def canonical_url(url: Column) -> Column:
 
 def lower_keys(headers: Column) -> Column:
     """Header names in lower case; of names equal but for case the last one stays. Null: no headers."""
-    entries = F.transform(F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
+    pairs = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.transform(F.coalesce(F.map_entries(headers), pairs), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.aggregate(entries, pairs, lambda out, e: F.array_append(F.filter(out, lambda old: old["key"] != e["key"]), e))
     return F.map_from_entries(last)
 
 

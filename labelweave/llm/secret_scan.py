@@ -28,8 +28,9 @@ ENCODINGS = [
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
-# Text-like strings repeat symbols: their chance that two symbols agree, times the alphabet's size, is at
-# least this (the letters of the usual European languages give 1.7 to 2).
+# Text-like strings repeat symbols: two of them agree with at least this chance (letters of the usual
+# European languages: 0.065 to 0.08), and at least so many times as often as random ones.
+TEXT_AGREES = 0.06
 TEXT_RATIO = 1.6
 # Coefficients of the usual rational approximation of the normal tail (error below 1e-7).
 NORMAL = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
@@ -90,8 +91,8 @@ def battery(token: Column, alphabet: Column) -> Column:
     chi_z: the chi-squared statistic of uniform symbols as a normal score (cube-root transform).
     runs_z: number of runs above and below the alphabet's middle against its mean and deviation.
     serial_z: correlation of neighbouring symbol numbers, times the root of the length.
-    text_p: chance that a text-like string (symbols agreeing TEXT_RATIO times as often as random ones,
-    the statistic's deviation as for random ones, scaled) has its symbols this evenly spread or more.
+    text_p: chance that a text-like string (symbols agreeing as often as TEXT_AGREES and TEXT_RATIO
+    say, the statistic's deviation as for random ones, scaled alike) spreads its symbols this evenly.
     """
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
     k = F.length(alphabet).cast("double")
@@ -117,8 +118,9 @@ def battery(token: Column, alphabet: Column) -> Column:
         total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
         cov, var = total(lambda p: (p["a"] - middle) * (p["b"] - middle)), (k * k - 1) / 12
         serial_z = cov / var / F.sqrt(F.greatest(n - 1, F.lit(1.0)))
-        expected = (TEXT_RATIO - 1) * (n - 1) + df
-        text_p = 1 - upper_tail((chi - expected) / (F.sqrt(2 * df) * TEXT_RATIO))
+        ratio = F.greatest(TEXT_AGREES * k, F.lit(TEXT_RATIO))
+        expected = (ratio - 1) * (n - 1) + df
+        text_p = 1 - upper_tail((chi - expected) / (F.sqrt(2 * df) * ratio))
         return F.struct(n.alias("n"), k.alias("k"), chi_z.alias("chi_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"), text_p.alias("text_p"))
 
     return F.transform(F.array(given), scores)[0]

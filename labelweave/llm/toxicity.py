@@ -23,10 +23,11 @@ class ToxicityConfig:
     width: int = 8
     min_gram: int = 3
     max_gram: int = 5
-    epochs: int = 12
+    epochs: int = 20
     batch: int = 64
     rate: float = 0.01
-    decay: float = 1e-4
+    min_docs: int = 3
+    min_deviations: float = 5.0
     max_rows_per_class: int = 4000
     seed: int = 5
 
@@ -63,12 +64,25 @@ def bag(text: bytes | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     return cells, np.bincount(place, np.repeat(weight, sizes)).astype(np.float32)
 
 
+def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
+    """Which buckets get an embedding: those that documents of label 1 hold more often than chance by
+    ``min_deviations`` standard deviations, in at least ``min_docs`` documents. Without this choice a
+    bag of rare syllables learns single documents by heart."""
+    held, toxic = np.zeros(cfg.buckets), np.zeros(cfg.buckets)
+    for (cells, _), y in zip(bags, labels):
+        held[cells] += 1
+        toxic[cells] += y
+    share = labels.mean() if len(labels) else 0.0
+    spread = np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+    return (held >= cfg.min_docs) & (toxic - held * share >= cfg.min_deviations * spread)
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and biases by Adam on the weighted log-loss."""
     rng = np.random.default_rng(cfg.seed)
     emb = rng.normal(0, 0.1, (cfg.buckets, cfg.width)).astype(np.float32)
     soft = rng.normal(0, 0.5, (cfg.width, 2)).astype(np.float32)
-    prior = np.clip(np.average(labels, weights=weights), 1e-4, 1 - 1e-4) if len(labels) else 0.5
+    prior = np.clip(np.average(labels, weights=weights), 1e-4, 1 - 1e-4)
     bias = np.log(np.array([1 - prior, prior], np.float32))
     scale = np.float32(30)
     params = [emb, soft, bias]
@@ -93,7 +107,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
             back = prob @ soft.T
             grad = np.stack([np.bincount(cells, back[owner, d] * share, cfg.buckets) for d in range(cfg.width)], 1).astype(np.float32)
             step += 1
-            for p, g, m, v in zip(params, (grad + cfg.decay * emb, hidden.T @ prob + cfg.decay * soft, prob.sum(0)), first, second):
+            for p, g, m, v in zip(params, (grad, hidden.T @ prob, prob.sum(0)), first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -130,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     """Per-bucket logit and bias of label 1 against label 0.
 
     The labelled sample is bounded by the configuration, so one task trains on it; the driver gets
-    one number per bucket. With a single class, or no labels, the bias alone says the share of 1.
+    one number per bucket. With a single class the bias alone says the share of 1; without labels
+    nothing is known to be toxic and every score is 0.0001.
     """
 
     def learn(batches):
@@ -141,15 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
                 marks.append(toxic)
                 weights.append(weight)
                 ids.append(doc)
-        order = np.argsort(np.array(ids), kind="stable") if ids else np.zeros(0, int)
+        if not ids:
+            return
+        order = np.argsort(np.array(ids), kind="stable")
         bags = [bags[i] for i in order]
-        emb, soft, bias = train(bags, np.array(marks, int)[order], np.array(weights, np.float32)[order], cfg)
-        logit = emb @ (soft[:, 1] - soft[:, 0])
+        labels_in, weights_in = np.array(marks, int)[order], np.array(weights, np.float32)[order]
+        keep = telling(bags, labels_in, cfg)
+        bags = [(cells[keep[cells]], share[keep[cells]]) for cells, share in bags]
+        emb, soft, bias = train(bags, labels_in, weights_in, cfg)
+        logit = np.where(keep, emb @ (soft[:, 1] - soft[:, 0]), 0)
         values = np.r_[logit, bias[1] - bias[0]].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["cell", "value"])
 
     learned = labelled_sample(docs, labels, cfg).repartition(1).mapInArrow(learn, "cell int, value double").toPandas()
     values = learned.sort_values("cell")["value"].to_numpy()
+    if not len(values):  # no labelled row reached the training task
+        return np.zeros(cfg.buckets), float(np.log(1e-4 / (1 - 1e-4)))
     return values[:-1], float(values[-1])
 
 
