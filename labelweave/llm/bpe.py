@@ -15,7 +15,8 @@ WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 
 HEAD = 300_000
 HEAD_TEXT_BYTES = 64 << 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
+PART_ROWS = 500
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -76,7 +77,7 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
 
     def count(batches):
         cut, tally = cutter(special), {}
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column("_text").to_pylist():
                 for word in cut(text or ""):
                     tally[word] = tally.get(word, 0) + 1
@@ -86,10 +87,26 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
     return [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(limit).collect()]
 
 
+def parts(batches):
+    """Small pieces of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(start, PART_ROWS)
+
+
+def _narrow(ids: list[int]) -> bytes:
+    """Ids of one word on their way: two bytes each, or four after a zero byte."""
+    return np.array(ids, "<u2").tobytes() if max(ids, default=0) < 1 << 16 else b"\0" + np.array(ids, "<u4").tobytes()
+
+
+def _wide(packed: bytes) -> bytes:
+    return packed[1:] if len(packed) % 2 else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
+
+
 def _planes(codes: np.ndarray) -> bytes:
     """Packed word numbers: all lowest bytes, then the middle ones, then the highest, compressed."""
     raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=3).compress(raw[:, :3].T.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(raw[:, :3].T.tobytes())
 
 
 def _codes(packed: bytes) -> np.ndarray:
@@ -99,8 +116,7 @@ def _codes(packed: bytes) -> np.ndarray:
 
 def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together by word and each task
-    encodes a word once; ids as little-endian unsigned 32-bit integers. A very frequent word may be
-    split over tasks."""
+    encodes a word once; ids packed by ``_narrow``. A very frequent word may be split over tasks."""
 
     def encode(batches):
         model, table = vocabulary.tokenizer(), {}
@@ -110,7 +126,7 @@ def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 table.clear()
             new = list(set(words).difference(table))
             for word, made in zip(new, model.encode_batch_fast(new, add_special_tokens=False)):
-                table[word] = np.array(made.ids, "<u4").tobytes()
+                table[word] = _narrow(made.ids)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
 
     return rows.hint("rebalance", F.col("word")).mapInArrow(encode, "_row long, _at int, ids binary")
@@ -145,7 +161,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
 
     def cut_rare(batches):
         cut, known = cutter(special), set(frequent)
-        for batch in batches:
+        for batch in parts(batches):
             rows, places, words = [], [], []
             for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist()):
                 for at, word in enumerate(cut(text or "")):
@@ -157,7 +173,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
 
     def number_head(batches):
         cut, number = cutter(special), {w: i for i, w in enumerate(frequent)}
-        for batch in batches:
+        for batch in parts(batches):
             packed = []
             for text in batch.column("_text").to_pylist():
                 found = cut(text or "")
@@ -179,10 +195,10 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         piece_of[r["id"]] = r["piece"]
 
     def join_back(batches):
-        for batch in batches:
+        for batch in parts(batches):
             counts, ids, decoded = [], [], []
             for packed, fill in zip(batch.column("_codes").to_pylist(), batch.column("_fill").to_pylist()):
-                rest = iter(fill or ())
+                rest = map(_wide, fill or ())
                 own = b"".join([head_ids[code] if code < len(head_ids) else next(rest) for code in _codes(packed).tolist()])
                 numbers = np.frombuffer(own, "<u4").tolist()
                 counts.append(len(numbers))
