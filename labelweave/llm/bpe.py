@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from labelweave.llm import common
+from labelweave.session import materialize
+
 # The pattern that cuts text into words before merging, with Unicode white space.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -84,7 +87,7 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
     counted = part.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(limit).collect()]
+    return [r["word"] for r in common.most_frequent(materialize(counted.where("n > 1")), limit)]
 
 
 def parts(batches):

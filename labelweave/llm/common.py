@@ -78,6 +78,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def most_frequent(counted: DataFrame, limit: int) -> list:
+    """At most ``limit`` rows of ``counted(word, n)`` with the largest n, sorted by falling n, then word.
+
+    Counts are cut where a histogram of their logarithm (at most 505 bins) says so, so that no more
+    rows than asked for are on the way to the driver; words of one bin come all or not at all.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    bins = sorted(((r["level"], r["count"]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
+    total, lowest = 0, None
+    for b, many in bins:
+        total += many
+        if total > limit:
+            break
+        lowest = b
+    rows = counted.where(level >= lowest).collect() if lowest is not None else []
+    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+
+
 class Bits:
     """A bit map of fixed size over 64-bit keys: tells which keys are certainly absent.
 
