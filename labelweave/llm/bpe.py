@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -44,15 +44,12 @@ class Vocabulary:
         out.no_padding()
         return out
 
-    def pieces(self, spark: SparkSession) -> DataFrame:
-        """``(id, piece)``: every id with its bytes; a table of the vocabulary's fixed size."""
+    def pieces(self) -> list[bytes]:
+        """The id-to-piece table: every id's bytes, by id; ids without a piece are empty."""
         model, signs = self.tokenizer(), byte_of_sign()
         special = {i: t.content for i, t in model.get_added_tokens_decoder().items()}
-        rows = [
-            (i, special[i].encode() if i in special else bytes(signs[c] for c in piece))
-            for piece, i in model.get_vocab(with_added_tokens=True).items()
-        ]
-        return spark.createDataFrame(rows, "id int, piece binary")
+        known = {i: special[i].encode() if i in special else bytes(signs[c] for c in piece) for piece, i in model.get_vocab(with_added_tokens=True).items()}
+        return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
 
 
 def cutter(special: list[str]):
@@ -87,7 +84,7 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
     counted = part.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in common.most_frequent(materialize(counted.where("n > 1")), limit)]
+    return common.most_frequent(materialize(counted.where("n > 1")), limit)[0]
 
 
 def parts(batches):
@@ -128,13 +125,24 @@ def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             if len(table) > MEMO_WORDS:
                 table.clear()
             new = list(set(words).difference(table))
-            for word, made in zip(new, model.encode_batch_fast(new, add_special_tokens=False)):
-                table[word] = _narrow(made.ids)
+            for start in range(0, len(new), 1000):
+                some = new[start : start + 1000]
+                for word, made in zip(some, model.encode_batch_fast(some, add_special_tokens=False)):
+                    table[word] = _narrow(made.ids)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
 
     return rows.hint("rebalance", F.col("word")).mapInArrow(encode, "_row long, _at int, ids binary")
 
 
+def encode_list(words: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    """Ids of a bounded list of words, a thousand at a time."""
+    model, out = vocabulary.tokenizer(), []
+    for start in range(0, len(words), 1000):
+        made = model.encode_batch_fast(words[start : start + 1000], add_special_tokens=False)
+        out += [np.array(e.ids, "<u4").tobytes() for e in made]
+    return out
+
+
 def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """Columns of ``docs(text, ...)`` plus ``n_tokens, ids (binary), decoded (binary)`` as the tokenizer file says.
 
@@ -155,7 +163,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     throughout. Repeated rows are encoded each. Columns named like the added ones are replaced; an
     empty table gives an empty table.
     """
-    spark, vocabulary = docs.sparkSession, Vocabulary(path)
+    vocabulary = Vocabulary(path)
     plain = docs.drop("n_tokens", "ids", "decoded")
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
@@ -190,12 +198,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     coded = keyed.mapInArrow(number_head, keyed.drop("_text").withColumn("_codes", F.lit(b"")).schema)
     whole = coded.join(filled.withColumn("_fill", F.col("_fill.ids")), "_row", "left")
 
-    model = vocabulary.tokenizer()
-    head_ids = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(frequent, add_special_tokens=False)]
-    table = vocabulary.pieces(spark).collect()
-    piece_of = [b""] * (max(r["id"] for r in table) + 1)
-    for r in table:
-        piece_of[r["id"]] = r["piece"]
+    head_ids, piece_of = encode_list(frequent, vocabulary), vocabulary.pieces()
 
     def join_back(batches):
         for batch in parts(batches):

@@ -78,8 +78,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def most_frequent(counted: DataFrame, limit: int) -> list:
-    """At most ``limit`` rows of ``counted(word, n)`` with the largest n, sorted by falling n, then word.
+def most_frequent(counted: DataFrame, limit: int) -> tuple[list, np.ndarray]:
+    """At most ``limit`` words of ``counted(word, n)`` with the largest n, by falling n, then word; and the n.
 
     Counts are cut where a histogram of their logarithm (at most 505 bins) says so, so that no more
     rows than asked for are on the way to the driver; words of one bin come all or not at all.
@@ -92,8 +92,10 @@ def most_frequent(counted: DataFrame, limit: int) -> list:
         if total > limit:
             break
         lowest = b
-    rows = counted.where(level >= lowest).collect() if lowest is not None else []
-    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+    if lowest is None:
+        return [], np.zeros(0, np.int64)
+    rows = counted.where(level >= lowest).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return rows.column("word").to_pylist(), rows.column("n").to_numpy()
 
 
 class Bits:

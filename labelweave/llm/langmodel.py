@@ -69,9 +69,8 @@ class Words:
     def __init__(self, counts: DataFrame, cfg: LmConfig):
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
         self.n, self.v = int(total["n"]), int(total["v"])
-        top = common.most_frequent(counts, cfg.listed)
-        self.words = [bytes(r["word"]) for r in top]
-        self.counts = np.array([r["n"] for r in top], np.float64)
+        self.words, listed = common.most_frequent(counts, cfg.listed)
+        self.counts = listed.astype(np.float64)
         if END in self.words and self.words.index(END) >= cfg.head:  # the end always has an output
             at, to = self.words.index(END), cfg.head - 1
             self.words.insert(to, self.words.pop(at))
