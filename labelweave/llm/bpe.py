@@ -20,6 +20,7 @@ HEAD = 300_000
 HEAD_TEXT_BYTES = 64 << 20
 MEMO_WORDS = 200_000
 PART_ROWS = 500
+BATCH_ROWS = "1000"
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -103,10 +104,10 @@ def _wide(packed: bytes) -> bytes:
     return packed[1:] if len(packed) % 2 else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
 
 
-def _planes(codes: np.ndarray) -> bytes:
+def _planes(codes: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
     """Packed word numbers: all lowest bytes, then the middle ones, then the highest, compressed."""
     raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=9).compress(raw[:, :3].T.tobytes())
+    return press.compress(raw[:, :3].T.tobytes())
 
 
 def _codes(packed: bytes) -> np.ndarray:
@@ -164,6 +165,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     empty table gives an empty table.
     """
     vocabulary = Vocabulary(path)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)  # long rows: small batches on both sides
     plain = docs.drop("n_tokens", "ids", "decoded")
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
@@ -183,12 +185,12 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["_row", "_at", "word"])
 
     def number_head(batches):
-        cut, number = cutter(special), {w: i for i, w in enumerate(frequent)}
+        cut, number, press = cutter(special), {w: i for i, w in enumerate(frequent)}, zstandard.ZstdCompressor(level=6)
         for batch in parts(batches):
             packed = []
             for text in batch.column("_text").to_pylist():
                 found = cut(text or "")
-                packed.append(_planes(np.fromiter((number.get(w, len(number)) for w in found), np.uint32, len(found))))
+                packed.append(_planes(np.fromiter((number.get(w, len(number)) for w in found), np.uint32, len(found)), press))
             names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], [*names, "_codes"])
 
