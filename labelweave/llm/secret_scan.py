@@ -12,7 +12,9 @@ from labelweave.session import materialize
 # Kinds, patterns and least lengths (in code points) of the base spans. Letters of the
 # first pattern's key may be of either case.
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-BASE = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+# A run of one class of signs is matched whole, so its least length stands in the pattern: a text is
+# full of short runs of a-f.
+BASE = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
 
 # Runs that may be keys: letters, digits and the signs of the base-64 alphabets.
 CANDIDATE = "[A-Za-z0-9+/_=-]+"
@@ -161,9 +163,8 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", _base_spans(text).alias("base"), _candidates(text, least).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    read = materialize(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("runs")))
+    read = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _base_spans(text).alias("base"), _candidates(text, least).alias("runs")))
+    read = read.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
 
     bare = F.regexp_replace("token", "=+$", "")
     tokens = read.select(F.explode("runs.hit").alias("token")).distinct().withColumn("enc", _encoding(F.col("token"))).where("enc is not null")
