@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from labelweave.functions.sequences import sequence_key, sequence_text
 from labelweave.session import materialize
 
-_BUCKETS = 4096
-
 
 def greedy_phases(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
     """How ``count`` equal groups of ``size`` rows spread over folds, in closed form.

@@ -87,7 +87,7 @@ def label_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ranked.groupBy(*keys)
         .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.col("pos") * below).alias("wins"))
         .where("positives > 0 and negatives > 0")
-        .select(*keys, (F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auc"))
+        .select(*keys, (F.col("wins") / (F.col("positives").cast("double") * F.col("negatives"))).alias("auc"))
     )
 
 
