@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,6 +18,9 @@ from labelweave.session import materialize
 # The pattern that cuts text into words before merging, with Unicode white space.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
+# The same for ASCII text, letters first: no other alternative can start where letters can.
+ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+
 HEAD = 300_000
 HEAD_TEXT_BYTES = 64 << 20
 MEMO_WORDS = 200_000
@@ -55,7 +60,11 @@ class Vocabulary:
 
 def cutter(special: list[str]):
     """Function from a text to its words; a special string is a word of its own."""
-    find = regex.compile(WORD).findall
+    any_text, ascii_text = regex.compile(WORD).findall, re.compile(ASCII_WORD).findall
+
+    def find(text: str) -> list[str]:
+        return ascii_text(text) if text.isascii() else any_text(text)
+
     if not special:
         return find
     apart = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split
@@ -177,11 +186,11 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         for batch in parts(batches):
             rows, places, words = [], [], []
             for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist()):
-                for at, word in enumerate(cut(text or "")):
-                    if word not in known:
-                        rows.append(row)
-                        places.append(at)
-                        words.append(word)
+                found = cut(text or "")
+                gaps = [at for at, word in enumerate(found) if word not in known]
+                rows += [row] * len(gaps)
+                places += gaps
+                words += [found[at] for at in gaps]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["_row", "_at", "word"])
 
     def number_head(batches):

@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, by operator."""
 
 import math
+import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from labelweave.llm import bpe, common, decontam, langmodel, lines, revisits, secret_scan, setjoin, sharding, toxicity, vecdedup
@@ -347,3 +349,10 @@ def test_gradients():
         model.flat += step * way
         total.append(model.window(state, inputs, fresh, targets, live, False)[0].astype(float).sum())
     assert (total[0] - total[1]) / 2e-3 == pytest.approx(float(grad @ way), rel=2e-2)
+
+
+def test_ascii_words_are_cut_like_any_others():
+    cut, plain, pick = bpe.cutter([]), regex.compile(bpe.WORD).findall, random.Random(5)
+    for _ in range(20000):
+        text = "".join(pick.choice("   \x00\x1c\x7f\n\t\x0b ab1'sdltremv!?'") for _ in range(pick.randrange(14)))
+        assert cut(text) == plain(text)
