@@ -288,16 +288,22 @@ def _label_probs(neighbors: str, truth: str, settings: str) -> str:
 
 
 _ONE = "SELECT 20 AS k, CAST(2 AS DOUBLE) AS power"
-_ALL = "SELECT k, CAST(power AS DOUBLE) AS power FROM (SELECT unnest([5, 10, 20, 40, 80]) AS k) CROSS JOIN (SELECT unnest([2, 4, 6]) AS power)"
+
+
+def _settings(powers: str) -> str:
+    return f"SELECT k, CAST(power AS DOUBLE) AS power FROM (SELECT unnest([5, 10, 20, 40, 80]) AS k) CROSS JOIN (SELECT unnest([{powers}]) AS power)"
+
+
 _CTES["emb_nearest"] = _nearest("emb_pairs", 20)
 _CTES["emb_nearest80"] = _nearest("emb_pairs", 80)
 _CTES["emb_probs"] = _label_probs("emb_nearest", "emb_truth", _ONE)
-_CTES["candidates"] = f"""
+for _name, _powers in (("tune_candidates", "1, 2, 4"), ("candidates", "2, 4, 6")):
+    _CTES[_name] = f"""
         SELECT c.row_idx, c.label, c.y, c.k, c.power, round(c.prob, 9) AS prob, b.prob AS base
-        FROM ({_label_probs('emb_nearest80', 'emb_truth', _ALL)}) c JOIN emb_scores0 b USING (row_idx, label)"""
+        FROM ({_label_probs('emb_nearest80', 'emb_truth', _settings(_powers))}) c JOIN emb_scores0 b USING (row_idx, label)"""
 _CTES["tune_grid"] = _macro(
     _counts(
-        "(SELECT *, round(i * CAST(0.05 AS DOUBLE), 6) AS w FROM candidates CROSS JOIN (SELECT unnest(range(21)) AS i))",
+        "(SELECT *, round(i * CAST(0.05 AS DOUBLE), 6) AS w FROM tune_candidates CROSS JOIN (SELECT unnest(range(21)) AS i))",
         "w * base + (CAST(1 AS DOUBLE) - w) * prob >= 0.5",
         "k, power, i, w,",
     ),
@@ -339,7 +345,7 @@ def _grams(source: str, low: int, high: int) -> str:
 
 _CTES["fit_docs"] = "SELECT * FROM chrono WHERE part = 'train'"
 _CTES["eval_docs"] = "SELECT * FROM chrono WHERE part = 'val'"
-for _name, _low, _high, _cap in (("3", 3, 3, 5000), ("35", 3, 5, 120000)):
+for _name, _low, _high, _cap in (("35", 3, 5, 120000),):
     _CTES[f"fit_tf{_name}"] = _grams("fit_docs", _low, _high)
     _CTES[f"eval_tf{_name}"] = _grams("eval_docs", _low, _high)
     _CTES[f"vocab{_name}"] = f"""
@@ -483,10 +489,10 @@ _FINAL: dict[str, str] = {
         FROM (SELECT row_idx, length(sequence) AS size, CASE WHEN length(sequence) <= 1536 THEN sequence ELSE
                   substr(sequence, 1, 512) || substr(sequence, greatest(0, length(sequence) // 2 - 256) + 1, 512) || right(sequence, 512) END AS kept
               FROM proteins)""",
-    "char_ngrams": "SELECT row_idx, term, tf FROM (" + _grams("proteins", 3, 3) + ")",
+    "char_ngrams": "SELECT row_idx, term, tf FROM (" + _grams("proteins", 3, 5) + ")",
     "vocab_topn": "SELECT term, term_idx, df, cf, round(idf, 6) AS idf FROM vocab35",
-    "tfidf_fit": "SELECT row_idx, term, round(x, 6) AS x FROM fit_x3",
-    "tfidf_transform": "SELECT row_idx, term, round(x, 6) AS x FROM eval_x3",
+    "tfidf_fit": "SELECT row_idx, term, round(x, 6) AS x FROM fit_x35",
+    "tfidf_transform": "SELECT row_idx, term, round(x, 6) AS x FROM eval_x35",
     "masked_mean_pool": """SELECT seq_id, CAST(dim AS INTEGER) AS dim, round(coalesce(sum(x) FILTER (WHERE keep), 0) / greatest(count(*) FILTER (WHERE keep), 1), 6) AS value
         FROM (SELECT t.seq_id, unnest(range(64)) AS dim, CAST(unnest(vector) AS DOUBLE) AS x, attended AND pos > 0 AND pos < size - 1 AS keep
               FROM tokens t JOIN (SELECT seq_id, count(*) FILTER (WHERE attended) AS size FROM tokens GROUP BY seq_id) s USING (seq_id))

@@ -33,7 +33,8 @@ QUERIES: dict[str, Query] = {}
 
 DEFAULT = thresholds.ThresholdConfig()
 KNN_K, KNN_POWER = 20, 2.0
-K_GRID, POWER_GRID = [5, 10, 20, 40, 80], [2.0, 4.0, 6.0]
+K_GRID = [5, 10, 20, 40, 80]
+TUNE_POWERS, LABEL_POWERS = [1.0, 2.0, 4.0], [2.0, 4.0, 6.0]
 BETAS = [0.0, 0.025, 0.05, 0.075, 0.10, 0.15, 0.20, 0.25, 0.30]
 
 
@@ -187,7 +188,7 @@ def encode_ids(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    return tfidf.term_counts(fx.proteins(spark, sf), tfidf.TfidfConfig(3, 3))
+    return tfidf.term_counts(fx.proteins(spark, sf), tfidf.TfidfConfig())
 
 
 def _document_split(spark, sf):
@@ -214,14 +215,14 @@ def _tfidf_rows(vocab, vectors):
 @query
 def tfidf_fit(spark, sf):
     fit, _ = _document_split(spark, sf)
-    vocab, vectors, _ = tfidf.fit_transform(fit, None, tfidf.TfidfConfig(3, 3, 5, 5000))
+    vocab, vectors, _ = tfidf.fit_transform(fit, None, tfidf.TfidfConfig())
     return _tfidf_rows(vocab, vectors)
 
 
 @query
 def tfidf_transform(spark, sf):
     fit, held_out = _document_split(spark, sf)
-    vocab, _, vectors = tfidf.fit_transform(fit, held_out, tfidf.TfidfConfig(3, 3, 5, 5000))
+    vocab, _, vectors = tfidf.fit_transform(fit, held_out, tfidf.TfidfConfig())
     return _tfidf_rows(vocab, vectors)
 
 
@@ -466,15 +467,15 @@ def blend_three_way_top10(spark, sf):
     return rounded(blend.ranked_points(blend.three_way_grid(_cells(spark, sf, 0, 1, 2))).drop("grid_id"))
 
 
-def _grid_candidates(spark, sf):
-    settings = [(k, p) for k in K_GRID for p in POWER_GRID]
+def _grid_candidates(spark, sf, powers):
+    settings = [(k, p) for k in K_GRID for p in powers]
     base = fx.embedding_scores(spark, sf, 0)
     return knn.with_base(base, _embedding_candidates(spark, sf, settings))
 
 
 @query
 def tune_knn_blend(spark, sf):
-    return rounded(blend.tune_knn_blend(_grid_candidates(spark, sf)))
+    return rounded(blend.tune_knn_blend(_grid_candidates(spark, sf, TUNE_POWERS)))
 
 
 @query
@@ -504,12 +505,12 @@ def adaptive_crossfit(spark, sf):
 
 @query
 def label_specific_knn(spark, sf):
-    return rounded(blend.fit_label_specific(_grid_candidates(spark, sf)))
+    return rounded(blend.fit_label_specific(_grid_candidates(spark, sf, LABEL_POWERS)))
 
 
 @query
 def label_specific_f1(spark, sf):
-    candidates = _grid_candidates(spark, sf)
+    candidates = _grid_candidates(spark, sf, LABEL_POWERS)
     params = blend.fit_label_specific(candidates)
     params = params.withColumns({c: F.round(c, 9) for c in ("weight", "threshold")})
     return rounded(metrics.label_counts(blend.apply_label_specific(candidates, params)))
@@ -517,7 +518,7 @@ def label_specific_f1(spark, sf):
 
 @query
 def param_histogram(spark, sf):
-    params = materialize(blend.fit_label_specific(_grid_candidates(spark, sf)))
+    params = materialize(blend.fit_label_specific(_grid_candidates(spark, sf, LABEL_POWERS)))
     chosen = [
         blend.histogram(params, c).select(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("value"), "n_labels")
         for c in ("k", "power")
@@ -687,8 +688,8 @@ def stack_predict(spark, sf):
 
 @query
 def mlp_forward(spark, sf):
-    """Held-out class scores of the network after a short training run on the embeddings."""
+    """Held-out class scores of the network after a full training run on the embeddings."""
     fit, held_out, fit_truth, truth, labels = _embedding_task(spark, sf)
     as_x = lambda df: df.select("row_idx", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    scored, _ = mlp.train(as_x(fit), fit_truth, as_x(held_out), truth, labels, mlp.MlpConfig(hidden=128, epochs=4))
+    scored, _ = mlp.train(as_x(fit), fit_truth, as_x(held_out), truth, labels, mlp.MlpConfig())
     return rounded(scored)

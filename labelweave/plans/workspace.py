@@ -32,7 +32,8 @@ from labelweave.sources import packs
 
 # The submission operating point and the search grids.
 SUBMIT_K, SUBMIT_POWER, SUBMIT_WEIGHT = 40, 4.0, 0.40
-K_GRID, POWER_GRID, WEIGHT_GRID = [5, 10, 20, 40, 80], [2.0, 4.0, 6.0], [0.2, 0.3, 0.4, 0.5, 0.6]
+K_GRID, WEIGHT_GRID = [5, 10, 20, 40, 80], [0.2, 0.3, 0.4, 0.5, 0.6]
+TUNE_POWERS, LABEL_POWERS = [1.0, 2.0, 4.0], [2.0, 4.0, 6.0]
 BETAS = [0.0, 0.025, 0.05, 0.075, 0.10, 0.15, 0.20, 0.25, 0.30]
 MODES = ["random", "tail", "tail_clean", "chronological"]
 FEATURES = {"v1": tfidf.TfidfConfig(), "v16": tfidf.SHORT_NGRAMS, "v19": tfidf.LONG_NGRAMS}
@@ -234,7 +235,7 @@ class Workspace:
 
     def tune(self, base: str = "v1_sgd", name: str = "v7_tuned") -> DataFrame:
         """Best k, power and blend weight over the whole grid; neighbours are searched once."""
-        settings = [(k, p) for k in K_GRID for p in POWER_GRID]
+        settings = [(k, p) for k in K_GRID for p in TUNE_POWERS]
         candidates = knn.with_base(self.scores(base), self._candidates(settings))
         table = materialize(blend.tune_knn_blend(candidates))
         self._report(table, f"{name}_grid")
@@ -267,7 +268,7 @@ class Workspace:
         return params
 
     def label_specific(self, base: str = "v1_sgd") -> DataFrame:
-        settings = [(k, p) for k in K_GRID for p in POWER_GRID]
+        settings = [(k, p) for k in K_GRID for p in LABEL_POWERS]
         candidates = self._folded(knn.with_base(self.scores(base), self._candidates(settings)))
         by_fold = blend.fit_label_specific(folds.calibration_rows(candidates, 2), WEIGHT_GRID, by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
         predicted = blend.apply_label_specific(candidates, by_fold, ["fold", "label"])
