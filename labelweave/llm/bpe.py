@@ -23,7 +23,6 @@ ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]
 
 HEAD = 300_000
 HEAD_TEXT_BYTES = 64 << 20
-MEMO_WORDS = 200_000
 PART_ROWS = 500
 BATCH_ROWS = "1000"
 
@@ -125,23 +124,21 @@ def _codes(packed: bytes) -> np.ndarray:
 
 
 def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together by word and each task
-    encodes a word once; ids packed by ``_narrow``. A very frequent word may be split over tasks."""
+    """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together and sorted by word, so each
+    task encodes a word once and remembers no more than a batch; ids packed by ``_narrow``. A very
+    frequent word may be split over tasks."""
 
     def encode(batches):
-        model, table = vocabulary.tokenizer(), {}
+        model, last = vocabulary.tokenizer(), {}
         for batch in batches:
             words = batch.column("word").to_pylist()
-            if len(table) > MEMO_WORDS:
-                table.clear()
-            new = list(set(words).difference(table))
-            for start in range(0, len(new), 1000):
-                some = new[start : start + 1000]
-                for word, made in zip(some, model.encode_batch_fast(some, add_special_tokens=False)):
-                    table[word] = _narrow(made.ids)
+            new = list(set(words).difference(last))
+            made = model.encode_batch_fast(new, add_special_tokens=False)
+            table = last | {word: _narrow(one.ids) for word, one in zip(new, made)}
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
+            last = {w: table[w] for w in words[-1:]}
 
-    return rows.hint("rebalance", F.col("word")).mapInArrow(encode, "_row long, _at int, ids binary")
+    return rows.hint("rebalance", F.col("word")).sortWithinPartitions("word").mapInArrow(encode, "_row long, _at int, ids binary")
 
 
 def encode_list(words: list[str], vocabulary: Vocabulary) -> list[bytes]:
