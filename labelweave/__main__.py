@@ -6,10 +6,22 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from labelweave.functions.grids import numbers
 from labelweave.plans.workspace import FEATURES, MODES, Workspace
 
 
+def number_list(option: str) -> list[float]:
+    """Option type: numbers between commas, at least one; anything else is a usage error."""
+    found = []
+    for part in filter(None, map(str.strip, option.split(","))):
+        try:
+            found.append(float(part))
+        except ValueError:
+            raise argparse.ArgumentTypeError(f"not a number: {part!r}") from None
+    if not found:
+        raise argparse.ArgumentTypeError("at least one number is needed")
+    return found
+
+
 def parser() -> argparse.ArgumentParser:
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("--train", default="train.csv")
@@ -43,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     stage("stack", models={"nargs": "+", "required": True})
     stage("select", models={"nargs": "+", "required": True})
     stage("submit", limits_of=model("v7_tuned"))
-    stage("variants", limits_of=model("v7_tuned"), scales={"type": numbers, "default": [1.00, 1.03, 1.06]})
+    stage("variants", limits_of=model("v7_tuned"), scales={"type": number_list, "default": [1.00, 1.03, 1.06]})
     stage("submit-adaptive")
     stage("submit-label-specific")
     return top

@@ -78,14 +78,16 @@ def tail_clean(train: DataFrame, test: DataFrame) -> DataFrame:
     return head.select("row_idx", "part").unionByName(fresh.select("row_idx", "part"))
 
 
-def chronological(train: DataFrame, val_size: float = 0.2) -> DataFrame:
+def chronological(train: DataFrame, test: DataFrame, val_size: float = 0.2) -> DataFrame:
     """Hold out whole sequence groups, latest first occurrence first, until the target row count.
 
+    Empty, like the tail split, if any id of either table fails to parse or there is no test row.
+
     Groups are ordered by first id descending; groups are added while the rows taken so far stay
     below ``max(1, round(n * val_size))``. Group rows are folded per first id before the running
     sum. Only groups that share the first id at the cut need their sequences compared.
     """
-    rows = keyed(train)
+    rows = keyed(train).where(tail_start(train, test).scalar().isNotNull())
     groups = materialize(
         rows.groupBy("seq_key").agg(F.min("num_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     )

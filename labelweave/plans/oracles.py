@@ -603,7 +603,8 @@ _FINAL: dict[str, str] = {
     + ", ".join(f"max(CASE WHEN s.label = 'label_{i}' THEN CAST(s.prob >= 0.5 AS INTEGER) END) AS label_{i}" for i in range(26))
     + " FROM test p JOIN scores1 s USING (row_idx) GROUP BY p.protein_id",
     "feature_cache_key": """SELECT substr(sha256('{"config": {"max_features": 120000, "min_df": 5, "ngram_max": 5, "ngram_min": 3}, "mode": "submit"}|'
-               || count(*) || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 1, 8) AS BIGINT))), 1, 12) AS cache_key FROM proteins""",
+               || count(*) || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 1, 16) AS UBIGINT))
+               || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 17, 16) AS UBIGINT))), 1, 12) AS cache_key FROM proteins""",
 }
 
 _Z = " + ".join(f"({i + 1} + ord * CAST({0.5 - i / 4} AS DOUBLE)) * p{i}" for i in range(4))

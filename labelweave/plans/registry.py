@@ -127,7 +127,7 @@ def split_tail_clean(spark, sf):
 
 @query
 def split_chronological(spark, sf):
-    return splits.chronological(fx.train_test(spark, sf)[0])
+    return splits.chronological(*fx.train_test(spark, sf))
 
 
 @query
@@ -143,7 +143,7 @@ def split_leakage(spark, sf):
         "random": splits.random_group(train),
         "tail": splits.tail(train, test),
         "tail_clean": splits.tail_clean(train, test),
-        "chronological": splits.chronological(train),
+        "chronological": splits.chronological(train, test),
     }
     counts = [
         splits.leaked_groups(train, s).agg(F.count(F.lit(1)).alias("leaked")).withColumn("split", F.lit(name))
@@ -193,8 +193,8 @@ def char_ngrams(spark, sf):
 
 def _document_split(spark, sf):
     """(fit, eval) documents of the chronological split."""
-    train, _ = fx.train_test(spark, sf)
-    tagged = train.join(splits.chronological(train), "row_idx")
+    train, test = fx.train_test(spark, sf)
+    tagged = train.join(splits.chronological(train, test), "row_idx")
     tagged = materialize(tagged)
     return tagged.where("part = 'train'").drop("part"), tagged.where("part = 'val'").drop("part")
 

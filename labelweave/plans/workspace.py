@@ -116,7 +116,7 @@ class Workspace:
             "random": splits.random_group(self.train, val_size, seed),
             "tail": splits.tail(self.train, self.test),
             "tail_clean": splits.tail_clean(self.train, self.test),
-            "chronological": splits.chronological(self.train, val_size),
+            "chronological": splits.chronological(self.train, self.test, val_size),
         }
         for mode, split in made.items():
             saved = self._write(split, "splits", mode)

@@ -16,22 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_idx, protein_id, sequence)`` from whole documents."""
+def _as_proteins(docs: DataFrame) -> DataFrame:
     digits = F.col("doc_id").cast("string")
     padded = F.lpad(digits, F.greatest(F.lit(7), F.length(digits)), F.lit("0"))
-    return _table(spark, sf_dir, "documents").select(
+    return docs.select(
         F.col("doc_id").alias("row_idx"), F.concat(F.lit("P"), padded).alias("protein_id"), F.col("text").alias("sequence")
     )
 
 
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_idx, protein_id, sequence)`` from whole documents."""
+    return _as_proteins(_table(spark, sf_dir, "documents"))
+
+
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All documents in two tables: the later half's French ones are the unlabeled test table."""
     docs = _table(spark, sf_dir, "documents")
     half = docs.agg(F.max("doc_id") / 2).scalar()
-    is_test = docs.select("doc_id", ((F.col("lang") == "fr") & (F.col("doc_id") >= half)).alias("is_test"))
-    rows = proteins(spark, sf_dir).join(is_test.withColumnRenamed("doc_id", "row_idx"), "row_idx")
-    return rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
+    is_test = (F.col("lang") == "fr") & (F.col("doc_id") >= half)
+    return _as_proteins(docs.where(~is_test)), _as_proteins(docs.where(is_test))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 from labelweave.functions.sequences import sequence_text
 from labelweave.operators.ordered import running_totals
 
+_LABEL = re.compile("label_([0-9]+)")
+
 
 def label_columns(df: DataFrame) -> list[str]:
-    """Columns named ``label_<n>``, by number."""
-    return sorted((c for c in df.columns if c.startswith("label_")), key=lambda c: int(c.split("_")[1]))
+    """Columns named ``label_<digits>``, by number (then name); other names are not labels."""
+    numbered = [(int(m[1]), m[0]) for m in map(_LABEL.fullmatch, df.columns) if m]
+    return [name for _, name in sorted(numbered)]
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -85,9 +89,12 @@ def read_config(path: str) -> dict:
 
 
 def cache_key(proteins: DataFrame, cfg, mode: str) -> DataFrame:
-    """Twelve hex digits that change with the configuration, the mode or any row of the data."""
+    """Twelve hex digits that change with the configuration, the mode or any row of the data.
+
+    Both halves of every row's digest are summed as decimals, so neither part is dropped and no row count overflows.
+    """
     settings = json.dumps({"config": dataclasses.asdict(cfg), "mode": mode}, sort_keys=True)
     row = F.md5(F.concat_ws("|", F.col("row_idx").cast("string"), sequence_text(F.col("sequence"))))
-    digest = F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint"))
-    tail = F.concat_ws("|", F.lit(settings), F.count(F.lit(1)).cast("string"), digest.cast("string"))
+    halves = [F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
+    tail = F.concat_ws("|", F.lit(settings), F.count(F.lit(1)).cast("string"), *halves)
     return proteins.agg(F.substring(F.sha2(tail, 256), 1, 12).alias("cache_key"))

@@ -1,11 +1,13 @@
+import argparse
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelweave.__main__ import number_list
 from labelweave.functions import grids
-from labelweave.operators import labelgraph, mlp, splits
+from labelweave.operators import labelgraph, mlp, splits, tfidf
 from labelweave.sources import packs
 
 PROTEINS = "row_idx bigint, protein_id string, sequence string"
@@ -30,7 +32,7 @@ def test_chronological_with_repeated_ids(spark, seed):
     rng = random.Random(seed)
     rows = [(i, f"P{rng.randint(0, 12):03d}", rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2)) for i in range(60)]
     df = spark.createDataFrame(rows, PROTEINS)
-    split = splits.chronological(df)
+    split = splits.chronological(df, spark.createDataFrame([(0, "P1", "a")], PROTEINS))
     got = {r["row_idx"] for r in split.where("part = 'val'").collect()}
     assert got == brute_chronological(rows, 0.2)
     splits.require_no_leak(df, split)
@@ -42,6 +44,23 @@ def test_tail_needs_every_id_to_parse(spark):
     assert {(r["row_idx"], r["part"]) for r in splits.tail(train, test).collect()} == {(0, "train"), (1, "val")}
     broken = spark.createDataFrame([(0, "5", "c")], PROTEINS)
     assert splits.tail(train, broken).count() == 0
+    assert splits.chronological(train, broken).count() == 0
+    assert splits.chronological(train.union(broken), test).count() == 0
+    assert splits.chronological(train, test.limit(0)).count() == 0
+    assert splits.chronological(train, test).count() == 2
+
+
+def test_label_columns_are_numbered(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "label_10 int, label_foo int, label_2 int, xlabel_1 int, label_3_old int")
+    assert packs.label_columns(df) == ["label_2", "label_10"]
+
+
+def test_cache_key_uses_whole_digests(spark):
+    cfg = tfidf.TfidfConfig()
+    key = lambda rows: packs.cache_key(spark.createDataFrame(rows, PROTEINS), cfg, "m").first()["cache_key"]
+    one = key([(0, "P1", "a"), (1, "P2", "b")])
+    assert one == key([(1, "P2", "b"), (0, "P1", "a")]) and one != key([(0, "P1", "b"), (1, "P2", "a")])
+    assert key([]) != key([(0, "P1", "")])
 
 
 def test_leak_raises(spark):
@@ -54,7 +73,10 @@ def test_leak_raises(spark):
 def test_grids():
     assert len(grids.steps(0.1, 0.9, 0.01)) == 81 and grids.steps(0.0, 1.0, 0.025)[-1] == 1.0
     assert len(grids.simplex(0.05)) == 231
-    assert grids.numbers("5, 10,,20") == [5.0, 10.0, 20.0]
+    assert number_list("5, 10,,20") == [5.0, 10.0, 20.0]
+    for wrong in ("", " , ", "1,x"):
+        with pytest.raises(argparse.ArgumentTypeError):
+            number_list(wrong)
     assert grids.file_safe(1.03) == "1p03"
 
 
