@@ -202,41 +202,43 @@ class Gru:
         return logp, state, np.concatenate([grads[k].ravel() for k in self.shapes])
 
 
-def lanes_of(docs: list[np.ndarray], cfg: LmConfig) -> tuple[np.ndarray, ...]:
-    """Pack documents into lanes, longest first onto the shortest lane: targets, inputs, start marks,
-    document numbers (-1 behind a lane's end); arrays are (step, lane), lanes by falling length."""
+def lanes_of(docs: list[np.ndarray], cfg: LmConfig) -> list[list[int]]:
+    """Documents dealt to lanes, longest first onto the shortest lane; lanes by falling length."""
     n_lanes = max(1, min(cfg.lanes, len(docs)))
-    heap, placed = [(0, i) for i in range(n_lanes)], [[] for _ in range(n_lanes)]
+    heap, placed, loads = [(0, i) for i in range(n_lanes)], [[] for _ in range(n_lanes)], [0] * n_lanes
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         load, lane = heap[0]
-        heapq.heapreplace(heap, (load + len(docs[d]), lane))
+        loads[lane] = load + len(docs[d])
+        heapq.heapreplace(heap, (loads[lane], lane))
         placed[lane].append(d)
-    lanes = sorted(placed, key=lambda ds: -sum(len(docs[d]) for d in ds))
-    steps = sum(len(docs[d]) for d in lanes[0])
-    target, number = np.zeros((steps, n_lanes), np.int64), np.full((steps, n_lanes), -1)
-    fresh = np.zeros((steps, n_lanes), np.float32)
-    for i, ds in enumerate(lanes):
-        at = 0
-        for d in ds:
-            n = len(docs[d])
-            target[at : at + n, i], number[at : at + n, i], fresh[at, i] = docs[d], d, 1
-            at += n
-    return target, fresh, number
+    return [placed[i] for i in sorted(range(n_lanes), key=lambda i: -loads[i])]
 
 
 def _runs(docs: list[np.ndarray], words: Words, cfg: LmConfig, leads: list[int] | None = None):
-    """Windows over packed documents: inputs, start marks, targets, document numbers of active lanes.
+    """Windows over packed documents: inputs, start marks, targets, document numbers of active lanes
+    (-1 behind a lane's end).
 
-    ``leads``: the input before each one's first token, where that isn't the start.
+    ``leads``: the input before each one's first token, where that isn't the start. Lanes lie behind
+    each other in flat arrays, so memory follows the tokens, however much longer one lane is.
     """
-    target, fresh, number = lanes_of(docs, cfg)
-    before = np.vstack([np.zeros((1, target.shape[1]), np.int64), target[:-1]])
-    lead = np.array(leads)[number] if leads else words.head + 1
-    inputs = np.where(fresh > 0, lead, before)
-    for start in range(0, len(target), cfg.window):
-        active = int((number[start] >= 0).sum())
-        part = np.s_[start : start + cfg.window, :active]
-        yield inputs[part], fresh[part], target[part], number[part]
+    lanes = lanes_of(docs, cfg)
+    order = [d for lane in lanes for d in lane]
+    sizes = np.array([len(docs[d]) for d in order])
+    flat = np.concatenate([docs[d] for d in order])
+    number = np.repeat(np.array(order, np.int32), sizes)
+    starts = np.cumsum(sizes) - sizes
+    fresh = np.zeros(len(flat), np.float32)
+    fresh[starts] = 1
+    before = np.r_[flat[:1], flat[:-1]]
+    before[starts] = np.array(leads)[order] if leads else words.head + 1
+    ends = np.cumsum([sum(len(docs[d]) for d in lane) for lane in lanes])
+    lengths = np.diff(ends, prepend=0)
+    for start in range(0, int(lengths[0]), cfg.window):
+        active = int((lengths > start).sum())
+        step = np.arange(start, min(start + cfg.window, int(lengths[0])))[:, None]
+        live = step < lengths[:active]
+        at = np.where(live, (ends - lengths)[:active] + step, 0)
+        yield np.where(live, before[at], 0), fresh[at] * live, np.where(live, flat[at], 0), np.where(live, number[at], -1)
 
 
 def _coded(texts, numbering: dict[bytes, int], head: int) -> list[np.ndarray]:
@@ -334,8 +336,14 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
         tail_logs[words.head :] -= words.tail_log
         for batch in batches:
             texts = batch.column("_raw").to_pylist()
-            split = [tokens_of(t) for t in texts]
-            codes = [np.fromiter((numbering.get(w, unlisted) for w in ws), np.int64, len(ws)) for ws in split]
+            codes, rare = [], []
+            for text in texts:
+                ws, own = tokens_of(text), {}
+                c = np.fromiter((numbering.get(w, unlisted) for w in ws), np.int32, len(ws))
+                for i in np.flatnonzero(c == unlisted):
+                    own[ws[i]] = own.get(ws[i], 0) + 1
+                codes.append(c)
+                rare.append([{"word": w, "m": m} for w, m in own.items()])
             total = np.zeros(len(texts))
             state = None
             for inputs, fresh, target, number in _runs([np.minimum(c, words.head) for c in codes], words, cfg) if codes else ():
@@ -346,12 +354,6 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
             known = [int((c < unlisted).sum()) for c in codes]
             base = [float(listed_logs[c].sum()) - len(c) * rest_log for c in codes]
             full = [float(t / np.log(10) + tail_logs[c].sum()) for t, c in zip(total, codes)]
-            rare = []
-            for ws, c in zip(split, codes):
-                own: dict[bytes, int] = {}
-                for i in np.flatnonzero(c == unlisted):
-                    own[ws[i]] = own.get(ws[i], 0) + 1
-                rare.append([{"word": w, "m": m} for w, m in own.items()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))],
                 ["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],

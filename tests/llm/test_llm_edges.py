@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -356,3 +357,25 @@ def test_ascii_words_are_cut_like_any_others():
     for _ in range(20000):
         text = "".join(pick.choice("   \x00\x1c\x7f\n\t\x0b ab1'sdltremv!?'") for _ in range(pick.randrange(14)))
         assert cut(text) == plain(text)
+
+
+def test_windows_hold_every_token_once_in_bounded_memory():
+    rng, words = np.random.default_rng(4), langmodel.Words.__new__(langmodel.Words)
+    words.head = 50
+    docs = [rng.integers(0, 51, n).astype(np.int32) for n in [200_000, 33, 1, 16, 17, *rng.integers(1, 90, 600)]]
+    cfg, seen = langmodel.LmConfig(), {i: ([], []) for i in range(len(docs))}
+    tracemalloc.start()
+    for inputs, fresh, target, number in langmodel._runs(docs, words, cfg):
+        assert len(inputs) <= cfg.window and (number[0] >= 0).all()
+        for i, lead, token, new in zip(number.T.ravel(), inputs.T.ravel(), target.T.ravel(), fresh.T.ravel()):
+            if i >= 0:
+                assert (new == 1) == (not seen[i][0])
+                seen[i][0].append(lead)
+                seen[i][1].append(token)
+            else:
+                assert new == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 200,000 steps of 256 lanes would take gigabytes
+    for i, doc in enumerate(docs):
+        assert seen[i][1] == doc.tolist() and seen[i][0] == [51, *doc[:-1].tolist()]
