@@ -141,8 +141,8 @@ def fit_adaptive(
 
 
 def apply_adaptive(cells: DataFrame, params: DataFrame, on: Sequence[str] = ("label",)) -> DataFrame:
-    small = F.broadcast(params.select(*on, "weight", "threshold"))  # one row per label and fold
-    joined = cells.join(small, list(on)).withColumn("prob", scoring.blend(F.col("weight"), F.col("p0"), F.col("p1")))
+    found = metrics.with_params(cells, params.select(*on, "weight", "threshold"), on).select("*", "params.*").drop("params")
+    joined = found.withColumn("prob", scoring.blend(F.col("weight"), F.col("p0"), F.col("p1")))
     return joined.withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("tinyint"))
 
 
@@ -195,8 +195,8 @@ def fit_label_specific(
 
 def apply_label_specific(candidates: DataFrame, params: DataFrame, on: Sequence[str] = ("label",)) -> DataFrame:
     """Keep each label's chosen (k, power) scores, blend and predict."""
-    small = F.broadcast(params.select(*on, "k", "power", "weight", "threshold"))  # one row per label and fold
-    chosen = candidates.join(small, [*on, "k", "power"])
+    found = metrics.with_params(candidates, params.select(*on, "k", "power", "weight", "threshold"), on)
+    chosen = found.where("k = params.k and power = params.power").select("*", "params.weight", "params.threshold").drop("params")
     prob = scoring.blend(F.col("weight"), F.col("base"), F.col("prob"))
     return chosen.withColumn("prob", prob).withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("tinyint"))
 
@@ -232,14 +232,18 @@ def fit_selector(
 
 
 def apply_selector(models: DataFrame, params: DataFrame, on: Sequence[str] = ("label",)) -> DataFrame:
-    small = F.broadcast(params.select(*on, "model", "threshold"))  # one row per label and fold
-    chosen = models.join(small, [*on, "model"])
+    found = metrics.with_params(models, params.select(*on, "model", "threshold"), on)
+    chosen = found.where("model = params.model").select("*", "params.threshold").drop("params")
     return chosen.withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("tinyint"))
 
 
-def histogram(params: DataFrame, column: str) -> DataFrame:
-    """How many labels chose each value."""
-    return params.groupBy(column).agg(F.count(F.lit(1)).alias("n_labels"))
+def histogram(params: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
+    """How many labels chose each value; ``values`` adds those that no label chose, with 0."""
+    chosen = params.groupBy(column).agg(F.count(F.lit(1)).alias("n_labels"))
+    if values is None:
+        return chosen
+    every = params.sparkSession.createDataFrame([(v,) for v in values], params.select(column).schema)
+    return every.join(chosen, column, "left").fillna(0, ["n_labels"])
 
 
 def weight_summary(params: DataFrame) -> DataFrame:

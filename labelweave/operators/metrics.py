@@ -114,6 +114,18 @@ def prevalence_drift(truth: DataFrame, membership: DataFrame) -> DataFrame:
     )
 
 
+def with_params(cells: DataFrame, params: DataFrame, on: Sequence[str] = ("label",)) -> DataFrame:
+    """Every cell with the parameters of its label; a label that has none raises when its cells are read.
+
+    Parameters are one row per label and fold, so they are broadcast. Their columns come as one
+    struct ``params``, checked where it is used.
+    """
+    rest = F.struct(*[c for c in params.columns if c not in on]).alias("_found")
+    joined = cells.join(F.broadcast(params.select(*on, rest)), list(on), "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no parameters for"), *[F.col(c).cast("string") for c in on]))
+    return joined.withColumn("params", F.when(F.col("_found").isNull(), missing).otherwise(F.col("_found"))).drop("_found")
+
+
 def misaligned_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cells present in only one score table, or present in both with different truth."""
     a = left.select("row_idx", "label", F.col("y").alias("y_left"))

@@ -191,8 +191,8 @@ def fit_simple(scores: DataFrame, low: float, high: float, fallback: float, shri
 
 def apply_thresholds(scores: DataFrame, thresholds: DataFrame, column: str, on: Sequence[str] = ("label",)) -> DataFrame:
     """Predict with per-label thresholds (a table of one row per label and fold: broadcast)."""
-    small = F.broadcast(thresholds.select(*on, F.col(column).alias("_limit")))
-    return metrics.predict(scores.join(small, list(on)), F.col("_limit")).drop("_limit")
+    found = metrics.with_params(scores, thresholds.select(*on, column), on)
+    return metrics.predict(found, F.col("params")[column]).drop("params")
 
 
 def crossfit(scores: DataFrame, cfg: ThresholdConfig) -> tuple[DataFrame, DataFrame]:

@@ -311,7 +311,7 @@ class Workspace:
         predicted = blend.apply_selector(rows, by_fold, ["fold", "label"])
         self._report(metrics.macro(metrics.label_counts(predicted)), "v18_crossfit")
         params = self._write(blend.fit_selector(rows), "params", "v18")
-        self._report(blend.histogram(params, "model"), "v18_choices")
+        self._report(blend.histogram(params, "model", range(len(models))), "v18_choices")
         return params
 
     # ---- test predictions (mode ``submit``)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labelweave.operators import blend, linear, metrics, thresholds
+from labelweave.operators import blend, knn, linear, metrics, thresholds
 
 SCHEMA = "label string, row_idx bigint, y int, prob double"
 
@@ -117,3 +117,30 @@ def test_stack_reaches_the_optimum(spark):
     fixed = linear.apply_stack(cells, table, ["p0", "p1"]).where("label = 'const'").first()["prob"]
     raw = linear.apply_stack(cells, table, ["p0", "p1"], keep_constant=True).where("label = 'const'").first()["prob"]
     assert (fixed, raw) == (0.0, 0.5)
+
+
+def test_label_without_parameters_raises(spark):
+    cells = spark.createDataFrame([(0, 0, "a", 1, 0.9, 0.9, 0.2), (1, 0, "b", 0, 0.1, 0.1, 0.3)], "row_idx int, model int, label string, y int, prob double, p0 double, p1 double")
+    every = spark.createDataFrame([("a", 0.5, 0.5, 0), ("b", 0.5, 0.5, 0)], "label string, threshold double, weight double, model int")
+    runs = [
+        lambda p: thresholds.apply_thresholds(cells, p, "threshold"),
+        lambda p: blend.apply_adaptive(cells, p),
+        lambda p: blend.apply_selector(cells, p),
+    ]
+    for run in runs:
+        assert [r["pred"] for r in run(every).orderBy("row_idx").collect()] == [1, 0]
+        with pytest.raises(Exception, match="no parameters for b"):
+            run(every.where("label = 'a'")).collect()
+    candidates = cells.withColumns({"k": F.lit(5), "power": F.lit(2.0), "base": F.col("p0")})
+    params = every.withColumns({"k": F.lit(5), "power": F.lit(2.0)})
+    assert blend.apply_label_specific(candidates, params).count() == 2
+    with pytest.raises(Exception, match="no parameters for b"):
+        blend.apply_label_specific(candidates, params.where("label = 'a'")).collect()
+    with pytest.raises(Exception, match="no base score for row 1"):
+        knn.with_base(cells.where("row_idx = 0"), candidates.drop("base"))
+
+
+def test_histogram_keeps_values_nobody_chose(spark):
+    params = spark.createDataFrame([("a", 2), ("b", 2), ("c", 0)], "label string, model int")
+    rows = blend.histogram(params, "model", [0, 1, 2]).collect()
+    assert {r["model"]: r["n_labels"] for r in rows} == {0: 1, 1: 0, 2: 2}
