@@ -27,7 +27,8 @@ def test_study(spark, tmp_path, monkeypatch):
     small = tfidf.TfidfConfig(2, 3, 2, 400)
     monkeypatch.setattr(workspace, "FEATURES", {"v1": small, "v16": small, "v19": small})
     monkeypatch.setattr(workspace, "K_GRID", [3, 5])
-    monkeypatch.setattr(workspace, "POWER_GRID", [2.0])
+    monkeypatch.setattr(workspace, "TUNE_POWERS", [2.0])
+    monkeypatch.setattr(workspace, "LABEL_POWERS", [2.0])
     monkeypatch.setattr(workspace, "SUBMIT_K", 5)
     write_tables(spark, str(tmp_path))
     root = str(tmp_path / "out")
