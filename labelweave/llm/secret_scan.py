@@ -16,8 +16,10 @@ ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 # full of short runs of a-f.
 BASE = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
 
-# Runs that may be keys: letters, digits and the signs of the base-64 alphabets.
-CANDIDATE = "[A-Za-z0-9+/_=-]+"
+# Strings that may be keys: the longest runs over each of these alphabets, so that a key counts by itself
+# behind a name and "=", in a path, or between words joined by signs. Padding belongs to a key if nothing follows.
+RUNS = ["A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"]
+PADDING = "(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 # Encodings by their alphabets, narrowest first; a string has the first one that holds it.
 ENCODINGS = [
     ("decimal", "0123456789"),
@@ -38,6 +40,7 @@ TEXT_RATIO = 1.6
 NORMAL = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
 BIN = 0.05
 BINS = 400
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
 def upper_tail(z: Column) -> Column:
@@ -82,9 +85,20 @@ def _base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, least: int) -> Column:
-    """Whole runs of key-like signs, at least ``least`` long, that hold a digit and are not one symbol."""
-    pattern = CANDIDATE[:-1] + "{" + str(least) + ",}"
-    return F.filter(_spans(text, pattern), lambda s: s["hit"].rlike("[0-9]"))
+    """Longest runs of at least ``least`` signs of each alphabet in RUNS, with their padding: distinct spans."""
+    found = [_spans(text, f"[{signs}]{{{least},}}{PADDING}") for signs in RUNS]
+    return F.array_distinct(F.concat(*found))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans of kind ``random`` by start, overlapping ones as one: a key may lie in several runs."""
+    def step(out, s):
+        last = F.get(out, F.size(out) - 1)
+        wider = F.struct(last["start"], last["rank"], last["kind"], F.greatest(last["end"], s["end"]).alias("end"))
+        apart = last.isNull() | (last["end"] <= s["start"])
+        return F.when(apart, F.array_append(out, s)).otherwise(F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), wider))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def battery(token: Column, alphabet: Column) -> Column:
@@ -150,7 +164,8 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     ``base``: spans of the fixed patterns, ``found``: spans of kind ``random`` that overlap no base
     span; both ``array<struct<start, rank, kind, end>>`` in code points, end exclusive, by start.
 
-    Candidates are whole runs of at least ``least`` key-like signs with a digit. Each has an encoding
+    Candidates are the longest runs of at least ``least`` signs over each alphabet in RUNS, whatever
+    stands around them; found spans that overlap are given as one. Each candidate has an encoding
     inferred from its alphabet and a battery of tests: symbols as even as chance (chi-squared), runs,
     serial correlation. A candidate that fails none of them at ``level`` is tested against being text;
     the text p-values go through step-up false-discovery control at ``false_share``, apart by encoding
@@ -182,8 +197,8 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     secret = passed.join(F.broadcast(cuts), ["encoding", "doubling"]).where("bin >= cut").select("token")
 
     spans = read.select("row", F.inline("runs")).withColumnRenamed("hit", "token").join(secret, "token")
-    found = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), "end"))).alias("found"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    found = spans.groupBy("row").agg(_joined(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), "end"))).alias("found"))
+    none = F.array().cast(SPANS)
     return read.join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 
 

@@ -116,6 +116,31 @@ def test_secret_edges(docs_of):
     assert secret_scan.scan_secrets(docs_of([])).count() == 0
 
 
+def test_secrets_behind_names_and_in_paths(docs_of):
+    rng = np.random.default_rng(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(alphabet, n):
+        return "".join(rng.choice(list(alphabet), n))
+
+    frames = [
+        ("SESSION_ID={}", signs + "+/"), ("https://a.example/v1/items?sig={}&x=1", signs), ("AccountKey={}==", signs + "+/"),
+        ("https://a.example/my-files/some_path/{}", signs), ("user-{}/part", signs), ("é {} end", signs[:52]),
+    ]
+    rows, want = [], {}
+    for i in range(60):
+        frame, alphabet = frames[i % len(frames)]
+        k = key(alphabet, 64)
+        text = frame.format(k)
+        rows.append((i, text))
+        want[i] = (text.index(k), text.index(k) + 64)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in secret_scan.scan_secrets(docs_of(rows)).collect()}
+    for f in range(len(frames)):
+        hit = [i for i in range(f, 60, len(frames)) if any(a <= want[i][0] and want[i][1] <= b for a, b in found[i])]
+        assert len(hit) >= 8, frames[f]
+    assert all(a[1] <= b[0] for spans in found.values() for a, b in zip(spans, spans[1:]))
+
+
 def test_battery_against_numpy(spark):
     token, alphabet = "0a9f3c77be10d4512afc", "0123456789abcdef"
     t = spark.createDataFrame([(token, alphabet)], "t string, a string").select(secret_scan.battery(F.col("t"), F.col("a")).alias("b")).head()["b"]
