@@ -38,6 +38,14 @@ TEXT_AGREES = 0.06
 TEXT_RATIO = 1.6
 # Coefficients of the usual rational approximation of the normal tail (error below 1e-7).
 NORMAL = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+# Fixed values of the text null: letters' shares by 1,000 in usual prose, which count as PRIOR pairs behind
+# each letter before any pair of the documents; the share of letters that follow no habit (abbreviations);
+# the largest share of symbols that begin another class (upper, lower, digit, sign) in identifiers.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTER_SHARES = [82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 0.95, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.74]
+PRIOR = 50
+HABITLESS = 0.2
+MOST_CHANGES = 0.25
 BIN = 0.05
 BINS = 400
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -142,6 +150,68 @@ def battery(token: Column, alphabet: Column) -> Column:
     return F.transform(F.array(given), scores)[0]
 
 
+def letter_pairs(docs: DataFrame, least: int) -> list[float]:
+    """log10 of the chance of each letter behind each letter (26 x 26), then behind none (26), cases folded.
+
+    Pairs are counted over all documents, outside runs that are long enough to be keys: every document's
+    words meet by word first, so what is cut into pairs is each distinct word once.
+    """
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[A-Za-z0-9+/_-]{{{least},}}", " ")
+    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("word != ''")
+    cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.when(i == 1, F.substring("word", 1, 1)).otherwise(F.col("word").substr(i - 1, F.lit(2))))
+    rows = words.select("n", F.explode(cut).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 702 at most
+    counts = [[0.0] * 26 for _ in range(27)]
+    for r in rows:
+        before = LETTERS.index(r["pair"][0]) if len(r["pair"]) == 2 else 26
+        counts[before][LETTERS.index(r["pair"][-1])] += r["n"]
+    out = []
+    for row in counts:
+        chance = [(n + PRIOR * f / sum(LETTER_SHARES)) / (sum(row) + PRIOR) for n, f in zip(row, LETTER_SHARES)]
+        out += [math.log10((1 - HABITLESS) * c + HABITLESS / 26) for c in chance]
+    return out
+
+
+def pair_p(token: Column, alphabet: Column, logs: Column) -> Column:
+    """log10 of a bound on the chance that text or an identifier looks as random as the token, at most 0.
+
+    The bound is the token's chance under the null over its chance as independent uniform symbols; by
+    Markov's inequality the ratio is a p-value at any length. Null: letters follow each other by ``logs``
+    (see letter_pairs); digits and signs are even; a symbol begins another class than the last one's
+    with the share seen in the token, up to MOST_CHANGES; lower case behind upper case begins none.
+    """
+    chars = F.filter(F.split(token, ""), lambda c: c != "")
+    has = lambda signs: alphabet.rlike(signs)
+    both = has("[a-z]") & has("[A-Z]")
+    classes = sum(has(signs).cast("double") for signs in ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]"))
+    given = F.struct(chars.alias("chars"), both.alias("both"), F.greatest(classes - 1, F.lit(1.0)).alias("others"), F.length(alphabet).cast("double").alias("k"), logs.alias("logs"))
+
+    def score(x):
+        n = F.size(x["chars"]).cast("double")
+        zero = F.struct(F.lit(26).alias("last"), F.lit("").alias("kind"), F.lit(0.0).alias("changes"), F.lit(0.0).alias("halves"), F.lit(0.0).alias("sum"))
+
+        def step(a, c):
+            kind = F.when(c.rlike("[a-z]"), "l").when(c.rlike("[A-Z]"), "u").when(c.rlike("[0-9]"), "d").otherwise("s")
+            letter = F.instr(F.lit(LETTERS), F.lower(c)) - 1
+            is_letter = letter >= 0
+            half = x["both"] & (a["kind"] == "u") & is_letter
+            change = (a["kind"] != "") & (a["kind"] != kind) & ~((a["kind"] == "u") & (kind == "l"))
+            gain = F.when(is_letter, F.get(x["logs"], a["last"] * 26 + letter)).when(kind == "d", F.lit(-1.0)).otherwise(F.lit(-math.log10(2)))
+            return F.struct(
+                F.when(is_letter, letter).otherwise(F.lit(26)).alias("last"), kind.alias("kind"), (a["changes"] + change.cast("double")).alias("changes"),
+                (a["halves"] + half.cast("double")).alias("halves"), (a["sum"] + gain).alias("sum"),
+            )
+
+        def end(a):
+            share = F.least(a["changes"] / F.greatest(n - 1, F.lit(1.0)), F.lit(MOST_CHANGES))
+            changed = F.when(a["changes"] > 0, a["changes"] * F.log10(F.greatest(share, F.lit(1e-9)) / x["others"])).otherwise(F.lit(0.0))
+            kept = (n - 1 - a["changes"]) * F.log10(1 - share)
+            return F.least(a["sum"] + changed + kept - a["halves"] * math.log10(2) + n * F.log10(x["k"]), F.lit(0.0))
+
+        return F.aggregate(x["chars"], zero, step, end)
+
+    return F.transform(F.array(given), score)[0]
+
+
 def _encoding(token: Column) -> Column:
     """Name and alphabet of the narrowest encoding that holds the token (padding signs aside)."""
     bare = F.regexp_replace(token, "=+$", "")
@@ -167,13 +237,15 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     Candidates are the longest runs of at least ``least`` signs over each alphabet in RUNS, whatever
     stands around them; found spans that overlap are given as one. Each candidate has an encoding
     inferred from its alphabet and a battery of tests: symbols as even as chance (chi-squared), runs,
-    serial correlation. A candidate that fails none of them at ``level`` is tested against being text;
-    the text p-values go through step-up false-discovery control at ``false_share``, apart by encoding
+    serial correlation. A candidate that fails none of them at ``level`` is tested against being text
+    or an identifier: by its changes of class and its pairs of letters against those of all documents
+    (pair_p), digits alone by how evenly they spread (text_p of the battery). These p-values
+    go through step-up false-discovery control at ``false_share``, apart by encoding
     and length (by doublings), over the distinct candidates of all documents: short strings, which
     hold less evidence, get their own cut. P-values are binned in steps of 0.05 of their decimal
     logarithm, rounding up, so the control is at least as strict as on exact values.
 
-    Texts are read once; only candidates are shuffled. Null and empty texts have no spans. Whole
+    Texts are read twice (pairs of letters, candidates); words' counts and candidates are shuffled. Null and empty texts have no spans. Whole
     texts count, however long. Repeated rows give a row each; extra columns are ignored; an empty
     table gives an empty table.
     """
@@ -183,10 +255,13 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
 
     bare = F.regexp_replace("token", "=+$", "")
     tokens = read.select(F.explode("runs.hit").alias("token")).distinct().withColumn("enc", _encoding(F.col("token"))).where("enc is not null")
-    tested = tokens.select("token", F.col("enc.name").alias("encoding"), battery(bare, F.col("enc.alphabet")).alias("t"))
+    pairs = docs.sparkSession.createDataFrame([(letter_pairs(docs, least),)], "logs array<double>")
+    tokens = tokens.crossJoin(F.broadcast(pairs))  # one row
+    tested = tokens.select("token", F.col("enc.name").alias("encoding"), battery(bare, F.col("enc.alphabet")).alias("t"), pair_p(bare, F.col("enc.alphabet"), F.col("logs")).alias("pair_p"))
     passed = tested.where((F.col("t.n") >= least) & _random_enough(F.col("t"), level))
     stratum = F.floor(F.log2(F.col("t.n"))).cast("int")
-    step = F.least(F.floor(-F.log10(F.greatest(F.col("t.text_p"), F.lit(1e-30))) / BIN), F.lit(BINS)).cast("int")
+    log_p = F.when(F.col("encoding") == "decimal", F.log10(F.greatest(F.col("t.text_p"), F.lit(1e-30)))).otherwise(F.col("pair_p"))
+    step = F.least(F.floor(-log_p / BIN), F.lit(BINS)).cast("int")
     passed = materialize(passed.select("token", "encoding", stratum.alias("doubling"), step.alias("bin")))
     counts = passed.groupBy("encoding", "doubling", "bin").agg(F.count("*").alias("m"))
     # the counts have at most 9 encodings x 31 lengths x 401 bins

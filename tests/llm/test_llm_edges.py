@@ -141,6 +141,36 @@ def test_secrets_behind_names_and_in_paths(docs_of):
     assert all(a[1] <= b[0] for spans in found.values() for a, b in zip(spans, spans[1:]))
 
 
+def test_short_secrets_among_identifiers(spark, docs_of):
+    rng = np.random.default_rng(6)
+    prose = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r[0]]
+    words = sorted({w for t in prose for w in regex.findall("[a-z]{4,9}", t)})
+
+    def name(kind):
+        w = [str(x) for x in rng.choice(words, 5)]
+        return {0: "_".join(w), 1: w[0] + "".join(x.title() for x in w[1:]), 2: "-".join(w), 3: "_".join(w).upper(), 4: "/".join(w[:3]) + "/" + w[3] + str(rng.integers(9999))}[kind]
+
+    dull = [n for n in (name(i % 5) for i in range(1500)) if len(n) >= 20]
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = {"base62": base62, "base64": base62 + "+/", "base32": base62[:26] + "234567"}
+    keys = {}
+    for a, signs in alphabets.items():
+        for n in (20, 24, 28, 32, 36, 40, 44):
+            for _ in range(20):
+                keys["".join(rng.choice(list(signs), n))] = (a, n)
+    items = [(t, None) for t in prose] + [(f"see {d} here", None) for d in dull] + [(f"see {k} here", k) for k in keys]
+    rows = secret_scan.scan_secrets(docs_of([(i, t) for i, (t, _) in enumerate(items)])).collect()
+    found = {r["doc_id"]: r["found"] for r in rows}
+    hits = {}
+    for i, (_, k) in enumerate(items):
+        if k:
+            hits.setdefault(keys[k], []).append(bool(found[i]) and any(s["start"] <= 4 + len(k) // 4 and s["end"] >= 4 + len(k) * 3 // 4 for s in found[i]))
+    recall = {at: sum(h) / len(h) for at, h in hits.items()}
+    assert min(recall.values()) >= 0.7 and sum(recall.values()) / len(recall) >= 0.85
+    wrong = sum(bool(found[i]) for i in range(len(prose), len(prose) + len(dull)))
+    assert wrong <= 0.05 * (wrong + sum(map(sum, hits.values())))
+
+
 def test_battery_against_numpy(spark):
     token, alphabet = "0a9f3c77be10d4512afc", "0123456789abcdef"
     t = spark.createDataFrame([(token, alphabet)], "t string, a string").select(secret_scan.battery(F.col("t"), F.col("a")).alias("b")).head()["b"]
