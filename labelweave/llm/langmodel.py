@@ -18,8 +18,9 @@ END = b""
 
 @dataclass(frozen=True)
 class LmConfig:
-    """Sizes of the model. ``head``: words with outputs of their own; ``listed``: words whose counts
-    travel with tasks; all other words are counted and scored through a join."""
+    """Sizes of the model. ``head``: words with outputs in the classes; ``listed``: words whose counts
+    travel with tasks, those beyond the head with outputs in the tree; all other words are counted and
+    scored through a join. ``shared``: input vectors that the tree's words share by their number."""
 
     hidden: int = 16
     head: int = 1024
@@ -28,6 +29,7 @@ class LmConfig:
     lanes: int = 256
     window: int = 16
     piece: int = 256
+    shared: int = 2048
     rate: float = 0.1
     damping: float = 1e-6
     first_share: int = 8
@@ -63,8 +65,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("_raw").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+LEAVES = 64  # children of every node of the tree, but the first, which has as many as it needs
+
+
 class Words:
-    """What tasks must know of the counts: the listed words, the head's classes and the tail's mass."""
+    """What tasks must know of the counts: the listed words, the head's classes, the tree over the other
+    listed words by falling count, and the mass of the unlisted ones.
+
+    Numbers of words: the head's, one for all unlisted words, one for the start, then the tree's.
+    """
+
+    deep = 0
 
     def __init__(self, counts: DataFrame, cfg: LmConfig):
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
@@ -77,18 +88,26 @@ class Words:
             self.counts = np.insert(np.delete(self.counts, at), to, self.counts[at])
         self.head = min(cfg.head, len(self.words))
         mass = self.counts[: self.head]
-        tail = self.n - mass.sum()
-        self.tail_log = float(np.log10(max(tail, 0) + self.v - self.head + 1))
+        below = self.counts[self.head :]
+        self.deep = len(below)
+        tail = self.n - self.counts.sum()
+        self.tail_log = float(np.log10(max(tail, 0) + self.v - len(self.words) + 1))
+        self.top = -(-self.deep // LEAVES**2)
+        leaves = np.zeros(self.top * LEAVES**2)
+        leaves[: self.deep] = below + 1
+        with np.errstate(divide="ignore"):  # leaves without a word can never be chosen
+            level = [np.log(leaves.reshape(-1, LEAVES ** (2 - i)).sum(1)) for i in range(3)]
+        self.tree_bias = [np.maximum(b, -1e9).astype(np.float32) for b in level]
         root = np.sqrt(mass)
         share = np.cumsum(root) / max(root.sum(), 1)
         self.class_of = np.minimum((share * cfg.classes - 1e-9).astype(int), cfg.classes - 1)
         self.first = np.searchsorted(self.class_of, np.arange(cfg.classes + 1))
         by_class = np.array([mass[a:b].sum() for a, b in zip(self.first, self.first[1:])])
-        self.class_bias = np.log(np.r_[by_class, tail] + 1).astype(np.float32)
+        self.class_bias = np.log(np.r_[by_class, tail, below.sum()][: cfg.classes + 1 + (self.deep > 0)] + 1).astype(np.float32)
         self.word_bias = np.log(mass + 1).astype(np.float32) if self.head else np.zeros(0, np.float32)
 
     def numbering(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+        return {w: i if i < self.head else i + 2 for i, w in enumerate(self.words)}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,34 +115,82 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Gru:
-    """Parameters and one window forward and backward. Inputs: head words, the tail word, the start."""
+    """Parameters and one window forward and backward. Inputs: head words, the unlisted word, the start,
+    the vectors that words of the tree share.
+
+    The last level of the tree holds most parameters. They lie behind the others in ``flat``; a window's
+    gradient leaves them out, and ``leaf_grads`` has the rows of the nodes that it met.
+    """
 
     def __init__(self, words: Words, cfg: LmConfig, flat: np.ndarray | None = None):
-        h, k, c = cfg.hidden, words.head, cfg.classes + 1
+        h, k, c = cfg.hidden, words.head, cfg.classes + 1 + (words.deep > 0)
         self.words, self.cfg = words, cfg
-        shapes = {"x": (k + 2, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (h, k), "bw": (k,)}
-        size = sum(int(np.prod(s)) for s in shapes.values())
+        self.inputs = k + 2 + (cfg.shared if words.deep else 0)
+        shapes = {"x": (self.inputs, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (h, k), "bw": (k,)}
+        last = {}
+        if words.deep:
+            top = words.top
+            shapes |= {"wa": (1, h + 1, top), "wb": (top, h + 1, LEAVES)}
+            last = {"wd": (top * LEAVES, h + 1, LEAVES)}
+        self.dense = sum(int(np.prod(s)) for s in shapes.values())
+        size = self.dense + sum(int(np.prod(s)) for s in last.values())
         if flat is None:
             rng = np.random.default_rng(cfg.seed)
             flat = rng.normal(0, 0.1, size).astype(np.float32)
         self.flat, at = flat.astype(np.float32).copy(), 0
-        for name, shape in shapes.items():
+        for name, shape in (shapes | last).items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
-        self.shapes = shapes
+        self.shapes, self.leaf_grads = shapes, None
 
     def start_from_counts(self) -> Gru:
         self.bc[:] = self.words.class_bias
         self.bw[:] = self.words.word_bias
+        if self.words.deep:
+            for part, bias in zip((self.wa, self.wb, self.wd), self.words.tree_bias):
+                part[:, -1] = bias.reshape(part.shape[0], part.shape[2])
         return self
 
+    def level(self, weights: np.ndarray, nodes: np.ndarray, states: np.ndarray, choice: np.ndarray, learn: bool):
+        """Natural-log probability of each row's ``choice`` among its node's children; when learning, the
+        gradients of the states and of the nodes met (numbers and weights). ``nodes`` is sorted; a node's
+        weights end with the row of biases, and ``states`` with a one."""
+        first = np.flatnonzero(np.r_[True, np.diff(nodes) > 0])
+        n, met = np.arange(len(nodes)), nodes[first]
+        sizes = np.diff(np.r_[first, len(nodes)])
+        if len(met) == 1:
+            logits = states @ weights[met[0]]
+        else:
+            own = weights[nodes]
+            logits = np.matmul(states[:, None, :], own)[:, 0]
+        logits -= logits.max(1, keepdims=True)
+        prob = np.exp(logits)
+        norm = prob.sum(1, keepdims=True)
+        logp = logits[n, choice] - np.log(norm[:, 0])
+        if not learn:
+            return logp, None, None
+        prob /= -norm
+        prob[n, choice] += 1
+        if len(met) == 1:
+            return logp, prob @ weights[met[0]].T, (met, (states.T @ prob)[None])
+        back = np.matmul(own, prob[:, :, None])[:, :, 0]
+        grad = np.empty((len(met), *weights.shape[1:]), np.float32)
+        one = sizes == 1
+        at = first[one]
+        grad[one] = states[at][:, :, None] * prob[at][:, None, :]
+        for i in np.flatnonzero(~one):
+            a, b = first[i], first[i] + sizes[i]
+            grad[i] = states[a:b].T @ prob[a:b]
+        return logp, back, (met, grad)
+
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None):
         """Natural-log probability of each target's class and, in the head, word; with gradients, also
         that of the states."""
         first, n = self.words.first, np.arange(len(targets))
-        in_head = targets < self.words.head
+        in_head, deep = targets < self.words.head, np.flatnonzero(targets > self.words.head)
         cls = np.full(len(targets), self.cfg.classes)
+        cls[deep] = self.cfg.classes + 1
         cls[in_head] = self.words.class_of[targets[in_head]]
         logits = states @ self.wc + self.bc
         logits -= logits.max(1, keepdims=True)
@@ -156,12 +223,30 @@ class Gru:
                 grads["ww"][:, a:b] += own.T @ prob
                 grads["bw"][a:b] += prob.sum(0)
                 back[rows] += prob @ part.T
+        self.leaf_grads = None
+        if len(deep):
+            deep = deep[np.argsort(targets[deep], kind="stable")]
+            leaf = targets[deep] - self.words.head - 2
+            own = np.concatenate([states[deep], np.ones((len(deep), 1), np.float32)], 1)
+            node = leaf // LEAVES
+            steps = (("wa", np.zeros_like(leaf), node // LEAVES), ("wb", node // LEAVES, node % LEAVES), ("wd", node, leaf % LEAVES))
+            for name, nodes, choice in steps:
+                got, to_own, found = self.level(getattr(self, name), nodes, own, choice, grads is not None)
+                logp[deep] += got
+                if grads is not None:
+                    back[deep] += to_own[:, :-1]
+                    if name == "wd":
+                        self.leaf_grads = found
+                    else:
+                        grads[name][found[0]] += found[1]
         return logp, back
 
     def window(self, state, inputs, fresh, targets, live, learn: bool):
         """Run ``inputs[t, lane]``; returns log-probabilities, the last state and, when learning, the
         gradient (truncated at the window's start) of the live targets' sum."""
         h, (steps, lanes) = self.cfg.hidden, inputs.shape
+        start = self.words.head + 2
+        inputs = np.where(inputs < start, inputs, start + (inputs - start) % self.cfg.shared)
         xs = self.x[inputs]
         states = np.empty((steps, lanes, h), np.float32)
         saved = []
@@ -242,7 +327,7 @@ def _runs(docs: list[np.ndarray], words: Words, cfg: LmConfig, leads: list[int]
 
 
 def _coded(texts, numbering: dict[bytes, int], head: int) -> list[np.ndarray]:
-    return [np.minimum(np.fromiter((numbering.get(w, head) for w in tokens_of(t)), np.int64), head) for t in texts]
+    return [np.fromiter((numbering.get(w, head) for w in tokens_of(t)), np.int32) for t in texts]
 
 
 def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray) -> np.ndarray:
@@ -252,14 +337,14 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
     Parameters travel in blocks; a block's copies are summed in salted groups first, so no task and no
     driver holds the parameters of all tasks.
     """
-    head_words = {w: i for i, w in enumerate(words.words[: words.head])}
-    block = 4096
+    block = 65_536
 
     def learn(batches):
-        model = Gru(words, cfg, flat)
-        squares, seen = np.full_like(model.flat, cfg.damping), 0
+        model, numbering = Gru(words, cfg, flat), words.numbering()
+        squares, seen, dense = np.full_like(model.flat, cfg.damping), 0, model.dense
+        leaf_squares = squares[dense:].reshape(model.wd.shape) if words.deep else None
         for batch in batches:
-            docs = _coded(batch.column("_raw").to_pylist(), head_words, words.head)
+            docs = _coded(batch.column("_raw").to_pylist(), numbering, words.head)
             # long texts are learned from in pieces side by side, so that no window has few lanes
             cuts = [(d, i) for d in docs for i in range(0, len(d), cfg.piece)]
             pieces = [d[i : i + cfg.piece] for d, i in cuts]
@@ -272,15 +357,21 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
                 many = int((number >= 0).sum())
                 grad /= cfg.lanes * cfg.window  # a window of few lanes counts for less
                 seen += many
-                squares += grad * grad
-                model.flat += cfg.rate * grad / np.sqrt(squares)
+                squares[:dense] += grad * grad
+                model.flat[:dense] += cfg.rate * grad / np.sqrt(squares[:dense])
+                if model.leaf_grads:
+                    nodes, grad = model.leaf_grads
+                    grad /= cfg.lanes * cfg.window
+                    new = leaf_squares[nodes] + grad * grad
+                    leaf_squares[nodes] = new
+                    model.wd[nodes] += cfg.rate * grad / np.sqrt(new)
         if seen:
-            blocks = [(model.flat[i : i + block] * np.float64(seen)).tobytes() for i in range(0, len(model.flat), block)]
+            blocks = [(model.flat[i : i + block] * np.float32(seen)).tobytes() for i in range(0, len(model.flat), block)]
             n, salt = len(blocks), int(abs(float(model.flat.sum())) * 1e6) % cfg.average_salts
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(blocks, pa.binary())], ["block", "salt", "seen", "total"])
 
     def add(table):
-        total = sum(np.frombuffer(b, np.float64) for b in table.column("total").to_pylist())
+        total = sum(np.frombuffer(b, np.float32) for b in table.column("total").to_pylist())
         seen = sum(table.column("seen").to_pylist())
         return pa.table({"block": table.column("block")[:1], "salt": pa.array([0], pa.int32()), "seen": pa.array([seen]), "total": pa.array([total.tobytes()], pa.binary())})
 
@@ -288,7 +379,7 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
     parts = docs.select("_raw").mapInArrow(learn, schema)
     summed = parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     rows = sorted(summed.collect(), key=lambda r: r["block"])
-    return np.concatenate([np.frombuffer(r["total"], np.float64) / r["seen"] for r in rows]).astype(np.float32) if rows else flat
+    return np.concatenate([np.frombuffer(r["total"], np.float32) / r["seen"] for r in rows]).astype(np.float32) if rows else flat
 
 
 def in_training(doc_id):
@@ -305,9 +396,11 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
 
     The counts of all training words are gathered by one aggregation. The model: a gated recurrent
     network reads the words; the softmax is factored into classes of words (equal shares of the square
-    root of frequency) and words within a class. All words beyond the most frequent ``head`` form one
-    class in which a word has its add-one share of the training count, unknown words taking the place
-    of one more word, so probabilities sum to 1. Training is truncated backpropagation in numpy over
+    root of frequency) and words within a class. The listed words beyond the most frequent ``head`` form one
+    class whose words are the leaves of a tree, three choices deep, each a softmax over the state; as inputs
+    they share ``shared`` vectors. Words beyond the ``listed`` ones form one class in which a word has
+    its add-one share of the training count, unknown words taking the place of one more word, so
+    probabilities sum to 1. Training is truncated backpropagation in numpy over
     every training document, once: an eighth of them first, then the rest from the mean of the tasks'
     parameters. Scoring carries the state through a whole document and sums log10 probabilities.
 
@@ -329,11 +422,8 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
 
     def score(batches):
         model, numbering = Gru(words, cfg, flat), words.numbering()
-        unlisted = len(numbering)
-        listed_logs = np.r_[logs, 0.0]
-        tail_logs = listed_logs.copy()
-        tail_logs[: words.head] = 0
-        tail_logs[words.head :] -= words.tail_log
+        unlisted = words.head
+        listed_logs = np.r_[logs[: words.head], 0.0, 0.0, logs[words.head :]]
         for batch in batches:
             texts = batch.column("_raw").to_pylist()
             codes, rare = [], []
@@ -346,14 +436,14 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
                 rare.append([{"word": w, "m": m} for w, m in own.items()])
             total = np.zeros(len(texts))
             state = None
-            for inputs, fresh, target, number in _runs([np.minimum(c, words.head) for c in codes], words, cfg) if codes else ():
+            for inputs, fresh, target, number in _runs(codes, words, cfg) if codes else ():
                 lanes = inputs.shape[1]
                 state = np.zeros((lanes, cfg.hidden), np.float32) if state is None else state[:lanes]
                 logp, state, _ = model.window(state, inputs, fresh, target, number >= 0, False)
                 total += np.bincount(number[number >= 0], logp, len(texts))
-            known = [int((c < unlisted).sum()) for c in codes]
+            known = [int((c != unlisted).sum()) for c in codes]
             base = [float(listed_logs[c].sum()) - len(c) * rest_log for c in codes]
-            full = [float(t / np.log(10) + tail_logs[c].sum()) for t, c in zip(total, codes)]
+            full = [float(t / np.log(10) - (len(c) - k) * words.tail_log) for t, c, k in zip(total, codes, known)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))],
                 ["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],

@@ -378,6 +378,40 @@ def test_language_model_edges(docs_of):
     assert langmodel.score_documents(docs_of([])).count() == 0
 
 
+def deep_words(spark, listed):
+    cfg = langmodel.LmConfig(head=5, classes=3, hidden=4, shared=7, listed=listed)
+    counts = spark.createDataFrame([(bytes(f"w{i}", "ascii"), 1 + 200_000 // (i + 1)) for i in range(5000)] + [(b"", 900)], "word binary, n long")
+    return cfg, langmodel.Words(counts, cfg)
+
+
+def test_every_listed_word_follows_the_state(spark):
+    cfg, words = deep_words(spark, 100_000)
+    assert words.deep == 4996 and words.numbering()[words.words[5]] == 7
+    rng = np.random.default_rng(2)
+    model = langmodel.Gru(words, cfg).start_from_counts()
+    model.wd[:, :-1] += rng.normal(0, 0.5, model.wd[:, :-1].shape)
+    every = np.r_[np.arange(6), np.arange(7, 7 + words.deep)]
+    for state in rng.normal(size=(3, 4)).astype(np.float32):
+        logp, _ = model.outputs(np.repeat(state[None], len(every), 0), every, None)
+        assert np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    a, b = (model.outputs(np.full((len(every), 4), x, np.float32), every, None)[0] for x in (0.9, -0.9))
+    moved = (a - b)[7:] - (a - b)[6]  # a word's share within the tree depends on the state
+    assert (np.abs(moved) > 1e-4).mean() > 0.99
+    # gradients of the leaves against differences
+    states, targets = rng.normal(size=(40, 4)).astype(np.float32), np.r_[np.full(5, 8), rng.integers(7, 5000, 35)]
+    grads = {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}
+    model.outputs(states, targets, grads)
+    nodes, leaf = model.leaf_grads
+    for name, node, g in (("wd", nodes[0], leaf[0]), ("wb", 0, grads["wb"][0]), ("wa", 0, grads["wa"][0])):
+        for at in ((0, 1), (2, 1), (4, 1)):
+            w, ends = getattr(model, name), []
+            for d in (1e-2, -1e-2):
+                w[(node, *at)] += d
+                ends.append(float(model.outputs(states, targets, None)[0].astype(float).sum()))
+                w[(node, *at)] -= d
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(g[at]), rel=0.02, abs=0.02)
+
+
 def test_probabilities_sum_to_one():
     cfg = langmodel.LmConfig(head=5, classes=3, hidden=4)
     words = langmodel.Words.__new__(langmodel.Words)
