@@ -20,7 +20,8 @@ END = b""
 class LmConfig:
     """Sizes of the model. ``head``: words with outputs in the classes; ``listed``: words whose counts
     travel with tasks, those beyond the head with outputs in the tree; all other words are counted and
-    scored through a join. ``shared``: input vectors that the tree's words share by their number."""
+    scored through a join. ``shared``: input vectors that the tree's words share by their number. ``task_tokens``:
+    partitions are learned from together until a task has about so many, as each task's parameters travel."""
 
     hidden: int = 16
     head: int = 1024
@@ -30,6 +31,7 @@ class LmConfig:
     window: int = 16
     piece: int = 256
     shared: int = 2048
+    task_tokens: int = 2_000_000
     rate: float = 0.1
     damping: float = 1e-6
     first_share: int = 8
@@ -376,7 +378,7 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
         return pa.table({"block": table.column("block")[:1], "salt": pa.array([0], pa.int32()), "seen": pa.array([seen]), "total": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, salt int, seen double, total binary"
-    parts = docs.select("_raw").mapInArrow(learn, schema)
+    parts = docs.select("_raw").coalesce(words.n // cfg.task_tokens + 1).mapInArrow(learn, schema)
     summed = parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     rows = sorted(summed.collect(), key=lambda r: r["block"])
     return np.concatenate([np.frombuffer(r["total"], np.float32) / r["seen"] for r in rows]).astype(np.float32) if rows else flat
