@@ -144,3 +144,10 @@ def test_histogram_keeps_values_nobody_chose(spark):
     params = spark.createDataFrame([("a", 2), ("b", 2), ("c", 0)], "label string, model int")
     rows = blend.histogram(params, "model", [0, 1, 2]).collect()
     assert {r["model"]: r["n_labels"] for r in rows} == {0: 1, 1: 0, 2: 2}
+
+
+def test_stack_that_still_moves_raises(spark):
+    cells = spark.createDataFrame([("a", i % 2, 0.1 * i) for i in range(20)] + [("b", int(i > 9), 0.1 * i) for i in range(20)], "label string, y int, p0 double")
+    with pytest.raises(RuntimeError, match="still move"):
+        linear.fit_stack(cells, ["p0"], max_iter=1)
+    assert linear.fit_stack(cells, ["p0"]).count() == 2
