@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,7 +25,6 @@ ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]
 HEAD = 300_000
 HEAD_TEXT_BYTES = 64 << 20
 PART_ROWS = 500
-BATCH_ROWS = "1000"
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -96,11 +96,12 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
     return common.most_frequent(materialize(counted.where("n > 1")), limit)[0]
 
 
-def parts(batches):
+def parts(batches, rows: int = PART_ROWS):
     """Small pieces of the batches, so that few texts are Python objects at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(start, PART_ROWS)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker process goes on with other stages
 
 
 def _narrow(ids: list[int]) -> bytes:
@@ -108,8 +109,8 @@ def _narrow(ids: list[int]) -> bytes:
     return np.array(ids, "<u2").tobytes() if max(ids, default=0) < 1 << 16 else b"\0" + np.array(ids, "<u4").tobytes()
 
 
-def _wide(packed: bytes) -> bytes:
-    return packed[1:] if len(packed) % 2 else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed[1:], "<u4") if len(packed) % 2 else np.frombuffer(packed, "<u2")
 
 
 def _planes(codes: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -123,31 +124,66 @@ def _codes(packed: bytes) -> np.ndarray:
     return low | mid << 8 | high << 16
 
 
+class WordList:
+    """The frequent words and the ids of each, in flat arrays: a few bytes a word in every worker."""
+
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
+        model, made = vocabulary.tokenizer(), []
+        for start in range(0, len(words), 1000):
+            made += [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(words[start : start + 1000], add_special_tokens=False)]
+        self.words, self.size = pa.array(words, pa.string()), len(words)
+        self.ids = np.concatenate([np.zeros(0, np.uint32), *made])
+        self.ends = np.cumsum([0, *map(len, made)])
+
+    def numbers(self, found: pa.Array) -> np.ndarray:
+        """Every word's place in the list; ``size`` for a word that is not in it."""
+        if not self.size or not len(found):
+            return np.full(len(found), self.size, np.int64)
+        return pc.fill_null(pc.index_in(found, value_set=self.words), self.size).to_numpy().astype(np.int64)
+
+    def spell(self, codes: np.ndarray, fills: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of word numbers, one after another, and how many each word has; ``fills`` are the ids of unlisted ones in turn."""
+        gap = codes == self.size
+        starts, counts = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        starts[~gap], counts[~gap] = self.ends[codes[~gap]], np.diff(self.ends)[codes[~gap]]
+        own = np.array([len(f) for f in fills], np.int64)
+        starts[gap], counts[gap] = len(self.ids) + np.cumsum(own) - own, own
+        source = np.concatenate([self.ids, *fills]) if fills else self.ids
+        at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return source[at].astype("<u4"), counts
+
+
+def cut_part(texts: list[str | None], cut) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts in one array, and how many each text has."""
+    flat, counts = [], []
+    for text in texts:
+        found = cut(text or "")
+        flat += found
+        counts.append(len(found))
+    return pa.array(flat, pa.string()), np.array(counts, np.int64)
+
+
 def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together and sorted by word, so each
-    task encodes a word once and remembers no more than a batch; ids packed by ``_narrow``. A very
-    frequent word may be split over tasks."""
+    """``(_row, _tag, _at, ids)`` for ``(_row, _tag, _at, word)``: rows are brought together and sorted by
+    word, so each task encodes a word once and remembers no more than a piece of a batch; ids packed by
+    ``_narrow``. A very frequent word may be split over tasks."""
 
     def encode(batches):
         model, last = vocabulary.tokenizer(), {}
-        for batch in batches:
-            words = batch.column("word").to_pylist()
+        for part in parts(batches, 2000):
+            words = part.column("word").to_pylist()
             new = list(set(words).difference(last))
             made = model.encode_batch_fast(new, add_special_tokens=False)
             table = last | {word: _narrow(one.ids) for word, one in zip(new, made)}
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "_tag", "_at")), pa.array([table[w] for w in words], pa.binary())], ["_row", "_tag", "_at", "ids"])
             last = {w: table[w] for w in words[-1:]}
 
-    return rows.hint("rebalance", F.col("word")).sortWithinPartitions("word").mapInArrow(encode, "_row long, _at int, ids binary")
+    return rows.hint("rebalance", F.col("word")).sortWithinPartitions("word").mapInArrow(encode, "_row long, _tag short, _at int, ids binary")
 
 
-def encode_list(words: list[str], vocabulary: Vocabulary) -> list[bytes]:
-    """Ids of a bounded list of words, a thousand at a time."""
-    model, out = vocabulary.tokenizer(), []
-    for start in range(0, len(words), 1000):
-        made = model.encode_batch_fast(words[start : start + 1000], add_special_tokens=False)
-        out += [np.array(e.ids, "<u4").tobytes() for e in made]
-    return out
+def _joined(ends: np.ndarray, data) -> pa.Array:
+    """A binary column whose rows lie one after another in ``data``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
@@ -158,71 +194,67 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     UTF-8 text that the ids' pieces give (malformed parts as U+FFFD).
 
     1. Texts are cut into words inside the scan. A word of the frequent list (at most ``head``, under
-       2**24) becomes a 3-byte number; any other word becomes a row (row, position, word).
+       2**24) becomes a 3-byte number; any other word becomes a row (row key, position, word).
     2. The rows are shuffled by word; each distinct word is encoded once (a very frequent one once per
        task). The frequent words are encoded once beforehand.
     3. The ids are gathered by document and fill the gaps by position.
-    4. Ids become pieces by a lookup in the id-to-piece table, which has the vocabulary's size.
-
-    The scan runs twice, for the words and for the numbers, rather than being stored: ``docs`` must
-    give the same rows in the same order each time, as a table of files does. Only rare words are
-    shuffled as rows. Null and empty texts give no ids and the empty text. Very long texts are one row
-    throughout. Repeated rows are encoded each. Columns named like the added ones are replaced; an
-    empty table gives an empty table.
+    4. Ids become pieces by a join with the id-to-piece table, which has the vocabulary's size.
+
+    The scan runs twice, for the words and for the numbers, rather than being stored. A row is known
+    in both by 80 bits of hash over its columns, so it does not matter how either scan is split;
+    a document whose gaps and fills differ in number raises. Only rare words are shuffled as rows.
+    Null and empty texts give no ids and the empty text. Very long texts are one row throughout.
+    Repeated rows are encoded each. Columns named like the added ones are replaced; an empty table
+    gives an empty table.
     """
     vocabulary = Vocabulary(path)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)  # long rows: small batches on both sides
     plain = docs.drop("n_tokens", "ids", "decoded")
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
-    frequent = head_words(texts, vocabulary.special, head)
     special = vocabulary.special
+    frequent = WordList(head_words(texts, special, head), vocabulary)
 
     def cut_rare(batches):
-        cut, known = cutter(special), set(frequent)
-        for batch in parts(batches):
-            rows, places, words = [], [], []
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist()):
-                found = cut(text or "")
-                gaps = [at for at, word in enumerate(found) if word not in known]
-                rows += [row] * len(gaps)
-                places += gaps
-                words += [found[at] for at in gaps]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["_row", "_at", "word"])
+        cut = cutter(special)
+        for part in parts(batches):
+            words, counts = cut_part(part.column("_text").to_pylist(), cut)
+            gaps = np.flatnonzero(frequent.numbers(words) == frequent.size)
+            row = np.repeat(np.arange(len(counts)), counts)[gaps]
+            at = gaps - (np.cumsum(counts) - counts)[row]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_row").take(pa.array(row)), part.column("_tag").take(pa.array(row)), pa.array(at, pa.int32()), words.take(pa.array(gaps))], ["_row", "_tag", "_at", "word"]
+            )
 
     def number_head(batches):
-        cut, number, press = cutter(special), {w: i for i, w in enumerate(frequent)}, zstandard.ZstdCompressor(level=6)
-        for batch in parts(batches):
-            packed = []
-            for text in batch.column("_text").to_pylist():
-                found = cut(text or "")
-                packed.append(_planes(np.fromiter((number.get(w, len(number)) for w in found), np.uint32, len(found)), press))
-            names = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], [*names, "_codes"])
-
-    keyed = texts.select(F.monotonically_increasing_id().alias("_row"), *kept, "_text")
-    rare = keyed.select("_row", "_text").mapInArrow(cut_rare, "_row long, _at int, word string")
-    filled = encode_rows(rare, vocabulary).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_fill"))
+        cut, press = cutter(special), zstandard.ZstdCompressor(level=6)
+        for part in parts(batches):
+            words, counts = cut_part(part.column("_text").to_pylist(), cut)
+            numbers = np.split(frequent.numbers(words), np.cumsum(counts)[:-1])
+            names = [c for c in part.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([_planes(n, press) for n in numbers], pa.binary())], [*names, "_codes"])
+
+    hashed = [F.col(c) for c, t in texts.dtypes if "map<" not in t and "variant" not in t]
+    keyed = texts.select(F.xxhash64(*hashed).alias("_row"), F.shiftright(F.xxhash64(F.lit("tag"), *hashed), 48).cast("short").alias("_tag"), *kept, "_text")
+    rare = keyed.select("_row", "_tag", "_text").mapInArrow(cut_rare, "_row long, _tag short, _at int, word string")
+    filled = encode_rows(rare, vocabulary).groupBy("_row", "_tag").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_fill"))
     coded = keyed.mapInArrow(number_head, keyed.drop("_text").withColumn("_codes", F.lit(b"")).schema)
-    whole = coded.join(filled.withColumn("_fill", F.col("_fill.ids")), "_row", "left")
-
-    head_ids, piece_of = encode_list(frequent, vocabulary), vocabulary.pieces()
+    whole = coded.join(filled.withColumn("_fill", F.col("_fill.ids")), ["_row", "_tag"], "left")
+    pieces = pa.array(vocabulary.pieces(), pa.binary())
 
     def join_back(batches):
-        for batch in parts(batches):
-            counts, ids, decoded = [], [], []
-            for packed, fill in zip(batch.column("_codes").to_pylist(), batch.column("_fill").to_pylist()):
-                rest = map(_wide, fill or ())
-                own = b"".join([head_ids[code] if code < len(head_ids) else next(rest) for code in _codes(packed).tolist()])
-                numbers = np.frombuffer(own, "<u4").tolist()
-                counts.append(len(numbers))
-                ids.append(own)
-                decoded.append(b"".join(map(piece_of.__getitem__, numbers)).decode("utf-8", "replace").encode())
-            names = [c for c in batch.schema.names if c not in ("_codes", "_fill", "_row")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                [*names, "n_tokens", "ids", "decoded"],
-            )
+        for part in parts(batches):
+            codes = [_codes(c) for c in part.column("_codes").to_pylist()]
+            fills = [f or [] for f in part.column("_fill").to_pylist()]
+            if any(int((c == frequent.size).sum()) != len(f) for c, f in zip(codes, fills)):
+                raise RuntimeError("the two scans of a document found different words; its rows are not stable")
+            ids, counts = frequent.spell(np.concatenate(codes), [_wide(x) for f in fills for x in f])
+            ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum([len(c) for c in codes]))]
+            spelled = pieces.take(pa.array(ids, pa.uint32()))
+            _, offsets, data = spelled.buffers()
+            edges = np.frombuffer(offsets, np.int32)[ends] if len(ids) else np.zeros(len(ends), np.int32)
+            decoded = [data[a:b].to_pybytes().decode("utf-8", "replace").encode() if b > a else b"" for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            names = [c for c in part.schema.names if c not in ("_codes", "_fill", "_row", "_tag")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(ends), pa.int64()), _joined(ends * 4, ids), pa.array(decoded, pa.binary())], [*names, "n_tokens", "ids", "decoded"])
 
     out = plain.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
-    return whole.select("_row", *kept, "_codes", "_fill").mapInArrow(join_back, out)
+    return whole.select(*kept, "_codes", "_fill").mapInArrow(join_back, out)

@@ -15,7 +15,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 BLOCK = 1 << 16
 HELD = 1 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -43,15 +43,43 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _random_bytes_table() -> np.ndarray:
+    return common.mix(np.arange(1, 257, dtype=np.uint64) * common.ROOT)
+
+
+TABLE = _random_bytes_table()
+BLANK = np.isin(np.arange(256), np.frombuffer(common.BLANKS, np.uint8))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of some texts, one after another, and how many each text has.
+
+    A word's hash is a polynomial of a random number for each of its bytes, from prefix sums over all
+    texts at once, so no word becomes an object.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    inside = ~BLANK[data]
+    edge = np.diff(np.r_[False, inside].view(np.int8), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    with np.errstate(over="ignore"):
+        falling = np.full(len(data), pow(BASES[0], -1, 1 << 64), np.uint64)
+        falling[:1] = 1
+        sums = np.r_[np.uint64(0), np.cumsum(TABLE[data] * np.cumprod(falling))]
+        rising = np.full(len(data), BASES[0], np.uint64)
+        rising[:1] = 1
+        values = (sums[ends] - sums[starts]) * np.cumprod(rising)[starts] + (ends - starts).astype(np.uint64)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return common.mix(values), np.diff(np.searchsorted(starts, bounds), prepend=0)
+
+
 class Windows:
     """The windows of some texts, all in flat arrays: where they start, whose they are, their hashes."""
 
-    def __init__(self, texts: list[list[bytes]], hashes: common.WordHash, k: int):
-        counts = np.array([len(t) for t in texts], np.int64)
-        self.values = hashes.of([w for t in texts for w in t])
-        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(self.values))
+    def __init__(self, texts: list[bytes], k: int):
+        self.values, self.counts = word_hashes(texts)
+        left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(self.values))
         self.k, self.at = k, np.flatnonzero(left >= k)
-        self.doc = np.repeat(np.arange(len(texts)), counts)[self.at]
+        self.doc = np.repeat(np.arange(len(texts)), self.counts)[self.at]
 
     def first(self) -> np.ndarray:
         """64 bits of every window's hash."""
@@ -69,13 +97,13 @@ class Windows:
 
 
 def pieces(batches):
-    """``(batch, texts as word lists)`` for pieces of a few MiB, so that few words are objects at a time."""
+    """``(batch, texts)`` for pieces of about a MiB, or of one text, so that arrays over all bytes stay small."""
     for batch in batches:
         sizes = np.cumsum([len(t or b"") for t in batch.column("_raw").to_pylist()]) // PIECE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
             part = batch.slice(start, end - start)
-            yield part, [(t or b"").split() for t in part.column("_raw").to_pylist()]
+            yield part, [t or b"" for t in part.column("_raw").to_pylist()]
 
 
 def distinct(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -157,9 +185,9 @@ class Sketch:
 
 def build_sketch(slim: DataFrame, k: int, log2_cells: int) -> Sketch:
     def count(batches):
-        hashes, held, size = common.WordHash(), [], 0
+        held, size = [], 0
         for _, texts in pieces(batches):
-            windows = Windows(texts, hashes, k)
+            windows = Windows(texts, k)
             marks = windows.marks()
             held.append(marks[distinct(windows.doc, marks)])
             size += len(held[-1])
@@ -241,7 +269,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, largest: int = 28) -> Da
 
     The sketch has two rows of four cells per expected entry, at most 2**``largest`` (two bit maps of
     32 MiB for 28, full at about 20 GB of text); beyond that more windows pass, and only time is lost.
-    Tasks hold a few MiB of text at a time, one text at least.
+    Tasks work on about a MiB of text at a time, one text at least.
 
     Null and empty texts have no words and give the empty text. Texts shorter than a window keep all
     words. Rows that share a doc_id are one document: they do not lose windows to each other. A row
@@ -252,9 +280,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50, largest: int = 28) -> Da
     sketch = build_sketch(slim, window, sketch_size(slim, largest))
 
     def candidates(batches):
-        hashes = common.WordHash()
         for part, texts in pieces(batches):
-            windows = Windows(texts, hashes, window)
+            windows = Windows(texts, window)
             open_ = np.flatnonzero(sketch.repeated(windows.marks()))
             h1, h2 = windows.first()[open_].view(np.int64), windows.second()[open_]
             one = distinct(windows.doc[open_], h1, h2)
@@ -269,20 +296,20 @@ def dedup_substrings(docs: DataFrame, window: int = 50, largest: int = 28) -> Da
     schema = plain.select(*[c for c in plain.columns if c != "text"], F.expr(f"cast(null as {cut})").alias("_cut")).schema
 
     def reassemble(batches):
-        hashes = common.WordHash()
         for part, texts in pieces(batches):
-            kept, removed = [], []
-            for words, drop in zip(texts, part.column("_gone")):
-                stay = words
+            kept, counts, removed = [], [], []
+            for text, drop in zip(texts, part.column("_gone")):
+                words = text.split()
+                counts.append(len(words))
                 if drop.is_valid:
-                    windows = Windows([words], hashes, window)
+                    windows = Windows([text], window)
                     hit = windows.at[np.isin(windows.first().view(np.int64), drop.values.to_numpy())]
                     edge = np.bincount(hit, minlength=len(words) + 1) - np.bincount(hit + window, minlength=len(words) + 1)
-                    stay = [w for w, covered in zip(words, np.cumsum(edge).tolist()) if not covered]
-                kept.append(b" ".join(stay))
-                removed.append(len(words) - len(stay))
+                    words = [w for w, covered in zip(words, np.cumsum(edge).tolist()) if not covered]
+                kept.append(b" ".join(words))
+                removed.append(counts[-1] - len(words))
             made = pa.StructArray.from_arrays(
-                [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())],
+                [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
                 ["text", "n_words", "n_removed"],
             )
             keep = [n for n in part.schema.names if n not in ("_raw", "_gone")]
