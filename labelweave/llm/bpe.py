@@ -22,7 +22,7 @@ WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 # The same for ASCII text, letters first: no other alternative can start where letters can.
 ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 
-HEAD = 300_000
+HEAD = 600_000
 HEAD_TEXT_BYTES = 64 << 20
 PART_ROWS = 500
 
@@ -77,9 +77,10 @@ def cutter(special: list[str]):
 
 
 def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
-    """Words that are likely frequent, from a random sample of at most about 64 MiB of text.
+    """Words that are likely to be met again, from a random sample of at most about 64 MiB of text.
 
-    Only speed depends on this list: it says which words need no row of their own.
+    Only speed depends on this list: it says which words need no row of their own. In a large table even
+    a word that the sample holds once is met about as often as the table is larger.
     """
     size = docs.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
     part = docs if size <= HEAD_TEXT_BYTES else docs.sample(HEAD_TEXT_BYTES / size, 11)
@@ -93,7 +94,7 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
     counted = part.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return common.most_frequent(materialize(counted.where("n > 1")), limit)[0]
+    return common.most_frequent(materialize(counted), limit)[0]
 
 
 def parts(batches, rows: int = PART_ROWS):
@@ -164,7 +165,7 @@ def cut_part(texts: list[str | None], cut) -> tuple[pa.Array, np.ndarray]:
 
 
 def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(_row, _tag, _at, ids)`` for ``(_row, _tag, _at, word)``: rows are brought together and sorted by
+    """``(_row, _at, ids)`` for ``(_row, _at, word)``: rows are brought together and sorted by
     word, so each task encodes a word once and remembers no more than a piece of a batch; ids packed by
     ``_narrow``. A very frequent word may be split over tasks."""
 
@@ -175,10 +176,10 @@ def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             new = list(set(words).difference(last))
             made = model.encode_batch_fast(new, add_special_tokens=False)
             table = last | {word: _narrow(one.ids) for word, one in zip(new, made)}
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "_tag", "_at")), pa.array([table[w] for w in words], pa.binary())], ["_row", "_tag", "_at", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_at"), pa.array([table[w] for w in words], pa.binary())], ["_row", "_at", "ids"])
             last = {w: table[w] for w in words[-1:]}
 
-    return rows.hint("rebalance", F.col("word")).sortWithinPartitions("word").mapInArrow(encode, "_row long, _tag short, _at int, ids binary")
+    return rows.hint("rebalance", F.col("word")).sortWithinPartitions("word").mapInArrow(encode, "_row long, _at long, ids binary")
 
 
 def _joined(ends: np.ndarray, data) -> pa.Array:
@@ -201,13 +202,13 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     4. Ids become pieces by a join with the id-to-piece table, which has the vocabulary's size.
 
     The scan runs twice, for the words and for the numbers, rather than being stored. A row is known
-    in both by 80 bits of hash over its columns, so it does not matter how either scan is split;
+    in both by 80 bits of hash over its columns (64 to meet by, 16 to tell apart), so it does not matter how either scan is split;
     a document whose gaps and fills differ in number raises. Only rare words are shuffled as rows.
     Null and empty texts give no ids and the empty text. Very long texts are one row throughout.
     Repeated rows are encoded each. Columns named like the added ones are replaced; an empty table
     gives an empty table.
     """
-    vocabulary = Vocabulary(path)
+    vocabulary, docs = Vocabulary(path), common.small_batches(docs)
     plain = docs.drop("n_tokens", "ids", "decoded")
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
@@ -220,10 +221,8 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             words, counts = cut_part(part.column("_text").to_pylist(), cut)
             gaps = np.flatnonzero(frequent.numbers(words) == frequent.size)
             row = np.repeat(np.arange(len(counts)), counts)[gaps]
-            at = gaps - (np.cumsum(counts) - counts)[row]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_row").take(pa.array(row)), part.column("_tag").take(pa.array(row)), pa.array(at, pa.int32()), words.take(pa.array(gaps))], ["_row", "_tag", "_at", "word"]
-            )
+            at = gaps - (np.cumsum(counts) - counts)[row] | part.column("_tag").to_numpy().astype(np.int64)[row] << 32
+            yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(row)), pa.array(at, pa.int64()), words.take(pa.array(gaps))], ["_row", "_at", "word"])
 
     def number_head(batches):
         cut, press = cutter(special), zstandard.ZstdCompressor(level=6)
@@ -235,16 +234,21 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
 
     hashed = [F.col(c) for c, t in texts.dtypes if "map<" not in t and "variant" not in t]
     keyed = texts.select(F.xxhash64(*hashed).alias("_row"), F.shiftright(F.xxhash64(F.lit("tag"), *hashed), 48).cast("short").alias("_tag"), *kept, "_text")
-    rare = keyed.select("_row", "_tag", "_text").mapInArrow(cut_rare, "_row long, _tag short, _at int, word string")
-    filled = encode_rows(rare, vocabulary).groupBy("_row", "_tag").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_fill"))
+    rare = keyed.select("_row", "_tag", "_text").mapInArrow(cut_rare, "_row long, _at long, word string")
+    # the rows of a document are spread over all tasks: they travel as they are, and meet once
+    back = encode_rows(rare, vocabulary).repartition("_row")
+    filled = back.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_fill"))
     coded = keyed.mapInArrow(number_head, keyed.drop("_text").withColumn("_codes", F.lit(b"")).schema)
-    whole = coded.join(filled.withColumn("_fill", F.col("_fill.ids")), ["_row", "_tag"], "left")
+    whole = coded.join(filled, "_row", "left").withColumns({"_at": F.col("_fill._at"), "_fill": F.col("_fill.ids")})
     pieces = pa.array(vocabulary.pieces(), pa.binary())
 
     def join_back(batches):
         for part in parts(batches):
             codes = [_codes(c) for c in part.column("_codes").to_pylist()]
-            fills = [f or [] for f in part.column("_fill").to_pylist()]
+            tags = part.column("_tag").to_pylist()
+            fills = [
+                [x for a, x in zip(at or (), fill or ()) if a >> 32 == tag] for tag, at, fill in zip(tags, part.column("_at").to_pylist(), part.column("_fill").to_pylist())
+            ]
             if any(int((c == frequent.size).sum()) != len(f) for c, f in zip(codes, fills)):
                 raise RuntimeError("the two scans of a document found different words; its rows are not stable")
             ids, counts = frequent.spell(np.concatenate(codes), [_wide(x) for f in fills for x in f])
@@ -253,8 +257,8 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             _, offsets, data = spelled.buffers()
             edges = np.frombuffer(offsets, np.int32)[ends] if len(ids) else np.zeros(len(ends), np.int32)
             decoded = [data[a:b].to_pybytes().decode("utf-8", "replace").encode() if b > a else b"" for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            names = [c for c in part.schema.names if c not in ("_codes", "_fill", "_row", "_tag")]
+            names = [c for c in part.schema.names if c not in ("_codes", "_fill", "_at", "_tag")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(ends), pa.int64()), _joined(ends * 4, ids), pa.array(decoded, pa.binary())], [*names, "n_tokens", "ids", "decoded"])
 
     out = plain.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
-    return whole.select(*kept, "_codes", "_fill").mapInArrow(join_back, out)
+    return whole.select(*kept, "_tag", "_codes", "_at", "_fill").mapInArrow(join_back, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,27 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows in a session of their own, whose Arrow batches hold at most ``rows`` rows.
+
+    Rows of long texts go between Spark and Python in batches of 10,000 otherwise, several copies of
+    which are in memory at a time. The batch size is a session's setting: the caller's stays as it is,
+    and the new session takes over all other settings.
+    """
+    spark = df.sparkSession
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = f"labelweave_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return own.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 class WordHash(dict):
     """Word to 64-bit hash, remembered; emptied when it holds a million words."""
 
