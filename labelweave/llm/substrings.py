@@ -276,6 +276,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, largest: int = 28) -> Da
     without doc_id neither loses nor removes anything. doc_id has to be an integer. Columns named like
     the added ones are replaced. An empty table gives an empty table.
     """
+    docs = common.small_batches(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc"), common.as_bytes("text").alias("_raw")).where("doc is not null")
     sketch = build_sketch(slim, window, sketch_size(slim, largest))
 
