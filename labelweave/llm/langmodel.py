@@ -18,10 +18,12 @@ END = b""
 
 @dataclass(frozen=True)
 class LmConfig:
-    """Sizes of the model. ``head``: words with outputs in the classes; ``listed``: words whose counts
-    travel with tasks, those beyond the head with outputs in the tree; all other words are counted and
-    scored through a join. ``shared``: input vectors that the tree's words share by their number. ``task_tokens``:
-    partitions are learned from together until a task has about so many, as each task's parameters travel."""
+    """Sizes of the model. ``head``: words with outputs of their own; ``listed``: words whose counts travel
+    with tasks, those beyond the head in small classes of words of like frequency; all other words are
+    counted and scored through a join. ``shared``: input vectors that the words of small classes share by
+    their number. ``piece``: training starts from an empty state again after so many tokens of a text.
+    ``task_tokens``: partitions are learned from together until a task has about so many, as each task's
+    parameters travel."""
 
     hidden: int = 16
     head: int = 1024
@@ -59,7 +61,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text in batch.column("_raw").to_pylist():
                 for w in tokens_of(text):
                     tally[w] = tally.get(w, 0) + 1
-            if len(tally) > 1_000_000:
+            if len(tally) > 200_000:
                 yield flush()
                 tally.clear()
         yield flush()
@@ -67,14 +69,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("_raw").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-LEAVES = 64  # children of every node of the tree, but the first, which has as many as it needs
+LEAVES = 64  # words of a small class, and small classes of a group
 
 
 class Words:
-    """What tasks must know of the counts: the listed words, the head's classes, the tree over the other
-    listed words by falling count, and the mass of the unlisted ones.
+    """What tasks must know of the counts: the listed words, the head's classes, the small classes of the
+    other listed words by falling count, and the mass of the unlisted ones.
 
-    Numbers of words: the head's, one for all unlisted words, one for the start, then the tree's.
+    Numbers of words: the head's, one for all unlisted words, one for the start, then the others'.
     """
 
     deep = 0
@@ -97,9 +99,10 @@ class Words:
         self.top = -(-self.deep // LEAVES**2)
         leaves = np.zeros(self.top * LEAVES**2)
         leaves[: self.deep] = below + 1
-        with np.errstate(divide="ignore"):  # leaves without a word can never be chosen
-            level = [np.log(leaves.reshape(-1, LEAVES ** (2 - i)).sum(1)) for i in range(3)]
+        with np.errstate(divide="ignore"):  # a class without a word can never be chosen
+            level = [np.log(leaves.reshape(-1, LEAVES ** (2 - i)).sum(1)) for i in range(2)]
         self.tree_bias = [np.maximum(b, -1e9).astype(np.float32) for b in level]
+        self.share_log = (np.log(below + 1) - level[1][np.arange(self.deep) // LEAVES]).astype(np.float32)
         root = np.sqrt(mass)
         share = np.cumsum(root) / max(root.sum(), 1)
         self.class_of = np.minimum((share * cfg.classes - 1e-9).astype(int), cfg.classes - 1)
@@ -118,10 +121,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Gru:
     """Parameters and one window forward and backward. Inputs: head words, the unlisted word, the start,
-    the vectors that words of the tree share.
-
-    The last level of the tree holds most parameters. They lie behind the others in ``flat``; a window's
-    gradient leaves them out, and ``leaf_grads`` has the rows of the nodes that it met.
+    the vectors that words of small classes share. Outputs: the class; in a class of the head, the word;
+    for other listed words, the group of small classes and then the small class.
     """
 
     def __init__(self, words: Words, cfg: LmConfig, flat: np.ndarray | None = None):
@@ -129,66 +130,52 @@ class Gru:
         self.words, self.cfg = words, cfg
         self.inputs = k + 2 + (cfg.shared if words.deep else 0)
         shapes = {"x": (self.inputs, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (h, k), "bw": (k,)}
-        last = {}
         if words.deep:
-            top = words.top
-            shapes |= {"wa": (1, h + 1, top), "wb": (top, h + 1, LEAVES)}
-            last = {"wd": (top * LEAVES, h + 1, LEAVES)}
-        self.dense = sum(int(np.prod(s)) for s in shapes.values())
-        size = self.dense + sum(int(np.prod(s)) for s in last.values())
+            shapes |= {"wa": (1, h + 1, words.top), "wb": (words.top, h + 1, LEAVES)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             rng = np.random.default_rng(cfg.seed)
             flat = rng.normal(0, 0.1, size).astype(np.float32)
         self.flat, at = flat.astype(np.float32).copy(), 0
-        for name, shape in (shapes | last).items():
+        for name, shape in shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
-        self.shapes, self.leaf_grads = shapes, None
+        self.shapes = shapes
 
     def start_from_counts(self) -> Gru:
         self.bc[:] = self.words.class_bias
         self.bw[:] = self.words.word_bias
         if self.words.deep:
-            for part, bias in zip((self.wa, self.wb, self.wd), self.words.tree_bias):
+            for part, bias in zip((self.wa, self.wb), self.words.tree_bias):
                 part[:, -1] = bias.reshape(part.shape[0], part.shape[2])
         return self
 
-    def level(self, weights: np.ndarray, nodes: np.ndarray, states: np.ndarray, choice: np.ndarray, learn: bool):
-        """Natural-log probability of each row's ``choice`` among its node's children; when learning, the
-        gradients of the states and of the nodes met (numbers and weights). ``nodes`` is sorted; a node's
-        weights end with the row of biases, and ``states`` with a one."""
-        first = np.flatnonzero(np.r_[True, np.diff(nodes) > 0])
-        n, met = np.arange(len(nodes)), nodes[first]
-        sizes = np.diff(np.r_[first, len(nodes)])
-        if len(met) == 1:
-            logits = states @ weights[met[0]]
-        else:
-            own = weights[nodes]
-            logits = np.matmul(states[:, None, :], own)[:, 0]
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        norm = prob.sum(1, keepdims=True)
-        logp = logits[n, choice] - np.log(norm[:, 0])
-        if not learn:
-            return logp, None, None
-        prob /= -norm
-        prob[n, choice] += 1
-        if len(met) == 1:
-            return logp, prob @ weights[met[0]].T, (met, (states.T @ prob)[None])
-        back = np.matmul(own, prob[:, :, None])[:, :, 0]
-        grad = np.empty((len(met), *weights.shape[1:]), np.float32)
-        one = sizes == 1
-        at = first[one]
-        grad[one] = states[at][:, :, None] * prob[at][:, None, :]
-        for i in np.flatnonzero(~one):
-            a, b = first[i], first[i] + sizes[i]
-            grad[i] = states[a:b].T @ prob[a:b]
-        return logp, back, (met, grad)
+    def level(self, name: str, nodes: np.ndarray, states: np.ndarray, choice: np.ndarray, grads: dict | None):
+        """Natural-log probability of each row's ``choice`` among its node's children; with gradients, also that of
+        the states. ``nodes`` is sorted, so a node's rows are one product; its weights end with the row of
+        biases, and ``states`` with a one."""
+        weights = getattr(self, name)
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(nodes) > 0]), len(nodes)]
+        logp = np.empty(len(nodes), np.float32)
+        back = np.empty_like(states) if grads is not None else None
+        for a, b in zip(edges, edges[1:]):
+            own, part, n = states[a:b], weights[nodes[a]], np.arange(b - a)
+            logits = own @ part
+            logits -= logits.max(1, keepdims=True)
+            prob = np.exp(logits)
+            norm = prob.sum(1, keepdims=True)
+            logp[a:b] = logits[n, choice[a:b]] - np.log(norm[:, 0])
+            if grads is not None:
+                prob /= -norm
+                prob[n, choice[a:b]] += 1
+                back[a:b] = prob @ part.T
+                grads[name][nodes[a]] += own.T @ prob
+        return logp, back
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None):
-        """Natural-log probability of each target's class and, in the head, word; with gradients, also
-        that of the states."""
+        """Natural-log probability of each target (of the class of all unlisted words for these); with
+        gradients, also that of the states. Words of a small class have add-one shares of it."""
         first, n = self.words.first, np.arange(len(targets))
         in_head, deep = targets < self.words.head, np.flatnonzero(targets > self.words.head)
         cls = np.full(len(targets), self.cfg.classes)
@@ -225,22 +212,17 @@ class Gru:
                 grads["ww"][:, a:b] += own.T @ prob
                 grads["bw"][a:b] += prob.sum(0)
                 back[rows] += prob @ part.T
-        self.leaf_grads = None
         if len(deep):
             deep = deep[np.argsort(targets[deep], kind="stable")]
             leaf = targets[deep] - self.words.head - 2
             own = np.concatenate([states[deep], np.ones((len(deep), 1), np.float32)], 1)
-            node = leaf // LEAVES
-            steps = (("wa", np.zeros_like(leaf), node // LEAVES), ("wb", node // LEAVES, node % LEAVES), ("wd", node, leaf % LEAVES))
-            for name, nodes, choice in steps:
-                got, to_own, found = self.level(getattr(self, name), nodes, own, choice, grads is not None)
+            small = leaf // LEAVES
+            logp[deep] += self.words.share_log[leaf]
+            for name, nodes, choice in (("wa", np.zeros_like(leaf), small // LEAVES), ("wb", small // LEAVES, small % LEAVES)):
+                got, to_own = self.level(name, nodes, own, choice, grads)
                 logp[deep] += got
                 if grads is not None:
                     back[deep] += to_own[:, :-1]
-                    if name == "wd":
-                        self.leaf_grads = found
-                    else:
-                        grads[name][found[0]] += found[1]
         return logp, back
 
     def window(self, state, inputs, fresh, targets, live, learn: bool):
@@ -343,8 +325,7 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
 
     def learn(batches):
         model, numbering = Gru(words, cfg, flat), words.numbering()
-        squares, seen, dense = np.full_like(model.flat, cfg.damping), 0, model.dense
-        leaf_squares = squares[dense:].reshape(model.wd.shape) if words.deep else None
+        squares, seen = np.full_like(model.flat, cfg.damping), 0
         for batch in batches:
             docs = _coded(batch.column("_raw").to_pylist(), numbering, words.head)
             # long texts are learned from in pieces side by side, so that no window has few lanes
@@ -359,14 +340,8 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
                 many = int((number >= 0).sum())
                 grad /= cfg.lanes * cfg.window  # a window of few lanes counts for less
                 seen += many
-                squares[:dense] += grad * grad
-                model.flat[:dense] += cfg.rate * grad / np.sqrt(squares[:dense])
-                if model.leaf_grads:
-                    nodes, grad = model.leaf_grads
-                    grad /= cfg.lanes * cfg.window
-                    new = leaf_squares[nodes] + grad * grad
-                    leaf_squares[nodes] = new
-                    model.wd[nodes] += cfg.rate * grad / np.sqrt(new)
+                squares += grad * grad
+                model.flat += cfg.rate * grad / np.sqrt(squares)
         if seen:
             blocks = [(model.flat[i : i + block] * np.float32(seen)).tobytes() for i in range(0, len(model.flat), block)]
             n, salt = len(blocks), int(abs(float(model.flat.sum())) * 1e6) % cfg.average_salts
@@ -393,32 +368,53 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Trained:
+    """A trained model: the counts of all training words (a table), what tasks know of them, and the parameters."""
+
+    counts: DataFrame
+    words: Words
+    flat: np.ndarray
+    cfg: LmConfig
+
+
+def fit(docs: DataFrame, cfg: LmConfig = LmConfig()) -> Trained:
+    """Count and learn from all of ``docs(doc_id, _raw)``: one pass, an eighth of the documents first, then the
+    rest from the mean of the tasks' parameters."""
+    counts = materialize(count_words(docs))
+    words = Words(counts, cfg)
+    flat = Gru(words, cfg).start_from_counts().flat
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(cfg.first_share)) == 0
+    for part in (early, ~early):
+        flat = train_round(docs.where(part), words, cfg, flat)
+    return Trained(counts, words, flat, cfg)
+
+
 def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs(doc_id, text, ...)``.
 
     The counts of all training words are gathered by one aggregation. The model: a gated recurrent
-    network reads the words; the softmax is factored into classes of words (equal shares of the square
-    root of frequency) and words within a class. The listed words beyond the most frequent ``head`` form one
-    class whose words are the leaves of a tree, three choices deep, each a softmax over the state; as inputs
-    they share ``shared`` vectors. Words beyond the ``listed`` ones form one class in which a word has
-    its add-one share of the training count, unknown words taking the place of one more word, so
-    probabilities sum to 1. Training is truncated backpropagation in numpy over
-    every training document, once: an eighth of them first, then the rest from the mean of the tasks'
-    parameters. Scoring carries the state through a whole document and sums log10 probabilities.
+    network reads the words; the softmax is factored into classes of words. The most frequent ``head``
+    words are in classes of equal shares of the square root of frequency, with a softmax over the state
+    inside each. The other listed words, by falling count, are in small classes of 64 that the state
+    chooses in two steps, and have add-one shares of theirs. Words beyond the ``listed`` ones form one
+    class with add-one shares, unknown words taking the place of one more word, so probabilities sum to
+    1. Training is truncated backpropagation in numpy over every training document, once; the state goes
+    on from window to window, and starts empty again every ``piece`` tokens of a long text. Scoring
+    carries it through the whole document and sums log10 probabilities.
 
     ``base_score`` is the add-one unigram score. Words outside the list that tasks carry meet their
     counts in a join, counted once per document first. Rows without doc_id are training rows. Null and
     empty texts are just an end. Without training rows all words are unknown. Repeated rows are scored
     each; extra columns are ignored; an empty table gives an empty table.
     """
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
-    learned = slim.where(in_training(F.col("doc_id")))
-    counts = materialize(count_words(learned))
-    words = Words(counts, cfg)
-    flat = Gru(words, cfg).start_from_counts().flat
-    early = F.pmod(F.xxhash64("doc_id"), F.lit(cfg.first_share)) == 0
-    for part in (early, ~early):
-        flat = train_round(learned.where(part), words, cfg, flat)
+    slim = common.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
+    return score_rows(slim, fit(slim.where(in_training(F.col("doc_id"))), cfg))
+
+
+def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
+    """The columns of ``score_documents`` for ``slim(row, doc_id, _raw)``; ``row`` tells rows apart."""
+    counts, words, flat, cfg = model.counts, model.words, model.flat, model.cfg
     logs = np.log10(words.counts + 1)
     rest_log = float(np.log10(words.n + words.v + 1))
 
@@ -451,7 +447,7 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
                 ["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(slim.dtypes)["doc_id"]
     scanned = materialize(slim.mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, known long, base double, full double, rare array<struct<word:binary,m:long>>"))
     rare = scanned.select("row", F.inline("rare"))
     met = rare.join(counts, "word").groupBy("row").agg(

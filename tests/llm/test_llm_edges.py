@@ -389,27 +389,74 @@ def test_every_listed_word_follows_the_state(spark):
     assert words.deep == 4996 and words.numbering()[words.words[5]] == 7
     rng = np.random.default_rng(2)
     model = langmodel.Gru(words, cfg).start_from_counts()
-    model.wd[:, :-1] += rng.normal(0, 0.5, model.wd[:, :-1].shape)
+    for part in (model.wa, model.wb):
+        part[:, :-1] += rng.normal(0, 0.5, part[:, :-1].shape)
     every = np.r_[np.arange(6), np.arange(7, 7 + words.deep)]
     for state in rng.normal(size=(3, 4)).astype(np.float32):
         logp, _ = model.outputs(np.repeat(state[None], len(every), 0), every, None)
         assert np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-4)
     a, b = (model.outputs(np.full((len(every), 4), x, np.float32), every, None)[0] for x in (0.9, -0.9))
-    moved = (a - b)[7:] - (a - b)[6]  # a word's share within the tree depends on the state
-    assert (np.abs(moved) > 1e-4).mean() > 0.99
-    # gradients of the leaves against differences
+    moved = (a - b)[7 + langmodel.LEAVES :] - (a - b)[6]  # the share of a small class depends on the state
+    assert (np.abs(moved) > 1e-4).mean() > 0.98
+    # gradients of both choices against differences
     states, targets = rng.normal(size=(40, 4)).astype(np.float32), np.r_[np.full(5, 8), rng.integers(7, 5000, 35)]
     grads = {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}
     model.outputs(states, targets, grads)
-    nodes, leaf = model.leaf_grads
-    for name, node, g in (("wd", nodes[0], leaf[0]), ("wb", 0, grads["wb"][0]), ("wa", 0, grads["wa"][0])):
-        for at in ((0, 1), (2, 1), (4, 1)):
+    for name in ("wa", "wb"):
+        for at in ((0, 0, 1), (0, 2, 1), (0, 4, 1)):
             w, ends = getattr(model, name), []
             for d in (1e-2, -1e-2):
-                w[(node, *at)] += d
+                w[at] += d
                 ends.append(float(model.outputs(states, targets, None)[0].astype(float).sum()))
-                w[(node, *at)] -= d
-            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(g[at]), rel=0.02, abs=0.02)
+                w[at] -= d
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(grads[name][at]), rel=0.02, abs=0.02)
+
+
+def test_score_against_a_plain_loop(docs_of):
+    """One token after another, the whole softmax written out."""
+    pick = random.Random(3)
+    words = [f"w{min(int(pick.expovariate(0.02)), 400)}" for _ in range(30_000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + pick.randrange(1, 100)])) for i in range(300)] + [(900, " ".join(words[:700])), (901, "w1 never w2 seen"), (902, None)]
+    docs = docs_of(rows)
+    cfg = langmodel.LmConfig(hidden=4, head=8, classes=3, shared=5, listed=150)
+    slim = docs.select(F.col("doc_id").alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
+    trained = langmodel.fit(slim.where(langmodel.in_training(F.col("doc_id"))), cfg)
+    m, numbering, counts = langmodel.Gru(trained.words, cfg, trained.flat), trained.words.numbering(), {bytes(r["word"]): r["n"] for r in trained.counts.collect()}
+    assert trained.words.deep > 64 and len(counts) > len(numbering)  # all three kinds of words
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    rest = trained.words.n - sum(counts[w] for w in numbering) + trained.words.v - len(numbering) + 1
+    size = {}
+    for w, i in numbering.items():
+        if i > trained.words.head:
+            size[(i - trained.words.head - 2) // 64] = size.get((i - trained.words.head - 2) // 64, 0) + counts[w] + 1
+
+    def plain(text):
+        state, last, total, h = np.zeros(4), trained.words.head + 1, 0.0, 4
+        for w in langmodel.tokens_of(text.encode() if text else None):
+            at = last if last < trained.words.head + 2 else trained.words.head + 2 + (last - trained.words.head - 2) % cfg.shared
+            x, rec = m.x[at].astype(float), state @ m.u.astype(float)
+            z, r = sig(x[:h] + rec[:h]), sig(x[h : 2 * h] + rec[h : 2 * h])
+            new = np.tanh(x[2 * h :] + r * rec[2 * h :])
+            state = (1 - z) * new + z * state
+            i = numbering.get(w, trained.words.head)
+            by_class = soft(state @ m.wc + m.bc)
+            if i < trained.words.head:
+                c = trained.words.class_of[i]
+                a, b = trained.words.first[c], trained.words.first[c + 1]
+                p = by_class[c] * soft(state @ m.ww[:, a:b] + m.bw[a:b])[i - a]
+            elif i == trained.words.head:
+                p = by_class[cfg.classes] * (counts.get(w, 0) + 1) / rest
+            else:
+                leaf, own = i - trained.words.head - 2, np.append(state, 1)
+                group = leaf // 64 // 64
+                p = by_class[cfg.classes + 1] * soft(own @ m.wa[0])[group] * soft(own @ m.wb[group])[leaf // 64 % 64] * (counts[w] + 1) / size[leaf // 64]
+            total, last = total + math.log10(p), i
+        return total
+
+    got = {r["doc_id"]: r for r in langmodel.score_rows(slim, trained).collect()}
+    for i in (0, 1, 17, 250, 900, 901, 902):
+        assert got[i]["score"] == pytest.approx(plain(dict(rows)[i]), rel=1e-4)
 
 
 def test_probabilities_sum_to_one():
