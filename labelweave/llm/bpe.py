@@ -22,9 +22,9 @@ WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 # The same for ASCII text, letters first: no other alternative can start where letters can.
 ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 
-HEAD = 600_000
+HEAD = 1_000_000
 HEAD_TEXT_BYTES = 64 << 20
-PART_ROWS = 500
+PART_ROWS = 1000
 
 
 def byte_of_sign() -> dict[str, int]:
