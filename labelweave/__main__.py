@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from labelweave.plans.workspace import FEATURES, MODES, Workspace
+from labelweave.sources import packs
 
 
 def number_list(option: str) -> list[float]:
@@ -28,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--test", default="test.csv")
     common.add_argument("--root", default="outputs")
     common.add_argument("--mode", choices=[*MODES, "submit"], default="chronological")
+    common.add_argument("--max-labels", type=int, help="first labels only, for a smoke run")
+    common.add_argument("--max-rows", type=int, help="first rows of either table only, for a smoke run")
+    common.add_argument("--config", help="JSON file with option values by stage; options on the command line win")
     top = argparse.ArgumentParser(prog="labelweave")
     stages = top.add_subparsers(dest="stage", required=True)
 
@@ -47,11 +51,12 @@ def parser() -> argparse.ArgumentParser:
     stage("kmer-knn", k={"type": int, "default": 20}, power={"type": float, "default": 2.0}, name=model("v5_knn"))
     stage("blend-two", a=model(), b=model(), name=model(), step={"type": float, "default": 0.05})
     stage("blend-three", a=model(), b=model(), c=model(), name=model("v11_blend"), step={"type": float, "default": 0.05})
-    stage("tune", base=model("v1_sgd"), name=model("v7_tuned"))
+    numbers = {"type": number_list}
+    stage("tune", base=model("v1_sgd"), name=model("v7_tuned"), ks=numbers, powers=numbers, step={"type": float, "default": 0.05})
     stage("fit-thresholds", model=model())
     stage("adaptive", base=model("v1_sgd"), other=model("v5_knn"))
-    stage("label-specific", base=model("v1_sgd"))
-    stage("propagate", model=model("v7_tuned"), topk={"type": int, "default": 20}, min_cooc={"type": int, "default": 30})
+    stage("label-specific", base=model("v1_sgd"), ks=numbers, powers=numbers, weights=numbers)
+    stage("propagate", model=model("v7_tuned"), topk={"type": int, "default": 20}, min_cooc={"type": int, "default": 30}, betas=numbers)
     stage("stack", models={"nargs": "+", "required": True})
     stage("select", models={"nargs": "+", "required": True})
     stage("submit", limits_of=model("v7_tuned"))
@@ -61,13 +66,30 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def options_of(argv: list[str] | None = None) -> dict:
+    """Options of a call: the parser's defaults, then the config file's part for the stage, then the command line."""
+    top = parser()
+    first = top.parse_args(argv)
+    if first.config is None:
+        return vars(first)
+    given = packs.read_config(first.config).get(first.stage, {})
+    unknown = sorted(set(given) - set(vars(first)) | {"config", "stage"} & set(given))
+    if unknown:
+        top.error(f"{first.config}: no such options of {first.stage}: {', '.join(unknown)}")
+    stages = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction))
+    stages.choices[first.stage].set_defaults(**given)
+    return vars(top.parse_args(argv))
+
+
 def main(argv: list[str] | None = None) -> None:
-    options = vars(parser().parse_args(argv))
+    options = options_of(argv)
     stage = options.pop("stage")
     mode = "submit" if stage.startswith("submit") else options.pop("mode", "chronological")
-    options.pop("mode", None)
+    for name in ("mode", "config"):
+        options.pop(name, None)
     spark = SparkSession.builder.appName(f"labelweave {stage}").getOrCreate()
-    space = Workspace(spark, options.pop("train"), options.pop("test"), options.pop("root"), mode)
+    where = [options.pop(name) for name in ("train", "test", "root")]
+    space = Workspace(spark, *where, mode, options.pop("max_labels"), options.pop("max_rows"))
     getattr(space, stage.replace("-", "_"))(**options)
 
 

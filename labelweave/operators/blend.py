@@ -16,11 +16,15 @@ _SETTLED = 1e-9
 
 
 def align(*packs: DataFrame) -> DataFrame:
-    """One row per cell with the packs' scores as ``p0, p1, ...``."""
-    out = packs[0].select("row_idx", "label", "y", F.col("prob").alias("p0"))
+    """One row per cell with the packs' scores as ``p0, p1, ...``; a cell that one pack lacks raises."""
+    out = packs[0].select("row_idx", "label", "y", F.col("prob").alias("p0"), F.lit(True).alias("_all"))
     for i, pack in enumerate(packs[1:], 1):
-        out = out.join(pack.select("row_idx", "label", F.col("prob").alias(f"p{i}")), ["row_idx", "label"])
-    return out
+        other = pack.select("row_idx", "label", F.col("prob").alias(f"p{i}"), F.lit(True).alias("_own"))
+        out = out.join(other, ["row_idx", "label"], "full_outer").withColumn("_all", F.col("_all") & F.col("_own")).drop("_own")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no score in one table for"), F.col("row_idx").cast("string"), F.col("label")))
+    # the label itself depends on the check, so that no plan drops it
+    checked = F.when(F.coalesce("_all", F.lit(False)), F.col("label")).otherwise(missing)
+    return out.withColumn("label", checked).drop("_all")
 
 
 def _grid(rows: Sequence[tuple], names: Sequence[str]) -> Column:
@@ -209,12 +213,23 @@ def stack_models(*packs: DataFrame) -> DataFrame:
     return out
 
 
+def selector_scores(models: DataFrame, fallback: float = 0.48, by: Sequence[str] = ()) -> DataFrame:
+    """``by, label, model, support, threshold, f1``: every model's best threshold for a label and the F1 it gives."""
+    keys = [*by, "label", "model"]
+    scored = _score_at(models, best_prefix(models, 0.02, 0.98, keys), keys, fallback)
+    return scored.select(*keys, "support", F.col("t").alias("threshold"), "f1")
+
+
 def fit_selector(
     models: DataFrame, fallback: float = 0.48, margin: float = 0.01, by: Sequence[str] = ()
 ) -> DataFrame:
     """Per label: the model to use and its threshold; model 0 stays unless beaten by ``margin``."""
-    keys = [*by, "label", "model"]
-    scored = _score_at(models, best_prefix(models, 0.02, 0.98, keys), keys, fallback)
+    return choose_models(selector_scores(models, fallback, by), fallback, margin, by)
+
+
+def choose_models(scored: DataFrame, fallback: float = 0.48, margin: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
+    """The choice of ``fit_selector`` from ``selector_scores``."""
+    scored = scored.withColumnRenamed("threshold", "t")
     best = scored.groupBy(*by, "label").agg(
         F.max("support").alias("support"),
         F.max(F.struct(F.col("f1").alias("f1"), (-F.col("model")).alias("m"), F.col("t").alias("t"))).alias("top"),

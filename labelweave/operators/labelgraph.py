@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.operators import thresholds
 from labelweave.operators.blend import best_point
+from labelweave.session import shuffle_width
 
 # Smoothing of the lift and of the pair reliability.
 LIFT_EPS = 1e-8
@@ -66,31 +70,46 @@ def label_graph(truth: DataFrame, topk: int = 20, min_cooc: int = 30) -> DataFra
 
 
 def propagate(scores: DataFrame, graph: DataFrame) -> DataFrame:
-    """Add ``propagated``: the weighted mean of the row's scores for the label's source labels.
+    """``(row_idx, label, y, prob, propagated)``: the weighted mean of the row's scores for the label's source labels.
 
-    A target without sources gets 0. The graph has at most labels * topk edges, so it is broadcast.
-    Every score row sends itself and its shares to its targets in one pass, and one aggregation per
-    cell brings them together: nothing is joined back.
+    A target without sources gets 0, a missing score counts as 0. The graph is a matrix of labels by
+    labels (at most labels * topk cells are set), which every task has. Score rows meet by ``row_idx``, once; a run of whole rows is one
+    matrix, and its product with the graph is every share at once, so nothing is multiplied before the
+    shuffle or joined back after it.
     """
-    edges = graph.groupBy(F.col("src").alias("label")).agg(F.collect_list(F.struct("dst", "weight")).alias("edges"))
-    own = F.struct(
-        F.col("label"), F.col("y").cast("int").alias("y"), F.col("prob").alias("prob"), F.lit(0.0).alias("share")
-    )
-    shares = F.transform(
-        F.coalesce("edges", F.array()),
-        lambda e: F.struct(
-            e["dst"].alias("label"),
-            F.lit(None).cast("int").alias("y"),
-            F.lit(None).cast("double").alias("prob"),
-            (F.col("prob") * e["weight"]).alias("share"),
-        ),
-    )
-    return (
-        scores.join(F.broadcast(edges), "label", "left")
-        .select("row_idx", F.explode(F.concat(F.array(own), shares)).alias("c"))
-        .groupBy("row_idx", "c.label")
-        .agg(F.max("c.y").alias("y"), F.max("c.prob").alias("prob"), F.sum("c.share").alias("propagated"))
-    )
+    edges = graph.collect()
+    names = sorted({r[end] for r in edges for end in ("src", "dst")})
+    place = {label: i for i, label in enumerate(names)}
+    weights = np.zeros((len(names) + 1, len(names) + 1))  # the last place is for labels that the graph does not know
+    for r in edges:
+        weights[place[r["src"]], place[r["dst"]]] = r["weight"]
+    known = pa.array(names, pa.string())
+
+    def shares(table: pa.Table) -> pa.RecordBatch:
+        rows, cell = np.unique(table.column("row_idx").to_numpy(), return_inverse=True)
+        label = pc.fill_null(pc.index_in(table.column("label").combine_chunks(), value_set=known), len(names)).to_numpy()
+        prob = np.zeros((len(rows), len(weights)))
+        prob[cell, label] = np.nan_to_num(table.column("prob").to_numpy())
+        spread = pa.array((prob @ weights)[cell, label])
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), spread], [*table.schema.names, "propagated"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            ids = table.column("row_idx").to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))  # the last row may go on in the next batch
+            if whole:
+                yield shares(table.slice(0, whole))
+            held = table.slice(whole)
+        if held is not None:
+            yield shares(held)
+
+    cells = scores.select(F.col("row_idx").cast("bigint").alias("row_idx"), "label", F.col("y").cast("int").alias("y"), F.col("prob").cast("double").alias("prob"))
+    met = cells.repartition(shuffle_width(scores.sparkSession), "row_idx").sortWithinPartitions("row_idx")
+    return met.mapInArrow(work, "row_idx bigint, label string, y int, prob double, propagated double")
 
 
 def beta_grid(propagated: DataFrame, betas: Sequence[float], cfg: thresholds.ThresholdConfig) -> DataFrame:

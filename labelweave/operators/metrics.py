@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions import scoring
@@ -136,3 +136,16 @@ def misaligned_cells(left: DataFrame, right: DataFrame) -> DataFrame:
 def require_aligned(left: DataFrame, right: DataFrame) -> None:
     if not misaligned_cells(left, right).isEmpty():
         raise ValueError("score tables differ in rows, labels or truth")
+
+
+def running_loss(scores: DataFrame, batch: Column, by: Sequence[str] = (), least: float = 1e-6) -> DataFrame:
+    """``by, batch, rows, loss, running_loss``: each batch's mean log-loss, and the mean over all rows up to it.
+
+    Probabilities are kept ``least`` away from 0 and 1. Cells are folded to one row per batch before they
+    are put in order, run by run.
+    """
+    p = F.greatest(F.lit(least), F.least(F.lit(1.0 - least), F.col("prob").cast("double")))
+    cell = -F.log(F.when(F.col("y") == 1, p).otherwise(F.lit(1.0) - p))
+    folded = scores.groupBy(*by, batch.alias("batch")).agg(F.count_distinct("row_idx").alias("rows"), F.avg(cell).alias("loss"))
+    upto = Window.partitionBy(*by).orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return folded.withColumn("running_loss", F.sum(F.col("rows") * F.col("loss")).over(upto) / F.sum("rows").over(upto))

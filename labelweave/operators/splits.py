@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions.sequences import numeric_id, sequence_key, sequence_text
+from labelweave.operators import metrics
 from labelweave.operators.ordered import running_totals
 from labelweave.session import materialize
 
@@ -119,6 +120,29 @@ def chronological(train: DataFrame, test: DataFrame, val_size: float = 0.2) -> D
     )
 
 
+def metadata(train: DataFrame, test: DataFrame, truth: DataFrame, made: dict[str, DataFrame], val_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """One row that describes the four splits of ``made``: settings, rows of every side, label drift of the random
+    split, the tail's first id, what the clean tail left out, and the first id at which the chronological hold-out starts.
+    """
+    rows = keyed(train)
+    lost = tail_overlap(train, made["tail"])
+
+    def sides(mode: str, part: str) -> DataFrame:
+        return made[mode].where(F.col("part") == part).agg(F.count(F.lit(1)))
+
+    cutoff = rows.join(made["chronological"], "row_idx").groupBy("seq_key").agg(F.min("num_id").alias("first_id"), F.max("part").alias("part"))
+    cutoff = cutoff.where("part = 'val'").agg(F.min("first_id"))
+    drift = metrics.prevalence_drift(truth, made["random"])
+    counts = {f"{mode}_{part}_rows": sides(mode, part).scalar() for mode in ("random", "tail", "tail_clean", "chronological") for part in ("train", "val")}
+    parts = {f"drift_{part}": drift.where(F.col("part") == part).agg(F.max("drift")).scalar() for part in ("train", "val")}
+    one = train.sparkSession.range(1)
+    return one.select(
+        F.lit(seed).alias("seed"), F.lit(val_size).alias("val_size"), *[c.alias(n) for n, c in {**counts, **parts}.items()],
+        tail_start(train, test).scalar().alias("test_min"), lost.agg(F.count(F.lit(1))).scalar().alias("tail_overlap_rows"),
+        lost.agg(F.count_distinct("seq_key")).scalar().alias("tail_overlap_groups"), cutoff.scalar().alias("chronological_cutoff"),
+    )
+
+
 def leaked_groups(proteins: DataFrame, split: DataFrame) -> DataFrame:
     """Sequence groups found on both sides of a split (should be none)."""
     return (

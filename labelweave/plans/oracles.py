@@ -63,7 +63,7 @@ _CTES: dict[str, str] = {
         FROM proteins p JOIN fold_groups g USING (sequence) JOIN greedy r ON r.rn = g.rn""",
 }
 
-_RECURSIVE = {"greedy"}
+_RECURSIVE = {"greedy", "epochs"}
 
 
 def _scores(model: int, truth: str = "truth") -> str:
@@ -230,6 +230,34 @@ _CTES["selector"] = """
                    max(f1) AS top_f1, max(f1) FILTER (WHERE model = 0) AS home_f1, max(t) FILTER (WHERE model = 0) AS home_t
             FROM selector_scored GROUP BY label))"""
 
+_CTES["calibration_models"] = """
+        SELECT m.*, 1 - f.fold AS cal_fold FROM models m JOIN folds f USING (row_idx)"""
+_CTES["fold_selector_prefix"] = _prefix("calibration_models", 0.02, 0.98, "cal_fold, label, model")
+_CTES["fold_selector_scored"] = f"""
+        SELECT cal_fold, label, model, t, support, {_f1('tp', 'support', 'predicted')} AS f1 FROM (
+            SELECT m.cal_fold, m.label, m.model, any_value(p.t) AS t, CAST(sum(y) AS BIGINT) AS support,
+                   sum(CAST(prob >= p.t AS INTEGER)) AS predicted, sum(CASE WHEN prob >= p.t THEN y ELSE 0 END) AS tp
+            FROM calibration_models m JOIN (SELECT cal_fold, label, model, coalesce(threshold, 0.48) AS t FROM fold_selector_prefix) p
+            ON p.cal_fold = m.cal_fold AND p.label = m.label AND p.model = m.model GROUP BY m.cal_fold, m.label, m.model)"""
+_CTES["fold_selector"] = """
+        SELECT cal_fold AS fold, label, CASE WHEN support > 0 AND moved THEN top_model ELSE 0 END AS model,
+               CASE WHEN support = 0 THEN 0.48 WHEN moved THEN top_t ELSE home_t END AS threshold
+        FROM (SELECT *, top_model <> 0 AND top_f1 >= home_f1 + CAST(0.01 AS DOUBLE) AS moved FROM (
+            SELECT cal_fold, label, any_value(support) AS support, first(model ORDER BY f1 DESC, model) AS top_model, first(t ORDER BY f1 DESC, model) AS top_t,
+                   max(f1) AS top_f1, max(f1) FILTER (WHERE model = 0) AS home_f1, max(t) FILTER (WHERE model = 0) AS home_t
+            FROM fold_selector_scored GROUP BY cal_fold, label))"""
+_CTES["fold_selected"] = """
+        SELECT f.fold, m.label, m.y, m.prob >= s.threshold AS pred FROM models m JOIN folds f USING (row_idx)
+        JOIN fold_selector s ON s.fold = f.fold AND s.label = m.label AND s.model = m.model"""
+_CTES["history"] = f"SELECT model, i AS epoch, round(macro_f1, 9) AS value FROM ({_grid('models', 'model,')})"
+_CTES["epochs"] = """
+        SELECT model, epoch, epoch AS best, value AS best_value, 0 AS misses FROM history WHERE epoch = 0
+        UNION ALL
+        SELECT h.model, h.epoch, CASE WHEN h.value > e.best_value + 1e-6 THEN h.epoch ELSE e.best END,
+               CASE WHEN h.value > e.best_value + 1e-6 THEN h.value ELSE e.best_value END,
+               CASE WHEN h.value > e.best_value + 1e-6 THEN 0 ELSE e.misses + 1 END
+        FROM epochs e JOIN history h ON h.model = e.model AND h.epoch = e.epoch + 1 WHERE e.misses < 5"""
+
 # ---- label graph
 
 _CTES["pairs"] = """
@@ -327,6 +355,23 @@ _CTES["v9_params"] = f"""
                CASE WHEN support > 0 THEN {_shrink('t', 'CAST(0.48 AS DOUBLE)', 500)} ELSE 0.48 END AS threshold
         FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, k, power, w) AS pick FROM v9_scored) WHERE pick = 1"""
 
+_CTES["fold_v9_points"] = "SELECT *, 1 - row_idx % 2 AS cal_fold FROM v9_points"
+_CTES["fold_v9_prefix"] = _prefix("fold_v9_points", 0.05, 0.95, "cal_fold, label, k, power, w")
+_CTES["fold_v9_scored"] = f"""
+        SELECT cal_fold, label, k, power, w, t, support, {_f1('tp', 'support', 'predicted')} AS f1 FROM (
+            SELECT cal_fold, label, k, power, w, any_value(t) AS t, CAST(sum(y) AS BIGINT) AS support,
+                   sum(CAST(prob >= t AS INTEGER)) AS predicted, sum(CASE WHEN prob >= t THEN y ELSE 0 END) AS tp
+            FROM fold_v9_points JOIN (SELECT cal_fold, label, k, power, w, coalesce(threshold, 0.48) AS t FROM fold_v9_prefix)
+            USING (cal_fold, label, k, power, w) GROUP BY cal_fold, label, k, power, w)"""
+_CTES["fold_v9_params"] = f"""
+        SELECT cal_fold AS fold, label, CASE WHEN support > 0 THEN k ELSE 40 END AS k, CASE WHEN support > 0 THEN power ELSE 4 END AS power,
+               round(CASE WHEN support > 0 THEN {_shrink('w', 'CAST(0.4 AS DOUBLE)', 500)} ELSE 0.4 END, 9) AS w,
+               round(CASE WHEN support > 0 THEN {_shrink('t', 'CAST(0.48 AS DOUBLE)', 500)} ELSE 0.48 END, 9) AS t
+        FROM (SELECT *, row_number() OVER (PARTITION BY cal_fold, label ORDER BY f1 DESC, k, power, w) AS pick FROM fold_v9_scored) WHERE pick = 1"""
+_CTES["fold_v9_pred"] = """
+        SELECT p.fold, c.label, c.y, p.w * c.base + (CAST(1 AS DOUBLE) - p.w) * c.prob >= p.t AS pred
+        FROM candidates c JOIN fold_v9_params p ON p.fold = c.row_idx % 2 AND p.label = c.label AND p.k = c.k AND p.power = c.power"""
+
 # ---- TF-IDF
 
 
@@ -499,6 +544,11 @@ _FINAL: dict[str, str] = {
         GROUP BY seq_id, dim""",
     "chunk_mean": """SELECT seq_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS value
         FROM (SELECT seq_id, unnest(range(64)) AS dim, CAST(unnest(vector) AS DOUBLE) AS x FROM tokens) GROUP BY seq_id, dim""",
+    "linear_predict": """
+        SELECT row_idx, 'label_' || i AS label, round(1 / (1 + exp(-(coalesce(base, 0) + i * coalesce(slope, 0) + 0.25 - 0.125 * i))), 6) AS prob
+        FROM (SELECT row_idx, sum(x * (h % 13 - 6) / 4.0) AS base, sum(x * (h % 7 - 3) / 40.0) AS slope FROM (
+            SELECT row_idx, x, CAST('0x' || left(md5(term), 4) AS INTEGER) AS h FROM eval_x35) GROUP BY row_idx)
+        CROSS JOIN (SELECT unnest(range(26)) AS i)""",
     "knn_tfidf": "SELECT q, n, rank, round(sim, 6) AS sim FROM doc_nearest",
     "knn_embedding": "SELECT q, n, rank, round(sim, 6) AS sim FROM emb_nearest",
     "knn_similarity_stats": "SELECT round(avg(sim) FILTER (WHERE rank = 1), 6) AS mean_top1_similarity, round(avg(sim), 6) AS mean_topk_similarity FROM emb_nearest",
@@ -591,6 +641,44 @@ _FINAL: dict[str, str] = {
     "param_histogram": """SELECT 'k' AS parameter, CAST(k AS DOUBLE) AS value, count(*) AS n_labels FROM v9_params GROUP BY k
         UNION ALL SELECT 'power', CAST(power AS DOUBLE), count(*) FROM v9_params GROUP BY power""",
     "weight_summary": "SELECT round(avg(weight), 6) AS mean_weight, round(quantile_cont(weight, 0.5), 6) AS median_weight FROM adaptive_params",
+    "label_specific_crossfit": f"SELECT CAST(fold AS INTEGER) AS fold, {_r(*_MACRO_COLUMNS)} FROM ({_macro(_counts('fold_v9_pred', 'pred', 'fold,'), 'fold,')})",
+    "selector_scores": "SELECT label, model, support, round(t, 6) AS threshold, round(f1, 6) AS f1 FROM selector_scored",
+    "select_crossfit": f"SELECT fold, {_r(*_MACRO_COLUMNS)} FROM ({_macro(_counts('fold_selected', 'pred', 'fold,'), 'fold,')})",
+    "thresholds_optimistic": f"SELECT {_r(*_MACRO_COLUMNS)} FROM ("
+    + _macro(
+        _counts(
+            f"""(SELECT s.label, s.y, s.prob >= round(t.shrunk_threshold, 9) AS pred FROM scores1 s
+                 JOIN ({_fitted("SELECT * FROM prefix1 CROSS JOIN (SELECT global_threshold FROM global1)")}) t USING (label))""",
+            "pred",
+        )
+    )
+    + ")",
+    "early_stop_epoch": """
+        SELECT model, best AS best_epoch, round(best_value, 6) AS best_value, epoch AS stop_epoch
+        FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY epoch DESC) AS back FROM epochs) WHERE back = 1""",
+    "running_loss": """
+        SELECT model, batch, rows, round(loss, 6) AS loss, round(sum(rows * loss) OVER w / sum(rows) OVER w, 6) AS running_loss FROM (
+            SELECT model, row_idx // 64 AS batch, count(DISTINCT row_idx) AS rows,
+                   avg(-ln(CASE WHEN y = 1 THEN p ELSE CAST(1 AS DOUBLE) - p END)) AS loss
+            FROM (SELECT *, greatest(1e-6, least(CAST(1 AS DOUBLE) - 1e-6, prob)) AS p FROM models) GROUP BY model, batch)
+        WINDOW w AS (PARTITION BY model ORDER BY batch ROWS UNBOUNDED PRECEDING)""",
+    "rf_skipped_labels": """
+        SELECT label, CAST(sum(y) AS BIGINT) AS positives FROM truth t JOIN random_split s USING (row_idx) WHERE s.part = 'train'
+        GROUP BY label HAVING sum(y) < 10""",
+    "split_metadata": """
+        SELECT 42 AS seed, CAST(0.2 AS DOUBLE) AS val_size,
+               (SELECT count(*) FROM random_split WHERE part = 'train') AS random_train_rows, (SELECT count(*) FROM random_split WHERE part = 'val') AS random_val_rows,
+               (SELECT count(*) FROM tail_split WHERE part = 'train') AS tail_train_rows, (SELECT count(*) FROM tail_split WHERE part = 'val') AS tail_val_rows,
+               (SELECT count(*) FROM tail_clean WHERE part = 'train') AS tail_clean_train_rows, (SELECT count(*) FROM tail_clean WHERE part = 'val') AS tail_clean_val_rows,
+               (SELECT count(*) FROM chrono WHERE part = 'train') AS chronological_train_rows, (SELECT count(*) FROM chrono WHERE part = 'val') AS chronological_val_rows,
+               (SELECT round(avg(abs(a.p - b.p)), 6) FROM (SELECT label, avg(y) AS p FROM truth JOIN random_split USING (row_idx) WHERE part = 'train' GROUP BY label) a
+                    JOIN (SELECT label, avg(y) AS p FROM truth JOIN random_split USING (row_idx) GROUP BY label) b USING (label)) AS drift_train,
+               (SELECT round(avg(abs(a.p - b.p)), 6) FROM (SELECT label, avg(y) AS p FROM truth JOIN random_split USING (row_idx) WHERE part = 'val' GROUP BY label) a
+                    JOIN (SELECT label, avg(y) AS p FROM truth JOIN random_split USING (row_idx) GROUP BY label) b USING (label)) AS drift_val,
+               (SELECT min(num_id) FROM test) AS test_min,
+               (SELECT count(*) FROM tail_split WHERE part = 'val' AND sequence IN (SELECT sequence FROM tail_split WHERE part = 'train')) AS tail_overlap_rows,
+               (SELECT count(DISTINCT sequence) FROM tail_split WHERE part = 'val' AND sequence IN (SELECT sequence FROM tail_split WHERE part = 'train')) AS tail_overlap_groups,
+               (SELECT min(CAST(substr(p.protein_id, 2) AS BIGINT)) FROM proteins p WHERE NOT p.is_test AND p.sequence IN (SELECT sequence FROM chrono WHERE part = 'val')) AS chronological_cutoff""",
     "select_model": f"SELECT label, support, model, {_r('threshold', 'best_f1', 'home_f1')} FROM selector",
     "select_model_f1": f"SELECT {_COUNT_COLUMNS} FROM ("
     + _counts("(SELECT m.label, m.y, m.prob >= s.threshold AS pred FROM models m JOIN selector s ON s.label = m.label AND s.model = m.model)", "pred")
@@ -601,7 +689,7 @@ _FINAL: dict[str, str] = {
     "propagate_beta_grid": f"SELECT {_r('beta', 'global_threshold', 'macro_f1', 'predicted_labels_per_sample')} FROM ({_best_global('beta_points', 'beta,')})",
     "submission_wide": "SELECT p.protein_id, "
     + ", ".join(f"max(CASE WHEN s.label = 'label_{i}' THEN CAST(s.prob >= 0.5 AS INTEGER) END) AS label_{i}" for i in range(26))
-    + " FROM test p JOIN scores1 s USING (row_idx) GROUP BY p.protein_id",
+    + " FROM test p JOIN scores1 s USING (row_idx) GROUP BY p.row_idx, p.protein_id",
     "feature_cache_key": """SELECT substr(sha256('{"config": {"max_features": 120000, "min_df": 5, "ngram_max": 5, "ngram_min": 3}, "mode": "submit"}|'
                || count(*) || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 1, 16) AS UBIGINT))
                || '|' || sum(CAST('0x' || substr(md5(row_idx || '|' || sequence), 17, 16) AS UBIGINT))), 1, 12) AS cache_key FROM proteins""",

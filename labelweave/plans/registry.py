@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from labelweave.operators import (
     audit,
     blend,
     folds,
+    joint,
     knn,
     labelgraph,
     linear,
@@ -155,6 +156,14 @@ def split_leakage(spark, sf):
     return out
 
 
+@query
+def split_metadata(spark, sf):
+    train, test = fx.train_test(spark, sf)
+    made = {"random": splits.random_group(train), "tail": splits.tail(train, test), "tail_clean": splits.tail_clean(train, test), "chronological": splits.chronological(train, test)}
+    made = {name: materialize(split) for name, split in made.items()}
+    return rounded(splits.metadata(train, test, fx.truth(spark, sf), made))
+
+
 @query
 def group_kfold(spark, sf):
     return folds.group_folds(fx.proteins(spark, sf), DEFAULT.n_splits)
@@ -445,6 +454,29 @@ def variant_summary(spark, sf):
     return rounded(summary.select("scale", "predicted_labels_per_sample", "predicted_positive_rate"))
 
 
+@query
+def thresholds_optimistic(spark, sf):
+    """Metrics of per-label thresholds over the rows they were fitted on: the optimistic side of the cross-fit."""
+    scores = fx.scores(spark, sf, 1)
+    fitted = thresholds.fit_thresholds(scores, thresholds.best_global(scores, DEFAULT), DEFAULT)
+    small = fitted.select("label", F.round("shrunk_threshold", 9).alias("threshold"))
+    return rounded(metrics.macro(metrics.label_counts(thresholds.apply_thresholds(scores, small, "threshold", ["label"]))))
+
+
+@query
+def early_stop_epoch(spark, sf):
+    """Where training would stop if the thresholds of the grid were epochs: best and last point of each model."""
+    grid = thresholds.grid_f1(_three_models(spark, sf), 0.10, 0.90, 0.01, ["model"])
+    history = grid.select("model", F.round(F.col("threshold") * 100 - 10, 0).cast("int").alias("epoch"), F.round("macro_f1", 9).alias("value"))
+    return rounded(mlp.early_stop(history, 5, ["model"]))
+
+
+@query
+def running_loss(spark, sf):
+    """Mean log-loss of every batch of 64 rows and of all rows up to it, for each model."""
+    return rounded(metrics.running_loss(_three_models(spark, sf), F.floor(F.col("row_idx") / 64), ["model"]))
+
+
 # ---------------------------------------------------------------- blending
 
 
@@ -516,6 +548,16 @@ def label_specific_f1(spark, sf):
     return rounded(metrics.label_counts(blend.apply_label_specific(candidates, params)))
 
 
+@query
+def label_specific_crossfit(spark, sf):
+    """Per-fold macro-F1 of label-specific k, power, weight and threshold, each fitted on the other fold."""
+    cells = materialize(_grid_candidates(spark, sf, LABEL_POWERS).withColumn("fold", (F.col("row_idx") % 2).cast("int")))
+    params = blend.fit_label_specific(folds.calibration_rows(cells, 2), by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
+    params = params.withColumns({c: F.round(c, 9) for c in ("weight", "threshold")})
+    predicted = blend.apply_label_specific(cells, params, ["fold", "label"])
+    return rounded(metrics.macro(metrics.label_counts(predicted, ["fold"]), ["fold"]))
+
+
 @query
 def param_histogram(spark, sf):
     params = materialize(blend.fit_label_specific(_grid_candidates(spark, sf, LABEL_POWERS)))
@@ -547,6 +589,21 @@ def select_model_f1(spark, sf):
     return rounded(metrics.label_counts(blend.apply_selector(models, blend.fit_selector(models))))
 
 
+@query
+def selector_scores(spark, sf):
+    """Every model's best threshold and F1 for every label: what the choice is made from."""
+    return rounded(blend.selector_scores(_three_models(spark, sf)))
+
+
+@query
+def select_crossfit(spark, sf):
+    """Per-fold macro-F1 of per-label model selection, chosen on the other fold."""
+    rows = materialize(_three_models(spark, sf).join(folds.group_folds(fx.proteins(spark, sf)), "row_idx"))
+    params = blend.fit_selector(folds.calibration_rows(rows, 2), by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
+    predicted = blend.apply_selector(rows, params, ["fold", "label"])
+    return rounded(metrics.macro(metrics.label_counts(predicted, ["fold"]), ["fold"]))
+
+
 # ---------------------------------------------------------------- label graph
 
 
@@ -610,8 +667,32 @@ def _embedding_task(spark, sf):
     return fit, held_out, truth.join(fit.select("row_idx"), "row_idx", "left_semi"), truth, labels
 
 
+def _document_task(spark, sf):
+    """Packed fit rows, held-out vectors, their truth and all labels: TF-IDF of whole documents."""
+    fit, held_out = _document_split(spark, sf)
+    vocab, fit_v, eval_v = tfidf.fit_transform(fit, held_out, tfidf.TfidfConfig())
+    truth, labels = fx.truth(spark, sf).select("row_idx", "label", "y"), [f"label_{i}" for i in range(fx.N_LABELS)]
+    blocks = joint.pack(fit_v, truth.join(fit.select("row_idx"), "row_idx", "left_semi"), labels, vocab.count())
+    return blocks, eval_v, truth.join(held_out.select("row_idx"), "row_idx", "left_semi"), labels
+
+
 @query
 def sgd_ovr(spark, sf):
+    """Penalised logistic regression of all labels on the documents' TF-IDF, every label in the same passes."""
+    blocks, eval_v, _, labels = _document_task(spark, sf)
+    model = joint.fit_joint(blocks, joint.columns_of(labels, linear.LinearConfig()))
+    return rounded(joint.predict(eval_v, model).drop("name"))
+
+
+@query
+def sgd_convergence(spark, sf):
+    """How each label's fit ended: passes over the rows, and whether its loss had settled."""
+    blocks, _, _, labels = _document_task(spark, sf)
+    return joint.fit_joint(blocks, joint.columns_of(labels, linear.LinearConfig())).report(spark).drop("name")
+
+
+@query
+def sgd_ovr_embedding(spark, sf):
     """Penalised logistic regression per class on the embeddings."""
     fit, held_out, fit_truth, _, labels = _embedding_task(spark, sf)
     features = [linear.dense_features(part, "embedding") for part in (fit, held_out)]
@@ -620,19 +701,31 @@ def sgd_ovr(spark, sf):
 
 @query
 def sgd_sweep(spark, sf):
-    """The regularisation candidates, ranked by macro-AUC and macro-F1 on held-out rows."""
-    fit, held_out, fit_truth, truth, labels = _embedding_task(spark, sf)
-    features = [linear.dense_features(part, "embedding") for part in (fit, held_out)]
-    rows = []
-    for name, cfg in linear.SWEEP.items():
-        scored = linear.logistic_scores(features[0], fit_truth, features[1], labels, cfg)
-        rows.append(scored.join(truth, ["row_idx", "label"]).withColumn("model", F.lit(name)))
-    models = materialize(reduce(DataFrame.unionAll, rows))
+    """The five candidates by stochastic steps on the documents' TF-IDF, ranked by macro-AUC and macro-F1 on held-out rows."""
+    blocks, eval_v, truth, labels = _document_task(spark, sf)
+    columns = [c for name, cfg in linear.SWEEP.items() for c in joint.columns_of(labels, cfg, name)]
+    scored = joint.predict(eval_v, joint.fit_stochastic(blocks, columns)).withColumnRenamed("name", "model")
+    models = materialize(scored.join(truth, ["row_idx", "label"]))
     f1 = metrics.macro(metrics.label_counts(metrics.predict(models), ["model"]), ["model"])
     ranked = metrics.macro_auc(models, ["model"]).join(f1.select("model", "macro_f1"), "model")
     return rounded(ranked.orderBy(F.desc("macro_auc"), F.desc("macro_f1")))
 
 
+@query
+def linear_predict(spark, sf):
+    """Scores of all labels over held-out TF-IDF under coefficients that are computed from each term."""
+    fit, held_out = _document_split(spark, sf)
+    vocab, _, eval_v = tfidf.fit_transform(fit, held_out, tfidf.TfidfConfig())
+    digest = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int")
+    base, slope = (digest % 13 - 6) / 4.0, (digest % 7 - 3) / 40.0
+    terms = vocab.select("term_idx", base.alias("base"), slope.alias("slope")).orderBy("term_idx").toPandas()  # the vocabulary has a fixed size
+    number = np.arange(fx.N_LABELS)
+    coef = np.vstack([terms["base"].to_numpy()[:, None] + terms["slope"].to_numpy()[:, None] * number, 0.25 - 0.125 * number])
+    labels = [joint.Column(f"label_{i}") for i in number]
+    model = joint.Model(tuple(labels), coef, (0,) * len(labels), (True,) * len(labels))
+    return rounded(joint.predict(eval_v, model).drop("name"))
+
+
 @query
 def rf_baseline(spark, sf):
     """Random forests on the composition features of whole documents, hard predictions."""
@@ -646,6 +739,14 @@ def rf_baseline(spark, sf):
     return metrics.predict(scored).select("row_idx", "label", "pred")
 
 
+@query
+def rf_skipped_labels(spark, sf):
+    """Labels with fewer than ten positive fit rows: the forests never predict them."""
+    train, _ = fx.train_test(spark, sf)
+    fit = splits.random_group(train).where("part = 'train'")
+    return linear.skipped_labels(fx.truth(spark, sf).join(fit, "row_idx", "left_semi"))
+
+
 def _stack_cells(spark, sf):
     return blend.align(*[fx.scores(spark, sf, m) for m in range(4)])
 
@@ -691,5 +792,5 @@ def mlp_forward(spark, sf):
     """Held-out class scores of the network after a full training run on the embeddings."""
     fit, held_out, fit_truth, truth, labels = _embedding_task(spark, sf)
     as_x = lambda df: df.select("row_idx", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    scored, _ = mlp.train(as_x(fit), fit_truth, as_x(held_out), truth, labels, mlp.MlpConfig())
-    return rounded(scored)
+    network, _ = mlp.train(as_x(fit), fit_truth, as_x(held_out), truth, labels, mlp.MlpConfig())
+    return rounded(network.scores(as_x(held_out)))

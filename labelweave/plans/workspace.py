@@ -1,7 +1,7 @@
 """The stages of a study over one train and one test table, handing tables to each other on disk.
 
 Folders under ``root``: ``splits/<mode>``, ``scores/model=<name>``, ``test_scores/model=<name>``,
-``thresholds/<tag>``, ``params/<tag>``, ``reports/<name>``, ``submissions/<name>``.
+``thresholds/<tag>``, ``params/<tag>``, ``models/<key>``, ``reports/<name>``, ``submissions/<name>``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from labelweave.operators import (
     audit,
     blend,
     folds,
+    joint,
     knn,
     labelgraph,
     linear,
@@ -29,6 +30,7 @@ from labelweave.operators import (
 )
 from labelweave.session import materialize
 from labelweave.sources import packs
+from labelweave.sources.models import ModelStore, model_key
 
 # The submission operating point and the search grids.
 SUBMIT_K, SUBMIT_POWER, SUBMIT_WEIGHT = 40, 4.0, 0.40
@@ -39,30 +41,55 @@ MODES = ["random", "tail", "tail_clean", "chronological"]
 FEATURES = {"v1": tfidf.TfidfConfig(), "v16": tfidf.SHORT_NGRAMS, "v19": tfidf.LONG_NGRAMS}
 
 
+def _settings(ks: Sequence[float], powers: Sequence[float]) -> list[tuple[int, float]]:
+    return [(int(k), float(p)) for k in ks for p in powers]
+
+
 class Workspace:
-    """One study. ``train`` and ``test`` are CSV paths with a header row."""
+    """One study. ``train`` and ``test`` are CSV paths with a header row.
+
+    ``max_labels`` keeps the first labels by number and ``max_rows`` the first numbered rows of either
+    table: both are for smoke runs.
+    """
 
-    def __init__(self, spark: SparkSession, train: str, test: str, root: str, mode: str = "chronological"):
+    def __init__(
+        self, spark: SparkSession, train: str, test: str, root: str, mode: str = "chronological", max_labels: int | None = None, max_rows: int | None = None
+    ):
         self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
         self._train_path, self._test_path = train, test
+        self.max_labels, self.max_rows = max_labels, max_rows
 
     # ---- inputs
 
+    def _table(self, path: str, side: str) -> DataFrame:
+        """Numbered rows of a CSV table; its malformed rows go to a report of their own."""
+        raw = materialize(packs.read_csv(self.spark, path))
+        bad = packs.malformed(raw)
+        if not bad.isEmpty():
+            self._report(bad, f"malformed_{side}")
+        numbered = packs.with_row_idx(packs.well_formed(raw))
+        return materialize(numbered if self.max_rows is None else numbered.where(F.col("row_idx") < self.max_rows))
+
     @cached_property
     def train(self) -> DataFrame:
-        return materialize(packs.with_row_idx(packs.read_csv(self.spark, self._train_path)))
+        return self._table(self._train_path, "train")
 
     @cached_property
     def test(self) -> DataFrame:
-        return materialize(packs.with_row_idx(packs.read_csv(self.spark, self._test_path)))
+        return self._table(self._test_path, "test")
+
+    @cached_property
+    def models(self) -> ModelStore:
+        return ModelStore(self.spark, f"{self.root}/models")
 
     @cached_property
     def labels(self) -> list[str]:
-        return packs.label_columns(self.train)
+        return packs.first_labels(packs.label_columns(self.train), self.max_labels)
 
     @cached_property
     def truth(self) -> DataFrame:
-        return materialize(packs.long_truth(self.train))
+        every = packs.label_columns(self.train)
+        return materialize(packs.long_truth(self.train.drop(*[c for c in every if c not in self.labels])))
 
     def _read(self, *parts: str) -> DataFrame:
         return self.spark.read.parquet("/".join([self.root, *parts]))
@@ -118,20 +145,26 @@ class Workspace:
             "tail_clean": splits.tail_clean(self.train, self.test),
             "chronological": splits.chronological(self.train, self.test, val_size),
         }
-        for mode, split in made.items():
-            saved = self._write(split, "splits", mode)
+        saved = {mode: self._write(split, "splits", mode) for mode, split in made.items()}
+        for mode, split in saved.items():
             if mode in ("random", "chronological"):
-                splits.require_no_leak(self.train, saved)
-            self._report(metrics.prevalence_drift(self.truth, saved), f"drift_{mode}")
+                splits.require_no_leak(self.train, split)
+            self._report(metrics.prevalence_drift(self.truth, split), f"drift_{mode}")
+        self._report(splits.metadata(self.train, self.test, self.truth, saved, val_size, seed), "split_metadata")
 
     # ---- base models
 
+    def _data_key(self, cfg) -> str:
+        """Key of settings, mode, split and data."""
+        fit, held_out = self._sides()
+        tagged = fit.select("row_idx", "sequence").unionByName(held_out.select("row_idx", F.concat(F.lit("~"), "sequence").alias("sequence")))
+        return packs.cache_key(tagged, cfg, self.mode).first()["cache_key"]
+
     def _features(self, features: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(vocab, fit vectors, eval vectors), kept under a key of settings, mode, split and data."""
         cfg = FEATURES[features]
         fit, held_out = self._sides()
-        tagged = fit.select("row_idx", "sequence").unionByName(held_out.select("row_idx", F.concat(F.lit("~"), "sequence").alias("sequence")))
-        key = packs.cache_key(tagged, cfg, self.mode).first()["cache_key"]
+        key = self._data_key(cfg)
         where = ("features", f"{self.mode}_{key}")
         try:
             return self._read(*where, "vocab"), self._read(*where, "fit"), self._read(*where, "eval")
@@ -146,19 +179,30 @@ class Workspace:
     def train_linear(self, features: str = "v1", cfg: linear.LinearConfig = linear.LinearConfig(), name: str | None = None) -> DataFrame:
         """Penalised logistic regression per label on n-gram TF-IDF."""
         name = name or f"{features}_sgd"
+        key = model_key("linear", f"{features}_{self._data_key(FEATURES[features])}", cfg, self.labels)
+        model = self.models.load_linear(key)
+        if model is None:
+            blocks, eval_v = self._packed(features)
+            model = joint.fit_joint(blocks, joint.columns_of(self.labels, cfg), cfg.max_iter, cfg.tol)
+            self.models.save_linear(key, model)
+        else:
+            eval_v = self._features(features)[2]
+        self._report(model.report(self.spark).drop("name"), f"{name}_convergence")
+        return self._finish(joint.predict(eval_v, model), self._sides()[1], name)
+
+    def _packed(self, features: str) -> tuple[joint.Blocks, DataFrame]:
         vocab, fit_v, eval_v = self._features(features)
-        fit, held_out = self._sides()
-        size = vocab.count()
-        fit_x, eval_x = linear.sparse_features(fit_v, size), linear.sparse_features(eval_v, size)
-        scored = linear.logistic_scores(fit_x, self._truth_of(fit), eval_x, self.labels, cfg)
-        return self._finish(scored, held_out, name)
+        return joint.pack(fit_v, self._truth_of(self._sides()[0]), self.labels, vocab.count()), eval_v
 
     def sweep(self, features: str = "v1") -> DataFrame:
-        """All regularisation candidates, ranked."""
+        """All regularisation candidates, fitted side by side and ranked."""
+        blocks, eval_v = self._packed(features)
+        columns = [c for name, cfg in linear.SWEEP.items() for c in joint.columns_of(self.labels, cfg, name)]
+        scored = materialize(joint.predict(eval_v, joint.fit_stochastic(blocks, columns)))
         ranked = []
-        for name, cfg in linear.SWEEP.items():
-            scored = self.train_linear(features, cfg, f"v10_{name}")
-            ranked.append((name, metrics.macro_auc(scored).first()[0], metrics.macro_f1(metrics.predict(scored)).first()[0]))
+        for name in linear.SWEEP:
+            one = self._finish(scored.where(F.col("name") == name), self._sides()[1], f"v10_{name}")
+            ranked.append((name, metrics.macro_auc(one).first()[0], metrics.macro_f1(metrics.predict(one)).first()[0]))
         table = self.spark.createDataFrame(ranked, "candidate string, macro_auc double, macro_f1 double")
         return self._report(table.orderBy(F.desc("macro_auc"), F.desc("macro_f1")), "v10_ranking")
 
@@ -174,9 +218,14 @@ class Workspace:
         fit, held_out = self._sides()
         rows = [part.select("row_idx", "protein_id").join(x, "protein_id").select("row_idx", "x") for part in (fit, held_out)]
         truths = [self._truth_of(part) for part in (fit, held_out)]
-        scored, history = mlp.train(rows[0], truths[0], rows[1], truths[1], self.labels, cfg)
+        digest = packs.cache_key(rows[0].select("row_idx", F.col("x").cast("string").alias("sequence")), cfg, self.mode).first()["cache_key"]
+        key = model_key("network", f"{self._data_key(cfg)}_{digest}", cfg, self.labels)
+        stored = self.models.load_network(key)
+        network, history = stored or mlp.train(rows[0], truths[0], rows[1], truths[1], self.labels, cfg)
+        if stored is None:
+            self.models.save_network(key, network, history)
         self._report(self.spark.createDataFrame(history), "v3_history")
-        return self._finish(scored, held_out, "v3_mlp")
+        return self._finish(network.scores(rows[1]), held_out, "v3_mlp")
 
     def embedding_knn(self, embeddings: str, k: int = 20, power: float = 2.0) -> DataFrame:
         x = self.spark.read.parquet(embeddings).select("protein_id", "embedding")
@@ -233,11 +282,13 @@ class Workspace:
         prob = sum((F.lit(best[f"weight_{w}"]) * F.col(p) for w, p in zip("abc", ("p0", "p1", "p2"))), F.lit(0.0))
         return self._save_scores(cells.withColumn("prob", prob), name)
 
-    def tune(self, base: str = "v1_sgd", name: str = "v7_tuned") -> DataFrame:
+    def tune(
+        self, base: str = "v1_sgd", name: str = "v7_tuned", ks: Sequence[float] | None = None, powers: Sequence[float] | None = None, step: float = 0.05
+    ) -> DataFrame:
         """Best k, power and blend weight over the whole grid; neighbours are searched once."""
-        settings = [(k, p) for k in K_GRID for p in TUNE_POWERS]
+        settings = _settings(ks or K_GRID, powers or TUNE_POWERS)
         candidates = knn.with_base(self.scores(base), self._candidates(settings))
-        table = materialize(blend.tune_knn_blend(candidates))
+        table = materialize(blend.tune_knn_blend(candidates, step))
         self._report(table, f"{name}_grid")
         best = table.orderBy(F.round("blend_macro_f1", 12).desc(), "k", "power").first()
         kept = candidates.where((F.col("k") == best["k"]) & (F.col("power") == best["power"]))
@@ -255,7 +306,11 @@ class Workspace:
         self._report(metrics.macro(metrics.label_counts(out_of_fold)), f"{model}_crossfit")
         best = materialize(thresholds.best_global(scores, cfg))
         self._report(best, f"{model}_global")
-        return self._write(thresholds.fit_thresholds(scores, best, cfg), "thresholds", model)
+        fitted = self._write(thresholds.fit_thresholds(scores, best, cfg), "thresholds", model)
+        packs.write_report(fitted, f"{self.root}/reports/{model}_thresholds")
+        own = thresholds.apply_thresholds(scores, fitted, "shrunk_threshold", ["label"])
+        self._report(metrics.macro(metrics.label_counts(own)), f"{model}_fit_all_optimistic")
+        return fitted
 
     def adaptive(self, base: str = "v1_sgd", other: str = "v5_knn") -> DataFrame:
         cells = self._folded(self._aligned(base, other))
@@ -267,21 +322,23 @@ class Workspace:
         self._report(blend.weight_summary(params), "v8_weights")
         return params
 
-    def label_specific(self, base: str = "v1_sgd") -> DataFrame:
-        settings = [(k, p) for k in K_GRID for p in LABEL_POWERS]
+    def label_specific(
+        self, base: str = "v1_sgd", ks: Sequence[float] | None = None, powers: Sequence[float] | None = None, weights: Sequence[float] | None = None
+    ) -> DataFrame:
+        settings, weights = _settings(ks or K_GRID, powers or LABEL_POWERS), weights or WEIGHT_GRID
         candidates = self._folded(knn.with_base(self.scores(base), self._candidates(settings)))
-        by_fold = blend.fit_label_specific(folds.calibration_rows(candidates, 2), WEIGHT_GRID, by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
+        by_fold = blend.fit_label_specific(folds.calibration_rows(candidates, 2), weights, by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
         predicted = blend.apply_label_specific(candidates, by_fold, ["fold", "label"])
         self._report(metrics.macro(metrics.label_counts(predicted)), "v9_crossfit")
-        params = self._write(blend.fit_label_specific(candidates, WEIGHT_GRID), "params", "v9")
+        params = self._write(blend.fit_label_specific(candidates, weights), "params", "v9")
         for column in ("k", "power"):
             self._report(blend.histogram(params, column), f"v9_{column}")
         return params
 
-    def propagate(self, model: str = "v7_tuned", topk: int = 20, min_cooc: int = 30) -> DataFrame:
+    def propagate(self, model: str = "v7_tuned", topk: int = 20, min_cooc: int = 30, betas: Sequence[float] | None = None) -> DataFrame:
         graph = self._write(labelgraph.label_graph(self._truth_of(self._sides()[0]), topk, min_cooc), "params", "v13_graph")
         spread = materialize(labelgraph.propagate(self.scores(model), graph))
-        grid = materialize(labelgraph.beta_grid(spread, BETAS, thresholds.ThresholdConfig()))
+        grid = materialize(labelgraph.beta_grid(spread, betas or BETAS, thresholds.ThresholdConfig()))
         self._report(grid, "v13_betas")
         beta = labelgraph.best_beta(grid).first()["beta"]
         prob = F.lit(1.0 - beta) * F.col("prob") + F.lit(beta) * F.col("propagated")
@@ -310,7 +367,9 @@ class Workspace:
         by_fold = blend.fit_selector(folds.calibration_rows(rows, 2), by=["cal_fold"]).withColumnRenamed("cal_fold", "fold")
         predicted = blend.apply_selector(rows, by_fold, ["fold", "label"])
         self._report(metrics.macro(metrics.label_counts(predicted)), "v18_crossfit")
-        params = self._write(blend.fit_selector(rows), "params", "v18")
+        scored = materialize(blend.selector_scores(rows))
+        self._report(scored, "v18_scores")
+        params = self._write(blend.choose_models(scored), "params", "v18")
         self._report(blend.histogram(params, "model", range(len(models))), "v18_choices")
         return params
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import dataclasses
 import json
 import re
@@ -9,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from labelweave.functions.sequences import sequence_text
 from labelweave.operators.ordered import running_totals
@@ -22,11 +24,33 @@ def label_columns(df: DataFrame) -> list[str]:
     return [name for _, name in sorted(numbered)]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table with a header row. Pass ``schema`` on large inputs: inference reads the file twice."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+_BROKEN = "_malformed"
+
+
+def csv_schema(spark: SparkSession, path: str) -> StructType:
+    """Types by column name, from the header line alone: ``label_<digits>`` are numbers, all else is text."""
+    header = spark.read.text(path).first()
+    names = next(csv.reader([header["value"]])) if header else []
+    return StructType([StructField(n, IntegerType() if _LABEL.fullmatch(n) else StringType()) for n in names])
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A table with a header row, read once: nothing is inferred from its rows.
+
+    A row that does not fit (too many or too few fields, a label that is no number) keeps what could be
+    read and its line in ``_malformed``; see ``well_formed`` and ``malformed``, to be asked of a stored copy.
+    """
+    wanted = StructType([*(schema or csv_schema(spark, path)), StructField(_BROKEN, StringType())])
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).schema(wanted).csv(path)
+
+
+def well_formed(table: DataFrame) -> DataFrame:
+    return table.where(F.col(_BROKEN).isNull()).drop(_BROKEN)
+
+
+def malformed(table: DataFrame) -> DataFrame:
+    """``(line)`` of every row that did not fit."""
+    return table.where(F.col(_BROKEN).isNotNull()).select(F.col(_BROKEN).alias("line"))
 
 
 def with_row_idx(df: DataFrame) -> DataFrame:
@@ -43,14 +67,17 @@ def long_truth(train: DataFrame) -> DataFrame:
     return ints.unpivot("row_idx", labels, "label", "y")
 
 
-def first_labels(truth: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` labels by number: a smoke-run option."""
-    return truth.where(F.split("label", "_")[1].cast("int") < count)
+def first_labels(labels: Sequence[str], count: int | None) -> list[str]:
+    """The first ``count`` labels in their order, all without a count: a smoke-run option."""
+    return list(labels)[:count]
 
 
 def wide(predictions: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """``protein_id`` and one 0/1 column per label; the given list fixes the column order."""
-    return predictions.groupBy("protein_id").pivot("label", list(labels)).agg(F.max("pred").cast("tinyint"))
+    """One row per test row: ``protein_id`` and one 0/1 column per label in the given order.
+
+    Rows are told apart by ``row_idx``, so two test rows with one id stay two rows.
+    """
+    return predictions.groupBy("row_idx", "protein_id").pivot("label", list(labels)).agg(F.max("pred").cast("tinyint")).drop("row_idx")
 
 
 def write_submission(predictions: DataFrame, labels: Sequence[str], path: str) -> None:

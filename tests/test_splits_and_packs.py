@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelweave.__main__ import number_list
 from labelweave.functions import grids
 from labelweave.operators import labelgraph, mlp, splits, tfidf
+from labelweave.session import materialize
 from labelweave.sources import packs
 
 PROTEINS = "row_idx bigint, protein_id string, sequence string"
@@ -94,14 +95,27 @@ def test_weak_pairs_and_lonely_targets(spark):
 def test_csv_to_long_and_back(spark, tmp_path):
     source = spark.createDataFrame([("P2", "AC", 1, 0), ("P1", "GG", 0, 1)], "protein_id string, sequence string, label_10 int, label_2 int")
     source.write.option("header", True).csv(str(tmp_path / "in"))
-    table = packs.with_row_idx(packs.read_csv(spark, str(tmp_path / "in")))
+    raw = packs.read_csv(spark, str(tmp_path / "in"))
+    assert [f.dataType.typeName() for f in raw.schema][:4] == ["string", "string", "integer", "integer"]
+    table = packs.with_row_idx(packs.well_formed(materialize(raw)))
     assert packs.label_columns(table) == ["label_2", "label_10"]
     truth = packs.long_truth(table)
-    assert packs.first_labels(truth, 5).select("label").distinct().collect()[0]["label"] == "label_2"
+    assert packs.first_labels(packs.label_columns(table), 1) == ["label_2"] and len(packs.first_labels(["a", "b"], None)) == 2
     predicted = truth.join(table.select("row_idx", "protein_id"), "row_idx").withColumn("pred", F.col("y"))
     packs.write_submission(predicted, ["label_2", "label_10"], str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("protein_id").collect()
     assert [tuple(r) for r in back] == [("P1", "1", "0"), ("P2", "0", "1")]
+    twins = predicted.withColumn("protein_id", F.lit("P1"))
+    assert sorted(tuple(r) for r in packs.wide(twins, ["label_2", "label_10"]).collect()) == [("P1", 0, 1), ("P1", 1, 0)]
+
+
+def test_broken_csv_rows_are_set_aside(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('protein_id,sequence,label_1\nP1,"A,C",1\nP2,GG,yes\nP3,TT\nP4,CC,0,9\nP5,AA,0\n')
+    raw = materialize(packs.read_csv(spark, str(tmp_path / "t.csv")))
+    assert sorted(tuple(r) for r in packs.well_formed(raw).collect()) == [("P1", "A,C", 1), ("P5", "AA", 0)]
+    assert sorted(r["line"] for r in packs.malformed(raw).collect()) == ["P2,GG,yes", "P3,TT", "P4,CC,0,9"]
+    plan = packs.read_csv(spark, str(tmp_path / "t.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_score_table_is_read_per_model(spark, tmp_path):
@@ -121,7 +135,8 @@ def test_network_gradients():
         p = 1 / (1 + np.exp(-mlp.forward(mlp._unpack(w, *dims), x)[0]))
         return -(pw * y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    got = mlp.gradients(mlp._unpack(flat, *dims), x, y, pw)
+    got, value = mlp.gradients(mlp._unpack(flat, *dims), x, y, pw)
+    assert value == pytest.approx(loss(flat))
     for i in range(len(flat)):
         step = np.zeros_like(flat)
         step[i] = 1e-4
@@ -135,6 +150,8 @@ def test_network_learns_a_separable_label(spark):
     features = spark.createDataFrame(rows, "row_idx bigint, x array<double>")
     truth = spark.createDataFrame([(i, "a", int(r[0] > 0)) for i, r in enumerate(x)], "row_idx bigint, label string, y int")
     cfg = mlp.MlpConfig(hidden=16, epochs=8, batch_size=16, learning_rate=0.02, dropout=0.1)
-    scored, history = mlp.train(features, truth, features, truth, ["a"], cfg)
+    network, history = mlp.train(features, truth, features, truth, ["a"], cfg)
+    scored = network.scores(features)
+    assert history[-1]["loss"] < history[0]["loss"]
     assert history[-1]["macro_f1"] > 0.85
     assert scored.where("prob < 0 or prob > 1").count() == 0
