@@ -69,7 +69,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("_raw").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-LEAVES = 64  # words of a small class, and small classes of a group
+SMALL = 256  # words of a small class
+SCORED = 8192  # states whose outputs are computed together
 
 
 class Words:
@@ -96,13 +97,16 @@ class Words:
         self.deep = len(below)
         tail = self.n - self.counts.sum()
         self.tail_log = float(np.log10(max(tail, 0) + self.v - len(self.words) + 1))
-        self.top = -(-self.deep // LEAVES**2)
-        leaves = np.zeros(self.top * LEAVES**2)
-        leaves[: self.deep] = below + 1
+        #: Small classes of a group, and groups: about the square root of all small classes each.
+        self.fan = max(1, int(np.ceil(np.sqrt(-(-self.deep // SMALL)))))
+        self.top = -(-self.deep // (SMALL * self.fan))
+        mass_of = np.zeros(self.top * self.fan * SMALL)
+        mass_of[: self.deep] = below + 1
+        by_small = mass_of.reshape(-1, SMALL).sum(1)
         with np.errstate(divide="ignore"):  # a class without a word can never be chosen
-            level = [np.log(leaves.reshape(-1, LEAVES ** (2 - i)).sum(1)) for i in range(2)]
+            level = [np.log(by_small.reshape(self.top, self.fan).sum(1)), np.log(by_small)]
         self.tree_bias = [np.maximum(b, -1e9).astype(np.float32) for b in level]
-        self.share_log = (np.log(below + 1) - level[1][np.arange(self.deep) // LEAVES]).astype(np.float32)
+        self.share_log = (np.log(below + 1) - level[1][np.arange(self.deep) // SMALL]).astype(np.float32)
         root = np.sqrt(mass)
         share = np.cumsum(root) / max(root.sum(), 1)
         self.class_of = np.minimum((share * cfg.classes - 1e-9).astype(int), cfg.classes - 1)
@@ -131,7 +135,7 @@ class Gru:
         self.inputs = k + 2 + (cfg.shared if words.deep else 0)
         shapes = {"x": (self.inputs, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (h, k), "bw": (k,)}
         if words.deep:
-            shapes |= {"wa": (1, h + 1, words.top), "wb": (words.top, h + 1, LEAVES)}
+            shapes |= {"wa": (1, h + 1, words.top), "wb": (words.top, h + 1, words.fan)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             rng = np.random.default_rng(cfg.seed)
@@ -216,24 +220,20 @@ class Gru:
             deep = deep[np.argsort(targets[deep], kind="stable")]
             leaf = targets[deep] - self.words.head - 2
             own = np.concatenate([states[deep], np.ones((len(deep), 1), np.float32)], 1)
-            small = leaf // LEAVES
+            small, fan = leaf // SMALL, self.words.fan
             logp[deep] += self.words.share_log[leaf]
-            for name, nodes, choice in (("wa", np.zeros_like(leaf), small // LEAVES), ("wb", small // LEAVES, small % LEAVES)):
+            for name, nodes, choice in (("wa", np.zeros_like(leaf), small // fan), ("wb", small // fan, small % fan)):
                 got, to_own = self.level(name, nodes, own, choice, grads)
                 logp[deep] += got
                 if grads is not None:
                     back[deep] += to_own[:, :-1]
         return logp, back
 
-    def window(self, state, inputs, fresh, targets, live, learn: bool):
-        """Run ``inputs[t, lane]``; returns log-probabilities, the last state and, when learning, the
-        gradient (truncated at the window's start) of the live targets' sum."""
+    def run(self, state, inputs, fresh, saved: list | None = None):
+        """States after each of ``inputs[t, lane]``, and the last one; ``saved`` takes what learning needs."""
         h, (steps, lanes) = self.cfg.hidden, inputs.shape
-        start = self.words.head + 2
-        inputs = np.where(inputs < start, inputs, start + (inputs - start) % self.cfg.shared)
         xs = self.x[inputs]
         states = np.empty((steps, lanes, h), np.float32)
-        saved = []
         for t in range(steps):
             prev = state * (1 - fresh[t])[:, None]
             rec = prev @ self.u
@@ -242,8 +242,21 @@ class Gru:
             new = np.tanh(xs[t, :, 2 * h :] + r * rec[:, 2 * h :])
             state = new + z * (prev - new)
             states[t] = state
-            if learn:
+            if saved is not None:
                 saved.append((prev, rec[:, 2 * h :], z, r, new))
+        return states, state
+
+    def inputs_of(self, numbers):
+        """Rows of the input vectors: words of small classes share ``shared`` of them."""
+        start = self.words.head + 2
+        return np.where(numbers < start, numbers, start + (numbers - start) % self.cfg.shared)
+
+    def window(self, state, inputs, fresh, targets, live, learn: bool):
+        """Run ``inputs[t, lane]``; returns log-probabilities, the last state and, when learning, the
+        gradient (truncated at the window's start) of the live targets' sum."""
+        h, (steps, lanes) = self.cfg.hidden, inputs.shape
+        inputs, saved = self.inputs_of(inputs), [] if learn else None
+        states, state = self.run(state, inputs, fresh, saved)
         grads = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()} if learn else None
         chosen = np.flatnonzero(live.ravel())
         logp, back = self.outputs(states.reshape(-1, h)[chosen], targets.ravel()[chosen], grads)
@@ -396,7 +409,7 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
     The counts of all training words are gathered by one aggregation. The model: a gated recurrent
     network reads the words; the softmax is factored into classes of words. The most frequent ``head``
     words are in classes of equal shares of the square root of frequency, with a softmax over the state
-    inside each. The other listed words, by falling count, are in small classes of 64 that the state
+    inside each. The other listed words, by falling count, are in small classes of 256 that the state
     chooses in two steps, and have add-one shares of theirs. Words beyond the ``listed`` ones form one
     class with add-one shares, unknown words taking the place of one more word, so probabilities sum to
     1. Training is truncated backpropagation in numpy over every training document, once; the state goes
@@ -408,10 +421,16 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
     empty texts are just an end. Without training rows all words are unknown. Repeated rows are scored
     each; extra columns are ignored; an empty table gives an empty table.
     """
-    slim = common.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
+    slim = common.small_batches(docs, 4000).select(F.monotonically_increasing_id().alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
     return score_rows(slim, fit(slim.where(in_training(F.col("doc_id"))), cfg))
 
 
+def _scored(model: Gru, held: list, docs: int) -> np.ndarray:
+    """Sum of natural-log probabilities by document over ``(states, targets, document numbers)``."""
+    states, targets, numbers = (np.concatenate(part) for part in zip(*held))
+    return np.bincount(numbers, model.outputs(states, targets, None)[0], docs)
+
+
 def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
     """The columns of ``score_documents`` for ``slim(row, doc_id, _raw)``; ``row`` tells rows apart."""
     counts, words, flat, cfg = model.counts, model.words, model.flat, model.cfg
@@ -433,12 +452,18 @@ def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
                 codes.append(c)
                 rare.append([{"word": w, "m": m} for w, m in own.items()])
             total = np.zeros(len(texts))
-            state = None
+            state, held, size = None, [], 0
             for inputs, fresh, target, number in _runs(codes, words, cfg) if codes else ():
-                lanes = inputs.shape[1]
+                lanes, live = inputs.shape[1], number >= 0
                 state = np.zeros((lanes, cfg.hidden), np.float32) if state is None else state[:lanes]
-                logp, state, _ = model.window(state, inputs, fresh, target, number >= 0, False)
-                total += np.bincount(number[number >= 0], logp, len(texts))
+                states, state = model.run(state, model.inputs_of(inputs), fresh)
+                held.append((states[live], target[live], number[live]))
+                size += len(held[-1][2])
+                if size >= SCORED:  # behind the shorter lanes' ends windows are small
+                    total += _scored(model, held, len(texts))
+                    held, size = [], 0
+            if held:
+                total += _scored(model, held, len(texts))
             known = [int((c != unlisted).sum()) for c in codes]
             base = [float(listed_logs[c].sum()) - len(c) * rest_log for c in codes]
             full = [float(t / np.log(10) - (len(c) - k) * words.tail_log) for t, c, k in zip(total, codes, known)]

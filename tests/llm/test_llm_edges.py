@@ -396,7 +396,7 @@ def test_every_listed_word_follows_the_state(spark):
         logp, _ = model.outputs(np.repeat(state[None], len(every), 0), every, None)
         assert np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-4)
     a, b = (model.outputs(np.full((len(every), 4), x, np.float32), every, None)[0] for x in (0.9, -0.9))
-    moved = (a - b)[7 + langmodel.LEAVES :] - (a - b)[6]  # the share of a small class depends on the state
+    moved = (a - b)[7 + langmodel.SMALL :] - (a - b)[6]  # the share of a small class depends on the state
     assert (np.abs(moved) > 1e-4).mean() > 0.98
     # gradients of both choices against differences
     states, targets = rng.normal(size=(40, 4)).astype(np.float32), np.r_[np.full(5, 8), rng.integers(7, 5000, 35)]
@@ -415,21 +415,22 @@ def test_every_listed_word_follows_the_state(spark):
 def test_score_against_a_plain_loop(docs_of):
     """One token after another, the whole softmax written out."""
     pick = random.Random(3)
-    words = [f"w{min(int(pick.expovariate(0.02)), 400)}" for _ in range(30_000)]
+    words = [f"w{min(int(pick.expovariate(0.005)), 900)}" for _ in range(30_000)]
     rows = [(i, " ".join(words[i * 100 : i * 100 + pick.randrange(1, 100)])) for i in range(300)] + [(900, " ".join(words[:700])), (901, "w1 never w2 seen"), (902, None)]
     docs = docs_of(rows)
-    cfg = langmodel.LmConfig(hidden=4, head=8, classes=3, shared=5, listed=150)
+    cfg = langmodel.LmConfig(hidden=4, head=8, classes=3, shared=5, listed=700)
     slim = docs.select(F.col("doc_id").alias("row"), "doc_id", common.as_bytes("text").alias("_raw"))
     trained = langmodel.fit(slim.where(langmodel.in_training(F.col("doc_id"))), cfg)
     m, numbering, counts = langmodel.Gru(trained.words, cfg, trained.flat), trained.words.numbering(), {bytes(r["word"]): r["n"] for r in trained.counts.collect()}
-    assert trained.words.deep > 64 and len(counts) > len(numbering)  # all three kinds of words
+    assert trained.words.deep > langmodel.SMALL and len(counts) > len(numbering)  # all three kinds of words
     sig = lambda v: 1 / (1 + np.exp(-v))
     soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
     rest = trained.words.n - sum(counts[w] for w in numbering) + trained.words.v - len(numbering) + 1
     size = {}
     for w, i in numbering.items():
         if i > trained.words.head:
-            size[(i - trained.words.head - 2) // 64] = size.get((i - trained.words.head - 2) // 64, 0) + counts[w] + 1
+            small = (i - trained.words.head - 2) // langmodel.SMALL
+            size[small] = size.get(small, 0) + counts[w] + 1
 
     def plain(text):
         state, last, total, h = np.zeros(4), trained.words.head + 1, 0.0, 4
@@ -448,9 +449,9 @@ def test_score_against_a_plain_loop(docs_of):
             elif i == trained.words.head:
                 p = by_class[cfg.classes] * (counts.get(w, 0) + 1) / rest
             else:
-                leaf, own = i - trained.words.head - 2, np.append(state, 1)
-                group = leaf // 64 // 64
-                p = by_class[cfg.classes + 1] * soft(own @ m.wa[0])[group] * soft(own @ m.wb[group])[leaf // 64 % 64] * (counts[w] + 1) / size[leaf // 64]
+                small, own = (i - trained.words.head - 2) // langmodel.SMALL, np.append(state, 1)
+                group, place = divmod(small, trained.words.fan)
+                p = by_class[cfg.classes + 1] * soft(own @ m.wa[0])[group] * soft(own @ m.wb[group])[place] * (counts[w] + 1) / size[small]
             total, last = total + math.log10(p), i
         return total
 
