@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -24,7 +25,7 @@ ASCII_WORD = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]
 
 HEAD = 1_000_000
 HEAD_TEXT_BYTES = 64 << 20
-PART_ROWS = 1000
+PART_ROWS = 250
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -126,7 +127,7 @@ def _codes(packed: bytes) -> np.ndarray:
 
 
 class WordList:
-    """The frequent words and the ids of each, in flat arrays: a few bytes a word in every worker."""
+    """The frequent words, found by hash, and the ids of each, in flat arrays: some 30 bytes a word in every worker."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         model, made = vocabulary.tokenizer(), []
@@ -134,19 +135,33 @@ class WordList:
             made += [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(words[start : start + 1000], add_special_tokens=False)]
         self.words, self.size = pa.array(words, pa.string()), len(words)
         self.ids = np.concatenate([np.zeros(0, np.uint32), *made])
-        self.ends = np.cumsum([0, *map(len, made)])
+        self.ends = np.cumsum([0, *map(len, made)]).astype(np.uint32)
+        hashes = self.hashes(self.words)
+        self.order = np.argsort(hashes).astype(np.uint32)
+        self.sorted = hashes[self.order]
+
+    @staticmethod
+    def hashes(words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64)
+        return common.span_hashes(np.frombuffer(data or b"", np.uint8)[: ends[-1]], ends[:-1], ends[1:])
 
     def numbers(self, found: pa.Array) -> np.ndarray:
-        """Every word's place in the list; ``size`` for a word that is not in it."""
+        """Every word's place in the list; ``size`` for a word that is not in it. A hash only says where to look."""
         if not self.size or not len(found):
             return np.full(len(found), self.size, np.int64)
-        return pc.fill_null(pc.index_in(found, value_set=self.words), self.size).to_numpy().astype(np.int64)
+        place = self.order[np.minimum(np.searchsorted(self.sorted, self.hashes(found)), self.size - 1)].astype(np.int64)
+        same = pc.equal(found, self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        return np.where(same, place, self.size)
 
     def spell(self, codes: np.ndarray, fills: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of word numbers, one after another, and how many each word has; ``fills`` are the ids of unlisted ones in turn."""
         gap = codes == self.size
         starts, counts = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-        starts[~gap], counts[~gap] = self.ends[codes[~gap]], np.diff(self.ends)[codes[~gap]]
+        starts[~gap] = self.ends[codes[~gap]]
+        counts[~gap] = self.ends[codes[~gap] + 1] - self.ends[codes[~gap]]
         own = np.array([len(f) for f in fills], np.int64)
         starts[gap], counts[gap] = len(self.ids) + np.cumsum(own) - own, own
         source = np.concatenate([self.ids, *fills]) if fills else self.ids
@@ -170,6 +185,7 @@ def encode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     ``_narrow``. A very frequent word may be split over tasks."""
 
     def encode(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         model, last = vocabulary.tokenizer(), {}
         for part in parts(batches, 2000):
             words = part.column("word").to_pylist()
@@ -213,10 +229,11 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
     special = vocabulary.special
-    frequent = WordList(head_words(texts, special, head), vocabulary)
+    # one copy of the list and of the pieces for all stages; their size is fixed by ``head`` and the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((WordList(head_words(texts, special, head), vocabulary), pa.array(vocabulary.pieces(), pa.binary())))
 
     def cut_rare(batches):
-        cut = cutter(special)
+        cut, (frequent, _) = cutter(special), shared.value
         for part in parts(batches):
             words, counts = cut_part(part.column("_text").to_pylist(), cut)
             gaps = np.flatnonzero(frequent.numbers(words) == frequent.size)
@@ -225,7 +242,7 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(row)), pa.array(at, pa.int64()), words.take(pa.array(gaps))], ["_row", "_at", "word"])
 
     def number_head(batches):
-        cut, press = cutter(special), zstandard.ZstdCompressor(level=6)
+        cut, press, (frequent, _) = cutter(special), zstandard.ZstdCompressor(level=6), shared.value
         for part in parts(batches):
             words, counts = cut_part(part.column("_text").to_pylist(), cut)
             numbers = np.split(frequent.numbers(words), np.cumsum(counts)[:-1])
@@ -240,9 +257,9 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     filled = back.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_fill"))
     coded = keyed.mapInArrow(number_head, keyed.drop("_text").withColumn("_codes", F.lit(b"")).schema)
     whole = coded.join(filled, "_row", "left").withColumns({"_at": F.col("_fill._at"), "_fill": F.col("_fill.ids")})
-    pieces = pa.array(vocabulary.pieces(), pa.binary())
 
     def join_back(batches):
+        frequent, pieces = shared.value
         for part in parts(batches):
             codes = [_codes(c) for c in part.column("_codes").to_pylist()]
             tags = part.column("_tag").to_pylist()

@@ -76,6 +76,21 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+SPAN_BASE = 0x9E3779B97F4A7C15
+BYTE_VALUES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a polynomial of a random number for each byte, from prefix sums over all of ``data``."""
+    with np.errstate(over="ignore"):
+        falling = np.full(len(data), pow(SPAN_BASE, -1, 1 << 64), np.uint64)
+        falling[:1] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[data] * np.cumprod(falling))])
+        rising = np.full(len(data) + 1, SPAN_BASE, np.uint64)
+        rising[0] = 1
+        return mix((sums[ends] - sums[starts]) * np.cumprod(rising)[starts] + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k word hashes."""
     n = len(values) - k + 1

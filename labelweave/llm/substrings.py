@@ -43,33 +43,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _random_bytes_table() -> np.ndarray:
-    return common.mix(np.arange(1, 257, dtype=np.uint64) * common.ROOT)
-
-
-TABLE = _random_bytes_table()
 BLANK = np.isin(np.arange(256), np.frombuffer(common.BLANKS, np.uint8))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of some texts, one after another, and how many each text has.
 
-    A word's hash is a polynomial of a random number for each of its bytes, from prefix sums over all
-    texts at once, so no word becomes an object.
+    No word becomes an object.
     """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     inside = ~BLANK[data]
     edge = np.diff(np.r_[False, inside].view(np.int8), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    with np.errstate(over="ignore"):
-        falling = np.full(len(data), pow(BASES[0], -1, 1 << 64), np.uint64)
-        falling[:1] = 1
-        sums = np.r_[np.uint64(0), np.cumsum(TABLE[data] * np.cumprod(falling))]
-        rising = np.full(len(data), BASES[0], np.uint64)
-        rising[:1] = 1
-        values = (sums[ends] - sums[starts]) * np.cumprod(rising)[starts] + (ends - starts).astype(np.uint64)
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return common.mix(values), np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return common.span_hashes(data, starts, ends), np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 class Windows:
