@@ -12,6 +12,9 @@ from labelweave.llm import common
 from labelweave.session import materialize
 
 
+HOT = 2000
+
+
 def _key(line: bytes, min_points: int) -> bytes | None:
     """128-bit digest of a line without outer blanks and with A-Z lowered; None for a short line."""
     line = line.strip(common.BLANKS).lower()
@@ -30,8 +33,10 @@ def dedup_lines(docs: DataFrame, min_points: int = 10, max_docs: int = 1) -> Dat
 
     Keys are 16-byte digests, made once per document inside the scan. Counting documents needs only a
     partial aggregation (smallest and largest id, and the exact count where ``max_docs`` asks for
-    it), so a line that a third of all documents share costs one row per task. Only digests of
-    shared lines meet the texts again, grouped by document.
+    it), so a line that a third of all documents share costs one row per task. The holders of a line
+    with more than a 2,000th of all (document, line) rows find its keeper in a broadcast table, of at
+    most 2,000 rows by that rule, where they are; only the other lines' holders are shuffled by line.
+    Only digests of shared lines meet the texts again, grouped by document.
 
     Null and empty texts are one empty line and come back as the empty text. Rows that share a doc_id
     are one document and lose the same lines. A row without doc_id counts for nothing and is left as
@@ -50,11 +55,15 @@ def dedup_lines(docs: DataFrame, min_points: int = 10, max_docs: int = 1) -> Dat
 
     slim = docs.select(F.col("doc_id").cast("long"), common.as_bytes("text").alias("text"))
     held = materialize(slim.mapInArrow(keys_of, "doc_id long, key binary"))
-    first = held.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other")
+    first = held.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.count("*").alias("holders")).where("keeper <> other")
     if max_docs > 1:
         many = held.join(first.select("key"), "key", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("n"))
         first = first.join(many.where(F.col("n") > max_docs).select("key"), "key", "left_semi")
-    shared = held.join(first.select("key", "keeper"), "key").where("doc_id <> keeper")
+    first = materialize(first.select("key", "keeper", "holders"))
+    frequent = F.col("holders") > held.count() / HOT
+    hot = F.broadcast(first.where(frequent).select("key", "keeper"))  # fewer than HOT rows: each stands for more than a HOT-th of all
+    rest = held.join(hot.select("key"), "key", "left_anti").join(first.where(~frequent).select("key", "keeper"), "key")
+    shared = held.join(hot, "key").unionByName(rest).where("doc_id <> keeper")
     lost = materialize(shared.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_lost")))
 
     plain = docs.drop("n_lines", "n_dropped", "_doc", "_lost", "_cut")
