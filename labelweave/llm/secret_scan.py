@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.session import materialize
@@ -48,6 +49,7 @@ HABITLESS = 0.2
 MOST_CHANGES = 0.25
 BIN = 0.05
 BINS = 400
+PIECE = 256
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -60,27 +62,58 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _pieces(values: Column) -> Column:
+    """An array cut into arrays of ``PIECE``. Folds that grow an array copy it at every step, so they run over pieces."""
+    last = F.greatest(F.ceil(F.size(values) / PIECE).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * PIECE + 1, F.lit(PIECE)))
+
+
+def _given(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, hit>>`` of the leftmost non-overlapping matches, in code points.
 
     The text is split at the matches; the lengths of the pieces between and of the matches add up to
-    the positions.
+    the positions: first over pieces of the list of matches, then inside each piece.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    width = lambda x: x["gap"] + F.length(x["hit"])
+
+    def upto(sums, piece):
+        here = F.element_at(sums, -1) + F.aggregate(piece, F.lit(0), lambda acc, x: acc + width(x))
+        return F.array_append(sums, here)
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))).alias("out"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def placed(pieces):
+        starts = F.aggregate(pieces, F.array(F.lit(0)), upto)
+        both = F.arrays_zip(pieces.alias("piece"), F.slice(starts, F.lit(1), F.size(pieces)).alias("at"))
+        return F.flatten(F.transform(both, lambda b: F.aggregate(b["piece"], F.struct(b["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
+
+    found = _given(_given(steps, _pieces), placed)
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
+def _outside(runs: Column, base: Column) -> Column:
+    """The runs that overlap no span of ``base``: sorted, piece by piece against the base spans in the piece's range."""
+    def piece(p):
+        span = F.struct(F.array_min(F.transform(p, lambda r: r["start"])).alias("low"), F.array_max(F.transform(p, lambda r: r["end"])).alias("high"))
+        near = _given(span, lambda s: F.filter(base, lambda b: (b["start"] < s["high"]) & (s["low"] < b["end"])))
+        return _given(near, lambda n: F.filter(p, lambda r: ~F.exists(n, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+
+    kept = _given(F.array_sort(runs), lambda sorted_: F.flatten(F.transform(_pieces(sorted_), piece)))
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(kept)
+
+
 def _base_spans(text: Column) -> Column:
     """All base spans: ``array<struct<start, rank, kind, end>>`` by start, then kind."""
     def of(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -95,18 +128,19 @@ def _base_spans(text: Column) -> Column:
 def _candidates(text: Column, least: int) -> Column:
     """Longest runs of at least ``least`` signs of each alphabet in RUNS, with their padding: distinct spans."""
     found = [_spans(text, f"[{signs}]{{{least},}}{PADDING}") for signs in RUNS]
-    return F.array_distinct(F.concat(*found))
-
+    return _given(F.array_sort(F.concat(*found)), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
-def _joined(spans: Column) -> Column:
-    """Spans of kind ``random`` by start, overlapping ones as one: a key may lie in several runs."""
-    def step(out, s):
-        last = F.get(out, F.size(out) - 1)
-        wider = F.struct(last["start"], last["rank"], last["kind"], F.greatest(last["end"], s["end"]).alias("end"))
-        apart = last.isNull() | (last["end"] <= s["start"])
-        return F.when(apart, F.array_append(out, s)).otherwise(F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), wider))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+def _joined(spans: DataFrame) -> DataFrame:
+    """``(row, found)`` of ``spans(row, start, end)``: spans of kind ``random`` by start, overlapping ones as one, as a key
+    may lie in several runs. A span that starts behind the end of all earlier ones of its row begins a new one."""
+    earlier = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.coalesce(F.max("end").over(earlier) <= F.col("start"), F.lit(True)).cast("int")
+    islands = spans.withColumn("begins", begins).withColumn("island", F.sum("begins").over(upto))
+    whole = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    one = F.struct("start", F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), "end")
+    return whole.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("found"))
 
 
 def battery(token: Column, alphabet: Column) -> Column:
@@ -224,7 +258,7 @@ def _encoding(token: Column) -> Column:
 
 def _random_enough(t: Column, level: float) -> Column:
     """No test of the battery rejects uniform independent symbols at ``level`` (shared by three)."""
-    limit = {0.01: 2.935}[level]
+    limit = NormalDist().inv_cdf(1 - level / 6)
     return (F.abs(t["chi_z"]) <= limit) & (F.abs(t["runs_z"]) <= limit) & (F.abs(t["serial_z"]) <= limit)
 
 
@@ -251,7 +285,7 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _base_spans(text).alias("base"), _candidates(text, least).alias("runs")))
-    read = read.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+    read = read.withColumn("runs", _outside(F.col("runs"), F.col("base")))
 
     bare = F.regexp_replace("token", "=+$", "")
     tokens = read.select(F.explode("runs.hit").alias("token")).distinct().withColumn("enc", _encoding(F.col("token"))).where("enc is not null")
@@ -272,7 +306,7 @@ def scan_secrets(docs: DataFrame, false_share: float = 0.05, level: float = 0.01
     secret = passed.join(F.broadcast(cuts), ["encoding", "doubling"]).where("bin >= cut").select("token")
 
     spans = read.select("row", F.inline("runs")).withColumnRenamed("hit", "token").join(secret, "token")
-    found = spans.groupBy("row").agg(_joined(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), "end"))).alias("found"))
+    found = _joined(spans.select("row", "start", "end"))
     none = F.array().cast(SPANS)
     return read.join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 

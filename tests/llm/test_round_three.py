@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelweave.llm import common, fim, hardneg, substrings
+from labelweave.llm import common, fim, hardneg, lines, secret_scan, substrings
 
 # ---------------------------------------------------------------- hard negatives
 
@@ -230,3 +231,61 @@ def test_bpe_rows_may_move_between_scans(spark, docs_of):
         assert len(out) == len(rows)
         assert all(np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"], bytes(r["decoded"]).decode()] for r in out)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+# ---------------------------------------------------------------- secrets: many matches in one text, spans against plain loops
+
+
+def test_eighty_thousand_matches_in_one_text(docs_of):
+    pick = random.Random(11)
+    keys = ["".join(pick.choices("0123456789abcdef", k=32)) for _ in range(40_000)]
+    words = ["".join(pick.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(40_000)]
+    text = "\n".join(f"é {k} {w}" for k, w in zip(keys, words))
+    docs, text_of = docs_of([(1, text)]), F.coalesce(F.col("text"), F.lit(""))
+    start = time.monotonic()
+    made = docs.select(secret_scan._base_spans(text_of).alias("base"), secret_scan._candidates(text_of, 20).alias("runs"))
+    row = made.select("base", "runs", secret_scan._outside(F.col("runs"), F.col("base")).alias("left")).collect()[0]
+    assert time.monotonic() - start < 60
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [(s["start"], s["end"]) for s in row["base"] if s["kind"] == "hex"] == want and len(want) >= 40_000
+    assert len(row["runs"]) >= 80_000 and {text[s["start"] : s["end"]] for s in row["left"]} == set(words)
+
+
+def test_span_helpers_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 3)
+    pick = random.Random(12)
+    texts = ["".join(pick.choice("aaab1 ") for _ in range(pick.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secret_scan._spans(F.col("t"), "[a-b]{2,}").alias("s")).collect()
+    assert all([(x["start"], x["end"], x["hit"]) for x in r["s"]] == [(m.start(), m.end(), m[0]) for m in re.finditer("[a-b]{2,}", r["t"])] for r in rows)
+    spans = lambda n: [(a, a + pick.randrange(1, 6)) for a in (pick.randrange(60) for _ in range(n))]
+    cases = [(i, spans(pick.randrange(12)), spans(pick.randrange(6))) for i in range(100)]
+    kind = "array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(cases, f"row long, runs {kind}, base {kind}")
+    for r in frame.select("runs", "base", secret_scan._outside(F.col("runs"), F.col("base")).alias("o")).collect():
+        assert sorted(map(tuple, r["o"])) == sorted(tuple(x) for x in r["runs"] if not any(b["start"] < x["end"] and x["start"] < b["end"] for b in r["base"]))
+    joined = {r["row"]: [(x["start"], x["end"]) for x in r["found"]] for r in secret_scan._joined(frame.select("row", F.inline("runs"))).collect()}
+    for i, runs, _ in cases:
+        want = []
+        for a, b in sorted(runs):
+            if want and a < want[-1][1]:
+                want[-1] = (want[-1][0], max(b, want[-1][1]))
+            else:
+                want.append((a, b))
+        assert joined.get(i, []) == want
+
+
+# ---------------------------------------------------------------- lines: frequent keys are found where they are
+
+
+def test_line_dedup_with_frequent_lines(docs_of, monkeypatch):
+    pick = random.Random(13)
+    pool = ["a very common line", *(f"another line {i}" for i in range(50))]
+    rows = [(pick.randrange(150), "\n".join(["A very common line", *pick.choices(pool, k=4), f"own line of {i}"])) for i in range(200)]
+    first = {}
+    for d, t in rows:
+        for line in t.split("\n"):
+            first[line.lower()] = min(first.get(line.lower(), d), d)
+    want = sorted((d, "\n".join(x for x in t.split("\n") if first[x.lower()] == d)) for d, t in rows)
+    for hot in (2000, 20, 1):
+        monkeypatch.setattr(lines, "HOT", hot)
+        assert sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs_of(rows)).collect()) == want
