@@ -551,6 +551,7 @@ _FINAL: dict[str, str] = {
         CROSS JOIN (SELECT unnest(range(26)) AS i)""",
     "knn_tfidf": "SELECT q, n, rank, round(sim, 6) AS sim FROM doc_nearest",
     "knn_embedding": "SELECT q, n, rank, round(sim, 6) AS sim FROM emb_nearest",
+    "knn_embedding_rings": "SELECT q, n, rank, round(sim, 6) AS sim FROM emb_nearest",
     "knn_similarity_stats": "SELECT round(avg(sim) FILTER (WHERE rank = 1), 6) AS mean_top1_similarity, round(avg(sim), 6) AS mean_topk_similarity FROM emb_nearest",
     "knn_label_probs": "SELECT row_idx, label, y, round(round(prob, 9), 6) AS prob FROM emb_probs",
     "knn_document_probs": "SELECT row_idx, label, y, round(prob, 6) AS prob FROM doc_probs",

@@ -248,10 +248,10 @@ def chunk_mean(spark, sf):
 # ---------------------------------------------------------------- neighbours
 
 
-def _embedding_neighbors(spark, sf, k):
+def _embedding_neighbors(spark, sf, k, pivots=None):
     fit, held_out = fx.embedding_split(spark, sf)
     vectors = [materialize(neighbors.dense_vectors(part, "embedding")) for part in (held_out, fit)]
-    return neighbors.top_k(*vectors, k)
+    return neighbors.top_k(*vectors, k, pivots)
 
 
 def _document_neighbors(spark, sf, k):
@@ -282,6 +282,13 @@ def knn_embedding(spark, sf):
     return rounded(found.select("q", "n", F.col("rank").cast("bigint").alias("rank"), "sim"))
 
 
+@query
+def knn_embedding_rings(spark, sf):
+    """The same neighbours by twelve cells: both passes run, and the second takes the k-th best along."""
+    found = _embedding_neighbors(spark, sf, KNN_K, 12)
+    return rounded(found.select("q", "n", F.col("rank").cast("bigint").alias("rank"), "sim"))
+
+
 @query
 def knn_similarity_stats(spark, sf):
     return rounded(neighbors.similarity_stats(_embedding_neighbors(spark, sf, KNN_K)))
