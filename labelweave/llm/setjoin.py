@@ -237,8 +237,9 @@ def jaccard_classes(
        that follow the same token share a bucket. Buckets of up to ``bucket_rows`` sets are compared
        by brute force on samples; larger ones are split again by about ``deep_fan`` tokens chosen
        under their path, up to ``depth`` levels. What is large even then is passed on whole. With the
-       defaults a pair at the threshold is missed with probability below 0.001: its shared paths
-       branch with means 1.6, 1.2, 1.2 or more, and all 8 repetitions must die out.
+       defaults a pair at the threshold is missed with probability below 0.003: its shared paths
+       branch with means 1.6, 1.2, 1.2 or more, and all 8 repetitions must die out, which choose from
+       one sample of 64 hashes of each set. A pair in a bucket that was small at once is missed rarely.
     3. Likely pairs (estimated similarity within 0.25 of the threshold, five standard errors) only
        tie sets into families; every pair inside a family is then decided exactly. A family larger
        than ``block_rows`` is cut into blocks and its block pairs are separate groups; tasks return
