@@ -77,7 +77,7 @@ def cutter(special: list[str]):
     return cut
 
 
-def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
+def head_words(docs: DataFrame, special: list[str], limit: int) -> pa.Array:
     """Words that are likely to be met again, from a random sample of at most about 64 MiB of text.
 
     Only speed depends on this list: it says which words need no row of their own. In a large table even
@@ -95,7 +95,7 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
     counted = part.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return common.most_frequent(materialize(counted), limit)[0]
+    return pa.concat_arrays([pa.array([], pa.string()), *common.frequent_rows(materialize(counted), limit).column("word").chunks])
 
 
 def parts(batches, rows: int = PART_ROWS):
@@ -129,13 +129,15 @@ def _codes(packed: bytes) -> np.ndarray:
 class WordList:
     """The frequent words, found by hash, and the ids of each, in flat arrays: some 30 bytes a word in every worker."""
 
-    def __init__(self, words: list[str], vocabulary: Vocabulary):
-        model, made = vocabulary.tokenizer(), []
-        for start in range(0, len(words), 1000):
-            made += [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(words[start : start + 1000], add_special_tokens=False)]
-        self.words, self.size = pa.array(words, pa.string()), len(words)
-        self.ids = np.concatenate([np.zeros(0, np.uint32), *made])
-        self.ends = np.cumsum([0, *map(len, made)]).astype(np.uint32)
+    def __init__(self, words: pa.Array, vocabulary: Vocabulary):
+        self.words, self.size = words, len(words)
+        model, ids, counts = vocabulary.tokenizer(), [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for start in range(0, len(words), 1000):  # a thousand words are objects at a time
+            made = [e.ids for e in model.encode_batch_fast(words.slice(start, 1000).to_pylist(), add_special_tokens=False)]
+            ids.append(np.fromiter((i for one in made for i in one), np.uint32))
+            counts.append(np.array([len(one) for one in made], np.int64))
+        self.ids = np.concatenate(ids)
+        self.ends = np.cumsum(np.concatenate(counts)).astype(np.uint32)
         hashes = self.hashes(self.words)
         self.order = np.argsort(hashes).astype(np.uint32)
         self.sorted = hashes[self.order]
@@ -145,8 +147,12 @@ class WordList:
         if not len(words):
             return np.zeros(0, np.uint64)
         _, offsets, data = words.buffers()
-        ends = np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64)
-        return common.span_hashes(np.frombuffer(data or b"", np.uint8)[: ends[-1]], ends[:-1], ends[1:])
+        ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data, out = np.frombuffer(data or b"", np.uint8), []
+        for start in range(0, len(words), 1 << 16):
+            own = ends[start : start + (1 << 16) + 1]
+            out.append(common.span_hashes(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]))
+        return np.concatenate(out)
 
     def numbers(self, found: pa.Array) -> np.ndarray:
         """Every word's place in the list; ``size`` for a word that is not in it. A hash only says where to look."""

@@ -6,6 +6,7 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def most_frequent(counted: DataFrame, limit: int) -> tuple[list, np.ndarray]:
-    """At most ``limit`` words of ``counted(word, n)`` with the largest n, by falling n, then word; and the n.
+    """The words of ``frequent_rows`` as a list, and their n."""
+    rows = frequent_rows(counted, limit)
+    return rows.column("word").to_pylist(), rows.column("n").to_numpy()
+
+
+def frequent_rows(counted: DataFrame, limit: int) -> pa.Table:
+    """At most ``limit`` words of ``counted(word, n)`` with the largest n, by falling n, then word.
 
     Counts are cut where a histogram of their logarithm (at most 505 bins) says so, so that no more
     rows than asked for are on the way to the driver; words of one bin come all or not at all.
@@ -129,10 +136,8 @@ def most_frequent(counted: DataFrame, limit: int) -> tuple[list, np.ndarray]:
         if total > limit:
             break
         lowest = b
-    if lowest is None:
-        return [], np.zeros(0, np.int64)
-    rows = counted.where(level >= lowest).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return rows.column("word").to_pylist(), rows.column("n").to_numpy()
+    kept = counted.where(level >= lowest if lowest is not None else F.lit(False)).select("word", "n")
+    return kept.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
 
 
 class Bits:
