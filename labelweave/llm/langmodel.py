@@ -120,7 +120,21 @@ class Words:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row (in place) and their sum. Logits count within 60 of 0, so neither can be 0 or infinite."""
+    np.clip(logits, -60, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
+
+
+def off_by(parts: np.ndarray, norm: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Gradient of the log-probabilities of ``choice`` by the logits, in place of the exponentials."""
+    parts *= (-1 / norm)[:, None]
+    parts[np.arange(len(parts)), choice] += 1
+    return parts
 
 
 class Gru:
@@ -148,86 +162,80 @@ class Gru:
         self.shapes = shapes
 
     def start_from_counts(self) -> Gru:
-        self.bc[:] = self.words.class_bias
-        self.bw[:] = self.words.word_bias
+        self.bc[:] = self.words.class_bias - self.words.class_bias.max()
+        for a, b in zip(self.words.first, self.words.first[1:]):
+            self.bw[a:b] = self.words.word_bias[a:b] - self.words.word_bias[a:b].max(initial=0)
         if self.words.deep:
             for part, bias in zip((self.wa, self.wb), self.words.tree_bias):
-                part[:, -1] = bias.reshape(part.shape[0], part.shape[2])
+                bias = bias.reshape(part.shape[0], part.shape[2])
+                part[:, -1] = bias - bias.max(1, keepdims=True)
         return self
 
-    def level(self, name: str, nodes: np.ndarray, states: np.ndarray, choice: np.ndarray, grads: dict | None):
-        """Natural-log probability of each row's ``choice`` among its node's children; with gradients, also that of
-        the states. ``nodes`` is sorted, so a node's rows are one product; its weights end with the row of
-        biases, and ``states`` with a one."""
-        weights = getattr(self, name)
-        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(nodes) > 0]), len(nodes)]
-        logp = np.empty(len(nodes), np.float32)
-        back = np.empty_like(states) if grads is not None else None
-        for a, b in zip(edges, edges[1:]):
-            own, part, n = states[a:b], weights[nodes[a]], np.arange(b - a)
-            logits = own @ part
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
-            norm = prob.sum(1, keepdims=True)
-            logp[a:b] = logits[n, choice[a:b]] - np.log(norm[:, 0])
-            if grads is not None:
-                prob /= -norm
-                prob[n, choice[a:b]] += 1
-                back[a:b] = prob @ part.T
-                grads[name][nodes[a]] += own.T @ prob
-        return logp, back
-
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None):
         """Natural-log probability of each target (of the class of all unlisted words for these); with
-        gradients, also that of the states. Words of a small class have add-one shares of it."""
-        first, n = self.words.first, np.arange(len(targets))
-        in_head, deep = targets < self.words.head, np.flatnonzero(targets > self.words.head)
-        cls = np.full(len(targets), self.cfg.classes)
-        cls[deep] = self.cfg.classes + 1
-        cls[in_head] = self.words.class_of[targets[in_head]]
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        norm = prob.sum(1, keepdims=True)
-        logp = logits[n, cls] - np.log(norm[:, 0])
-        back = None
+        gradients, also that of the states. Words of a small class have add-one shares of it.
+
+        Rows are sorted by class, and by group of small classes, so each one's rows are one product.
+        """
+        words, c = self.words, self.cfg.classes
+        key = np.append(words.class_of, c)[np.minimum(targets, words.head)]
+        deep = targets > words.head
+        if words.deep:
+            small = (targets - words.head - 2) // SMALL
+            key = np.where(deep, c + 1 + small // words.fan, key)
+        order = np.argsort(key, kind="stable")
+        states, targets, key = states[order], targets[order], key[order]
+        edges = np.searchsorted(key, np.arange(c + 2))
+        every, cls = np.arange(len(key)), np.minimum(key, c + 1)
+        parts, norm = exponentials(states @ self.wc + self.bc)
+        logp, back = np.log(parts[every, cls] / norm), None
         if grads is not None:
-            prob /= -norm
-            prob[n, cls] += 1
-            grads["wc"] += states.T @ prob
-            grads["bc"] += prob.sum(0)
-            back = prob @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.cfg.classes + 1))
-        for c in range(self.cfg.classes):
-            rows, (a, b) = order[edges[c] : edges[c + 1]], (first[c], first[c + 1])
-            if not len(rows) or b - a < 2:
+            off = off_by(parts, norm, cls)
+            grads["wc"] += states.T @ off
+            grads["bc"] += off.sum(0)
+            back = off @ self.wc.T
+        for i in range(c):
+            (a, b), (low, high) = edges[i : i + 2], words.first[i : i + 2]
+            if a == b or high - low < 2:
                 continue
-            own, part = states[rows], self.ww[:, a:b]
-            logits = own @ part + self.bw[a:b]
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
-            norm = prob.sum(1, keepdims=True)
-            at = targets[rows] - a
-            logp[rows] += logits[np.arange(len(rows)), at] - np.log(norm[:, 0])
+            own, part, at = states[a:b], self.ww[:, low:high], targets[a:b] - low
+            parts, norm = exponentials(own @ part + self.bw[low:high])
+            logp[a:b] += np.log(parts[np.arange(b - a), at] / norm)
             if grads is not None:
-                prob /= -norm
-                prob[np.arange(len(rows)), at] += 1
-                grads["ww"][:, a:b] += own.T @ prob
-                grads["bw"][a:b] += prob.sum(0)
-                back[rows] += prob @ part.T
-        if len(deep):
-            deep = deep[np.argsort(targets[deep], kind="stable")]
-            leaf = targets[deep] - self.words.head - 2
-            own = np.concatenate([states[deep], np.ones((len(deep), 1), np.float32)], 1)
-            small, fan = leaf // SMALL, self.words.fan
-            logp[deep] += self.words.share_log[leaf]
-            for name, nodes, choice in (("wa", np.zeros_like(leaf), small // fan), ("wb", small // fan, small % fan)):
-                got, to_own = self.level(name, nodes, own, choice, grads)
-                logp[deep] += got
-                if grads is not None:
-                    back[deep] += to_own[:, :-1]
-        return logp, back
+                off = off_by(parts, norm, at)
+                grads["ww"][:, low:high] += own.T @ off
+                grads["bw"][low:high] += off.sum(0)
+                back[a:b] += off @ part.T
+        if edges[c + 1] < len(key):
+            self._small_classes(states, targets, key, edges[c + 1], logp, back, grads)
+        unsorted = np.empty_like(logp)
+        unsorted[order] = logp
+        if grads is not None:
+            back[order] = back.copy()
+        return unsorted, back
+
+    def _small_classes(self, states, targets, key, first: int, logp, back, grads: dict | None):
+        """Add the choices of group and small class, and the word's share, to the rows from ``first`` on."""
+        words, leaf, group = self.words, targets[first:] - self.words.head - 2, key[first:] - self.cfg.classes - 1
+        own = np.ones((len(leaf), states.shape[1] + 1), np.float32)
+        own[:, :-1] = states[first:]
+        edges = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(group)]
+        inside = np.empty((len(leaf), words.fan), np.float32)
+        for a, b in zip(edges, edges[1:]):
+            inside[a:b] = own[a:b] @ self.wb[group[a]]
+        every, place = np.arange(len(leaf)), leaf // SMALL % words.fan
+        outer, outer_norm = exponentials(own @ self.wa[0])
+        inside, inside_norm = exponentials(inside)
+        logp[first:] += words.share_log[leaf] + np.log(outer[every, group] / outer_norm * (inside[every, place] / inside_norm))
+        if grads is None:
+            return
+        off = off_by(outer, outer_norm, group)
+        grads["wa"][0] += own.T @ off
+        back[first:] += off @ self.wa[0, :-1].T
+        off = off_by(inside, inside_norm, place)
+        for a, b in zip(edges, edges[1:]):
+            grads["wb"][group[a]] += own[a:b].T @ off[a:b]
+            back[first + a : first + b] += off[a:b] @ self.wb[group[a], :-1].T
 
     def run(self, state, inputs, fresh, saved: list | None = None):
         """States after each of ``inputs[t, lane]``, and the last one; ``saved`` takes what learning needs."""
@@ -265,18 +273,20 @@ class Gru:
         to_state = np.zeros((steps * lanes, h), np.float32)
         to_state[chosen] = back
         to_state = to_state.reshape(steps, lanes, h)
-        gates = np.empty((steps, lanes, 3 * h), np.float32)
-        carry = np.zeros((lanes, h), np.float32)
+        gates, recs = np.empty((2, steps, lanes, 3 * h), np.float32)
+        carry, turned = np.zeros((lanes, h), np.float32), np.ascontiguousarray(self.u.T)
         for t in range(steps - 1, -1, -1):
             prev, rec_n, z, r, new = saved[t]
             d = to_state[t] + carry
             dn = d * (1 - z) * (1 - new * new)
-            dz = d * (prev - new) * z * (1 - z)
-            dr = dn * rec_n * r * (1 - r)
-            gates[t] = np.concatenate([dz, dr, dn], 1)
-            rec = np.concatenate([dz, dr, dn * r], 1)
-            grads["u"] += prev.T @ rec
-            carry = (d * z + rec @ self.u.T) * (1 - fresh[t])[:, None]
+            rec, gate = recs[t], gates[t]
+            rec[:, :h] = d * (prev - new) * z * (1 - z)
+            rec[:, h : 2 * h] = dn * rec_n * r * (1 - r)
+            rec[:, 2 * h :] = dn * r
+            gate[:, : 2 * h] = rec[:, : 2 * h]
+            gate[:, 2 * h :] = dn
+            carry = (d * z + rec @ turned) * (1 - fresh[t])[:, None]
+        grads["u"] = np.concatenate([s[0] for s in saved]).T @ recs.reshape(-1, 3 * h)
         flat_in = inputs.ravel()
         order = np.argsort(flat_in, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(flat_in[order]) > 0])
