@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelweave.functions import sequences
+from labelweave.functions import scoring, sequences
 from labelweave.operators import pooling, tfidf
 
 
@@ -72,6 +74,44 @@ def test_ngram_counts(spark, low, high):
     assert got == want
 
 
+def test_equal_terms_follow_one_another(spark):
+    """Stored by term, rows of one group of texts take about two thirds of the bytes."""
+    df = spark.createDataFrame(list(enumerate(TEXTS * 10)), "row_idx bigint, sequence string")
+    rows = tfidf.term_counts(df, tfidf.TfidfConfig(2, 2)).groupBy(F.spark_partition_id().alias("p"))
+    for part in rows.agg(F.collect_list("term").alias("terms")).collect():
+        runs = 1 + sum(a != b for a, b in zip(part["terms"], part["terms"][1:]))
+        assert runs == len(set(part["terms"]))
+
+
+def test_texts_are_read_a_group_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(["ab" * 50_000] * 80)], names=["row_idx", "sequence"])
+    tracemalloc.start()
+    sizes = [sum(map(len, texts)) for _, texts in tfidf._groups(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 8_000_000
+    assert peak < 3_000_000
+
+
+def test_rounding_is_that_of_decimals(spark):
+    ties = [k / 1e6 + d for k in (0, 1, 12_345, 999_999) for d in (5e-7, 5e-7 + 1e-17, 5e-7 - 1e-17, 4.9e-7, 5.1e-7)]
+    values = [*ties, *(-v for v in ties), 0.1234565, 1.0000005, 123456.1234565, 1e12 + 0.5, float("nan"), float("inf"), None, 0.0, -1e-9]
+    values += [(i * 7919 % 1_000_003) / 1_000_003 for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.where(~scoring.rounded(F.col("v"), 6).eqNullSafe(F.round("v", 6))).count() == 0
+
+
+def test_long_form_of_vectors_made_as_they_are_read(spark):
+    cfg = tfidf.TfidfConfig(2, 3, 2, 4)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "row_idx bigint, sequence string")
+    _, kept, _ = tfidf.fit_transform(df, None, cfg)
+    _, made, _ = tfidf.fit_transform(df, None, cfg, stored=False)
+    assert kept.inputFiles() and not made.inputFiles()
+    want = [(r["row_idx"], i, x) for r in kept.collect() for i, x in zip(r["idx"], r["val"])]
+    for vectors in (kept, made):
+        assert sorted(tuple(r) for r in tfidf.long_form(vectors).collect()) == sorted(want)
+
+
 def test_tfidf_vectors(spark):
     cfg = tfidf.TfidfConfig(2, 3, 2, 4)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "row_idx bigint, sequence string")
