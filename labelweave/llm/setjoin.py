@@ -248,8 +248,9 @@ def jaccard_classes(
     Null, empty and wordless texts link with nothing, not even each other: their class is their own
     doc_id. A text of fewer than ``k`` words has one shingle. Rows without doc_id take part and have
     the class of their group (null if nobody in it has an id). Repeated rows are copies of each other.
-    Extra columns are ignored; an empty table gives an empty table.
+    Extra columns are ignored; an empty table gives an empty table. Runs in a session of its own with small Arrow batches.
     """
+    docs = common.small_batches(docs)
     rows = materialize(_scan(docs, k))
     sets = rows.where("id is not null").groupBy("id").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low"), F.count("*").alias("copies")

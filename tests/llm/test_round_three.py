@@ -289,3 +289,20 @@ def test_line_dedup_with_frequent_lines(docs_of, monkeypatch):
     for hot in (2000, 20, 1):
         monkeypatch.setattr(lines, "HOT", hot)
         assert sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs_of(rows)).collect()) == want
+
+
+# ---------------------------------------------------------------- Jaccard join
+
+
+def test_jaccard_rows_go_in_small_batches(spark, docs_of):
+    from labelweave.llm import setjoin
+
+    words = [f"w{i}" for i in range(60)]
+    docs = docs_of([(i, " ".join(words[i % 2 :])) for i in range(4)] + [(9, "apart from all others here")])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = setjoin.jaccard_classes(docs)
+    assert out.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out.collect()) == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 3), (9, 9, 0)]
+    kept = docs.join(out.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")  # the session of docs takes it up
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 9]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
