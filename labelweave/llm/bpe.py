@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,13 +36,14 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The tokenizer file: its text travels with tasks (its size is fixed); parts are made on use."""
+    """The tokenizer file: its text travels with tasks (its size is fixed); parts are made on use, in tasks.
+
+    The library's objects take much memory, and a driver that has made them keeps most of it.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.json = f.read()
-        model = self.tokenizer()
-        self.special = sorted((t.content for t in model.get_added_tokens_decoder().values()), key=len, reverse=True)
 
     def tokenizer(self) -> Tokenizer:
         out = Tokenizer.from_str(self.json)
@@ -50,12 +51,25 @@ class Vocabulary:
         out.no_padding()
         return out
 
-    def pieces(self) -> list[bytes]:
-        """The id-to-piece table: every id's bytes, by id; ids without a piece are empty."""
-        model, signs = self.tokenizer(), byte_of_sign()
-        special = {i: t.content for i, t in model.get_added_tokens_decoder().items()}
-        known = {i: special[i].encode() if i in special else bytes(signs[c] for c in piece) for piece, i in model.get_vocab(with_added_tokens=True).items()}
-        return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+    def pieces(self, spark: SparkSession) -> tuple[pa.Array, list[str]]:
+        """The id-to-piece table: every id's bytes, by id, empty where an id has no piece; and the special strings, longest first."""
+
+        def make(batches):
+            for _ in batches:
+                model, signs = self.tokenizer(), byte_of_sign()
+                special = {i: t.content for i, t in model.get_added_tokens_decoder().items()}
+                known = {i: special[i].encode() if i in special else bytes(signs[c] for c in piece) for piece, i in model.get_vocab(with_added_tokens=True).items()}
+                ids = range(max(known, default=-1) + 1)
+                columns = [pa.array(ids, pa.int32()), pa.array([known.get(i, b"") for i in ids], pa.binary()), pa.array([i in special for i in ids], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "special"])
+
+        made = spark.range(0, 1, 1, 1).mapInArrow(make, "id int, piece binary, special boolean").toArrow().sort_by("id")
+        special = made.column("piece").filter(made.column("special")).to_pylist()
+        return _one_array(made.column("piece")), sorted((s.decode() for s in special), key=len, reverse=True)
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([pa.array([], column.type), *column.chunks])
 
 
 def cutter(special: list[str]):
@@ -77,8 +91,8 @@ def cutter(special: list[str]):
     return cut
 
 
-def head_words(docs: DataFrame, special: list[str], limit: int) -> pa.Array:
-    """Words that are likely to be met again, from a random sample of at most about 64 MiB of text.
+def head_words(docs: DataFrame, vocabulary: Vocabulary, special: list[str], limit: int) -> pa.Table:
+    """``(word, ids)`` of words that are likely to be met again, from a random sample of at most about 64 MiB of text.
 
     Only speed depends on this list: it says which words need no row of their own. In a large table even
     a word that the sample holds once is met about as often as the table is larger.
@@ -95,7 +109,16 @@ def head_words(docs: DataFrame, special: list[str], limit: int) -> pa.Array:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
     counted = part.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return pa.concat_arrays([pa.array([], pa.string()), *common.frequent_rows(materialize(counted), limit).column("word").chunks])
+
+    def encode(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        model = vocabulary.tokenizer()
+        for part in parts(batches, 1000):  # a thousand words are objects at a time
+            made = model.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array([one.ids for one in made], pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    listed = common.frequent(materialize(counted), limit).mapInArrow(encode, "word string, n long, ids array<int>")
+    return listed.toArrow().sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
 
 
 def parts(batches, rows: int = PART_ROWS):
@@ -129,15 +152,11 @@ def _codes(packed: bytes) -> np.ndarray:
 class WordList:
     """The frequent words, found by hash, and the ids of each, in flat arrays: some 30 bytes a word in every worker."""
 
-    def __init__(self, words: pa.Array, vocabulary: Vocabulary):
+    def __init__(self, listed: pa.Table):
+        words, ids = _one_array(listed.column("word")), _one_array(listed.column("ids"))
         self.words, self.size = words, len(words)
-        model, ids, counts = vocabulary.tokenizer(), [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        for start in range(0, len(words), 1000):  # a thousand words are objects at a time
-            made = [e.ids for e in model.encode_batch_fast(words.slice(start, 1000).to_pylist(), add_special_tokens=False)]
-            ids.append(np.fromiter((i for one in made for i in one), np.uint32))
-            counts.append(np.array([len(one) for one in made], np.int64))
-        self.ids = np.concatenate(ids)
-        self.ends = np.cumsum(np.concatenate(counts)).astype(np.uint32)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+        self.ends = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))).astype(np.uint32)
         hashes = self.hashes(self.words)
         self.order = np.argsort(hashes).astype(np.uint32)
         self.sorted = hashes[self.order]
@@ -234,9 +253,9 @@ def encode_decode(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     plain = docs.drop("n_tokens", "ids", "decoded")
     kept = [c for c in plain.columns if c != "text"]
     texts = plain.select(*kept, F.col("text").cast("string").alias("_text"))
-    special = vocabulary.special
+    pieces, special = vocabulary.pieces(docs.sparkSession)
     # one copy of the list and of the pieces for all stages; their size is fixed by ``head`` and the vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast((WordList(head_words(texts, special, head), vocabulary), pa.array(vocabulary.pieces(), pa.binary())))
+    shared = docs.sparkSession.sparkContext.broadcast((WordList(head_words(texts, vocabulary, special, head)), pieces))
 
     def cut_rare(batches):
         cut, (frequent, _) = cutter(special), shared.value

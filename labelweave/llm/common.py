@@ -123,7 +123,12 @@ def most_frequent(counted: DataFrame, limit: int) -> tuple[list, np.ndarray]:
 
 
 def frequent_rows(counted: DataFrame, limit: int) -> pa.Table:
-    """At most ``limit`` words of ``counted(word, n)`` with the largest n, by falling n, then word.
+    """The rows of ``frequent``, by falling n, then word."""
+    return frequent(counted, limit).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+
+
+def frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` words of ``counted(word, n)`` with the largest n.
 
     Counts are cut where a histogram of their logarithm (at most 505 bins) says so, so that no more
     rows than asked for are on the way to the driver; words of one bin come all or not at all.
@@ -136,8 +141,7 @@ def frequent_rows(counted: DataFrame, limit: int) -> pa.Table:
         if total > limit:
             break
         lowest = b
-    kept = counted.where(level >= lowest if lowest is not None else F.lit(False)).select("word", "n")
-    return kept.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return counted.where(level >= lowest if lowest is not None else F.lit(False)).select("word", "n")
 
 
 class Bits:
