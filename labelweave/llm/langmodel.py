@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +54,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all of ``docs(_raw)``; every document adds one end, the empty word."""
 
     def count(batches):
-        tally: dict[bytes, int] = {}
+        tally: Counter[bytes] = Counter()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.binary()), pa.array(tally.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("_raw").to_pylist():
-                for w in tokens_of(text):
-                    tally[w] = tally.get(w, 0) + 1
+                tally.update(tokens_of(text))
             if len(tally) > 200_000:
                 yield flush()
                 tally.clear()
@@ -120,7 +121,17 @@ class Words:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    """Of every number, in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def sorted_order(keys: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0 to less than ``below``; two-byte numbers are sorted without comparisons."""
+    return np.argsort(keys.astype(np.int16) if below <= 1 << 15 else keys, kind="stable")
 
 
 def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +165,18 @@ class Gru:
         if flat is None:
             rng = np.random.default_rng(cfg.seed)
             flat = rng.normal(0, 0.1, size).astype(np.float32)
-        self.flat, at = flat.astype(np.float32).copy(), 0
-        for name, shape in shapes.items():
+        self.flat, self.shapes = flat.astype(np.float32).copy(), shapes
+        for name, part in self.parts_of(self.flat).items():
+            setattr(self, name, part)
+
+    def parts_of(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of one array of the model's size, by parameter."""
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
             n = int(np.prod(shape))
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
+            out[name] = flat[at : at + n].reshape(shape)
             at += n
-        self.shapes = shapes
+        return out
 
     def start_from_counts(self) -> Gru:
         self.bc[:] = self.words.class_bias - self.words.class_bias.max()
@@ -183,7 +200,7 @@ class Gru:
         if words.deep:
             small = (targets - words.head - 2) // SMALL
             key = np.where(deep, c + 1 + small // words.fan, key)
-        order = np.argsort(key, kind="stable")
+        order = sorted_order(key, c + 1 + (words.top if words.deep else 0))
         states, targets, key = states[order], targets[order], key[order]
         edges = np.searchsorted(key, np.arange(c + 2))
         every, cls = np.arange(len(key)), np.minimum(key, c + 1)
@@ -240,18 +257,25 @@ class Gru:
     def run(self, state, inputs, fresh, saved: list | None = None):
         """States after each of ``inputs[t, lane]``, and the last one; ``saved`` takes what learning needs."""
         h, (steps, lanes) = self.cfg.hidden, inputs.shape
-        xs = self.x[inputs]
+        # the three gates lie apart, so that each one's numbers are in one run
+        if inputs.size < self.inputs:  # a window of few lanes needs few of the input vectors
+            xs = np.ascontiguousarray(self.x[inputs].reshape(steps, lanes, 3, h).transpose(2, 0, 1, 3))
+        else:
+            xs = np.take(np.ascontiguousarray(self.x.reshape(-1, 3, h).transpose(1, 0, 2)), inputs, axis=1)
         states = np.empty((steps, lanes, h), np.float32)
         for t in range(steps):
             prev = state * (1 - fresh[t])[:, None]
-            rec = prev @ self.u
-            zr = sigmoid(xs[t, :, : 2 * h] + rec[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(xs[t, :, 2 * h :] + r * rec[:, 2 * h :])
-            state = new + z * (prev - new)
-            states[t] = state
+            rec = (prev @ self.u).reshape(lanes, 3, h).transpose(1, 0, 2)
+            z, r = sigmoid(np.add(xs[:2, t], rec[:2], out=np.empty((2, lanes, h), np.float32)))
+            rec_n = np.ascontiguousarray(rec[2])
+            new = r * rec_n
+            new += xs[2, t]
+            np.tanh(new, out=new)
+            state = np.subtract(prev, new, out=states[t])
+            state *= z
+            state += new
             if saved is not None:
-                saved.append((prev, rec[:, 2 * h :], z, r, new))
+                saved.append((prev, rec_n, z, r, new))
         return states, state
 
     def inputs_of(self, numbers):
@@ -265,7 +289,8 @@ class Gru:
         h, (steps, lanes) = self.cfg.hidden, inputs.shape
         inputs, saved = self.inputs_of(inputs), [] if learn else None
         states, state = self.run(state, inputs, fresh, saved)
-        grads = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()} if learn else None
+        grad = np.zeros_like(self.flat) if learn else None
+        grads = self.parts_of(grad) if learn else None
         chosen = np.flatnonzero(live.ravel())
         logp, back = self.outputs(states.reshape(-1, h)[chosen], targets.ravel()[chosen], grads)
         if not learn:
@@ -273,25 +298,35 @@ class Gru:
         to_state = np.zeros((steps * lanes, h), np.float32)
         to_state[chosen] = back
         to_state = to_state.reshape(steps, lanes, h)
-        gates, recs = np.empty((2, steps, lanes, 3 * h), np.float32)
+        recs, news = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, h), np.float32)
         carry, turned = np.zeros((lanes, h), np.float32), np.ascontiguousarray(self.u.T)
         for t in range(steps - 1, -1, -1):
             prev, rec_n, z, r, new = saved[t]
-            d = to_state[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            rec, gate = recs[t], gates[t]
-            rec[:, :h] = d * (prev - new) * z * (1 - z)
-            rec[:, h : 2 * h] = dn * rec_n * r * (1 - r)
-            rec[:, 2 * h :] = dn * r
-            gate[:, : 2 * h] = rec[:, : 2 * h]
-            gate[:, 2 * h :] = dn
-            carry = (d * z + rec @ turned) * (1 - fresh[t])[:, None]
-        grads["u"] = np.concatenate([s[0] for s in saved]).T @ recs.reshape(-1, 3 * h)
+            d, rest = to_state[t] + carry, 1 - z
+            dn, slope = np.multiply(d, rest, out=news[t]), new * new
+            dn *= np.subtract(1, slope, out=slope)
+            dz = prev - new
+            dz *= d
+            dz *= z
+            dz *= rest
+            dr = dn * rec_n
+            dr *= r
+            dr *= np.subtract(1, r, out=rest)
+            rec = recs[t]
+            rec[:, :h], rec[:, h : 2 * h] = dz, dr
+            np.multiply(dn, r, out=rec[:, 2 * h :])
+            d *= z
+            d += rec @ turned
+            carry = d * (1 - fresh[t])[:, None]
+        recs = recs.reshape(-1, 3 * h)
+        grads["u"][:] = np.concatenate([s[0] for s in saved]).T @ recs
         flat_in = inputs.ravel()
-        order = np.argsort(flat_in, kind="stable")
+        order = sorted_order(flat_in, self.inputs)
         starts = np.flatnonzero(np.r_[True, np.diff(flat_in[order]) > 0])
-        grads["x"][flat_in[order][starts]] += np.add.reduceat(gates.reshape(-1, 3 * h)[order], starts)
-        return logp, state, np.concatenate([grads[k].ravel() for k in self.shapes])
+        gates = recs[order]
+        gates[:, 2 * h :] = news.reshape(-1, h)[order]
+        grads["x"][flat_in[order][starts]] = np.add.reduceat(gates, starts)
+        return logp, state, grad
 
 
 def lanes_of(docs: list[np.ndarray], cfg: LmConfig) -> list[list[int]]:
@@ -333,8 +368,13 @@ def _runs(docs: list[np.ndarray], words: Words, cfg: LmConfig, leads: list[int]
         yield np.where(live, before[at], 0), fresh[at] * live, np.where(live, flat[at], 0), np.where(live, number[at], -1)
 
 
+def _numbers(tokens: list[bytes], numbering: dict[bytes, int], head: int) -> np.ndarray:
+    """Every token's number; unlisted words have ``head``."""
+    return np.fromiter(map(numbering.get, tokens, repeat(head)), np.int32, len(tokens))
+
+
 def _coded(texts, numbering: dict[bytes, int], head: int) -> list[np.ndarray]:
-    return [np.fromiter((numbering.get(w, head) for w in tokens_of(t)), np.int32) for t in texts]
+    return [_numbers(tokens_of(t), numbering, head) for t in texts]
 
 
 def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray) -> np.ndarray:
@@ -363,8 +403,11 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
                 many = int((number >= 0).sum())
                 grad /= cfg.lanes * cfg.window  # a window of few lanes counts for less
                 seen += many
-                squares += grad * grad
-                model.flat += cfg.rate * grad / np.sqrt(squares)
+                step = grad * grad
+                squares += step
+                grad *= cfg.rate
+                grad /= np.sqrt(squares, out=step)
+                model.flat += grad
         if seen:
             blocks = [(model.flat[i : i + block] * np.float32(seen)).tobytes() for i in range(0, len(model.flat), block)]
             n, salt = len(blocks), int(abs(float(model.flat.sum())) * 1e6) % cfg.average_salts
@@ -453,14 +496,16 @@ def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
         listed_logs = np.r_[logs[: words.head], 0.0, 0.0, logs[words.head :]]
         for batch in batches:
             texts = batch.column("_raw").to_pylist()
-            codes, rare = [], []
+            codes, rare, times, ends = [], [], [], [0]
             for text in texts:
-                ws, own = tokens_of(text), {}
-                c = np.fromiter((numbering.get(w, unlisted) for w in ws), np.int32, len(ws))
-                for i in np.flatnonzero(c == unlisted):
-                    own[ws[i]] = own.get(ws[i], 0) + 1
+                ws = tokens_of(text)
+                c = _numbers(ws, numbering, unlisted)
+                own = Counter(map(ws.__getitem__, np.flatnonzero(c == unlisted).tolist()))
                 codes.append(c)
-                rare.append([{"word": w, "m": m} for w, m in own.items()])
+                rare += own.keys()
+                times += own.values()
+                ends.append(len(rare))
+            met = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "m"])
             total = np.zeros(len(texts))
             state, held, size = None, [], 0
             for inputs, fresh, target, number in _runs(codes, words, cfg) if codes else ():
@@ -478,7 +523,7 @@ def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
             base = [float(listed_logs[c].sum()) - len(c) * rest_log for c in codes]
             full = [float(t / np.log(10) - (len(c) - k) * words.tail_log) for t, c, k in zip(total, codes, known)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))],
+                [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), met)],
                 ["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],
             )
 
