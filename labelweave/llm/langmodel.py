@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,40 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return out
 
 
+GROUP_BYTES = 8 << 20  # texts cut into tokens together
+_INSIDE = bytes(b not in common.BLANKS for b in range(256))
+_LOWER = bytes(range(256)).lower()
+
+
+def token_arrays(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The tokens of a binary column's texts, as by ``tokens_of``, one text behind the other, and how many
+    each text has; texts of some ``GROUP_BYTES`` at a time."""
+    column = pc.fill_null(column, b"")
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = memoryview(data or b"")
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GROUP_BYTES, "right")) - 1)
+        text, edges = bytes(data[ends[start] : ends[stop]]), ends[start : stop + 1] - ends[start]
+        inside = np.frombuffer(text.translate(_INSIDE), bool)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = edges[:-1][edges[:-1] < len(text)]  # a text's first word may touch the last one before
+        begins[first] = inside[first]
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:] | begins[1:]
+        begin = np.flatnonzero(begins)
+        last = np.searchsorted(begin, edges[1:])
+        offsets = np.zeros(len(begin) + len(last) + 1, np.int32)
+        sizes = np.insert(np.flatnonzero(closes) + 1 - begin, last, 0)  # the end is the empty word
+        np.cumsum(sizes, out=offsets[1:])
+        found = [None, pa.py_buffer(offsets), pa.py_buffer(text.translate(_LOWER, common.BLANKS))]
+        yield pa.Array.from_buffers(pa.binary(), len(sizes), found), np.diff(last, prepend=0) + 1
+        start = stop
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all of ``docs(_raw)``; every document adds one end, the empty word."""
 
@@ -119,6 +154,15 @@ class Words:
     def numbering(self) -> dict[bytes, int]:
         return {w: i if i < self.head else i + 2 for i, w in enumerate(self.words)}
 
+    def listed(self) -> pa.Array:
+        """The listed words, for ``numbers``."""
+        return pa.array(self.words, pa.binary())
+
+    def numbers(self, tokens: pa.Array, listed: pa.Array) -> np.ndarray:
+        """Every token's number; unlisted words have ``head``."""
+        at = pc.index_in(tokens, value_set=listed).fill_null(-1).to_numpy()
+        return np.where(at < 0, self.head, at + 2 * (at >= self.head)).astype(np.int32)
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """Of every number, in place."""
@@ -368,13 +412,27 @@ def _runs(docs: list[np.ndarray], words: Words, cfg: LmConfig, leads: list[int]
         yield np.where(live, before[at], 0), fresh[at] * live, np.where(live, flat[at], 0), np.where(live, number[at], -1)
 
 
-def _numbers(tokens: list[bytes], numbering: dict[bytes, int], head: int) -> np.ndarray:
-    """Every token's number; unlisted words have ``head``."""
-    return np.fromiter(map(numbering.get, tokens, repeat(head)), np.int32, len(tokens))
+def _coded(texts: pa.Array, words: Words, listed: pa.Array) -> list[np.ndarray]:
+    """The numbers of every text's tokens."""
+    return [c for tokens, sizes in token_arrays(texts) for c in np.split(words.numbers(tokens, listed), np.cumsum(sizes)[:-1])]
 
 
-def _coded(texts, numbering: dict[bytes, int], head: int) -> list[np.ndarray]:
-    return [_numbers(tokens_of(t), numbering, head) for t in texts]
+def _coded_with_rare(texts: pa.Array, words: Words, listed: pa.Array) -> tuple[list[np.ndarray], pa.ListArray]:
+    """The numbers of every text's tokens, and its unlisted words with how often it has each."""
+    codes, rare, times, held = [], [], [], [np.zeros(1, np.int64)]
+    for tokens, sizes in token_arrays(texts):
+        numbers, ends = words.numbers(tokens, listed), np.cumsum(sizes)
+        codes += np.split(numbers, ends[:-1])
+        at = np.flatnonzero(numbers == words.head)
+        found = tokens.take(pa.array(at)).dictionary_encode()
+        many = max(1, len(found.dictionary))
+        pairs, n = np.unique(np.searchsorted(ends, at, "right") * many + found.indices.to_numpy(), return_counts=True)
+        rare.append(found.dictionary.take(pa.array(pairs % many)))
+        times.append(n)
+        held.append(np.bincount(pairs // many, minlength=len(ends)))
+    met = [pa.concat_arrays(rare), pa.array(np.concatenate(times), pa.int64())] if rare else [pa.array([], pa.binary()), pa.array([], pa.int64())]
+    ends = np.cumsum(np.concatenate(held))
+    return codes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(met, ["word", "m"]))
 
 
 def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray) -> np.ndarray:
@@ -387,10 +445,10 @@ def train_round(docs: DataFrame, words: Words, cfg: LmConfig, flat: np.ndarray)
     block = 65_536
 
     def learn(batches):
-        model, numbering = Gru(words, cfg, flat), words.numbering()
+        model, listed = Gru(words, cfg, flat), words.listed()
         squares, seen = np.full_like(model.flat, cfg.damping), 0
         for batch in batches:
-            docs = _coded(batch.column("_raw").to_pylist(), numbering, words.head)
+            docs = _coded(batch.column("_raw"), words, listed)
             # long texts are learned from in pieces side by side, so that no window has few lanes
             cuts = [(d, i) for d in docs for i in range(0, len(d), cfg.piece)]
             pieces = [d[i : i + cfg.piece] for d, i in cuts]
@@ -491,22 +549,12 @@ def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
     rest_log = float(np.log10(words.n + words.v + 1))
 
     def score(batches):
-        model, numbering = Gru(words, cfg, flat), words.numbering()
+        model, listed = Gru(words, cfg, flat), words.listed()
         unlisted = words.head
         listed_logs = np.r_[logs[: words.head], 0.0, 0.0, logs[words.head :]]
         for batch in batches:
-            texts = batch.column("_raw").to_pylist()
-            codes, rare, times, ends = [], [], [], [0]
-            for text in texts:
-                ws = tokens_of(text)
-                c = _numbers(ws, numbering, unlisted)
-                own = Counter(map(ws.__getitem__, np.flatnonzero(c == unlisted).tolist()))
-                codes.append(c)
-                rare += own.keys()
-                times += own.values()
-                ends.append(len(rare))
-            met = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "m"])
-            total = np.zeros(len(texts))
+            codes, rare = _coded_with_rare(batch.column("_raw"), words, listed)
+            total = np.zeros(len(codes))
             state, held, size = None, [], 0
             for inputs, fresh, target, number in _runs(codes, words, cfg) if codes else ():
                 lanes, live = inputs.shape[1], number >= 0
@@ -515,15 +563,15 @@ def score_rows(slim: DataFrame, model: Trained) -> DataFrame:
                 held.append((states[live], target[live], number[live]))
                 size += len(held[-1][2])
                 if size >= SCORED:  # behind the shorter lanes' ends windows are small
-                    total += _scored(model, held, len(texts))
+                    total += _scored(model, held, len(codes))
                     held, size = [], 0
             if held:
-                total += _scored(model, held, len(texts))
+                total += _scored(model, held, len(codes))
             known = [int((c != unlisted).sum()) for c in codes]
             base = [float(listed_logs[c].sum()) - len(c) * rest_log for c in codes]
             full = [float(t / np.log(10) - (len(c) - k) * words.tail_log) for t, c, k in zip(total, codes, known)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), met)],
+                [batch.column("row"), batch.column("doc_id"), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), rare],
                 ["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],
             )
 
